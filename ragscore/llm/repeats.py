@@ -66,6 +66,15 @@ def _merge(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.r_[new[1:] - 1, len(start) - 1]]
 
 
+def _joined(doc: np.ndarray, loc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, loc, stop) of the spans that windows at loc cover together."""
+    order = np.lexsort((loc, doc))
+    doc, loc = doc[order], loc[order]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (loc[1:] > loc[:-1] + width)])
+    last = np.r_[first[1:] - 1, len(doc) - 1]
+    return doc[first], loc[first], (loc[last] & 0xFFFFFFFF) + width
+
+
 def _scan(width: int, gram: int, unit: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +212,13 @@ def _fetch(width: int, unit: str) -> Callable:
                 new = np.r_[True, (key[1:] != key[:-1]) | (lead[1:] != lead[:-1])]
                 at = np.flatnonzero(new)[np.cumsum(new) - 1]
                 later = (doc != doc[at]) | (loc != loc[at])
-                for rows, extra in ((~later, 0), (later, -1)):
-                    m = int(rows.sum())
-                    if m:
-                        yield _arrow(_FETCHED, lead=lead[rows], key=key[rows], doc=doc[rows], loc=loc[rows], extra=np.full(m, extra), stop=(loc[rows] & 0xFFFFFFFF) + width, content=pa.nulls(m, pa.binary()))
+                rows = ~later
+                m = int(rows.sum())
+                yield _arrow(_FETCHED, lead=lead[rows], key=key[rows], doc=doc[rows], loc=loc[rows], extra=np.zeros(m), stop=(loc[rows] & 0xFFFFFFFF) + width, content=pa.nulls(m, pa.binary()))
+                if later.any():
+                    doc, loc, stop = _joined(doc[later], loc[later], width)
+                    m = len(doc)
+                    yield _arrow(_FETCHED, lead=P.mix(doc.astype(np.uint64)).view(np.int64), key=loc, doc=doc, loc=loc, extra=np.full(m, -1), stop=stop, content=pa.nulls(m, pa.binary()))
 
     return run
 
@@ -229,13 +241,8 @@ def _compare(width: int, equal: Callable) -> Callable:
             part = {k: v[start:stop] for k, v in cols.items()}
             row, j = equal(part, group[start:stop])
             if len(row):
-                loc = part["loc"][row] + j
-                # windows of one run that follow each other make one span
-                order = np.lexsort((j, row))
-                row, j, loc = row[order], j[order], loc[order]
-                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)])
-                last = np.r_[first[1:] - 1, len(row) - 1]
-                yield _arrow(_SPANS, doc=part["doc"][row[first]], loc=loc[first], stop=(loc[last] & 0xFFFFFFFF) + width)
+                doc, loc, stop_at = _joined(part["doc"][row], part["loc"][row] + j, width)
+                yield _arrow(_SPANS, doc=doc, loc=loc, stop=stop_at)
             start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
