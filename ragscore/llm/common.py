@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
+    gc.collect()  # lets Spark's cleaner drop the shuffle files that only the written plan used
+    spark._jvm.System.gc()
     return back
 
 
