@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from ragscore.llm.op2 import OP2_SQL, OP7_SQL, op2_exact_top_k
+from ragscore.llm.op4 import op4_simhash_near_dedup
+from ragscore.llm.op7 import op7_embedding_near_dedup
 from ragscore.llm.op8 import op8_substring_dedup
 from ragscore.llm.op9 import op9_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup, op9_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_exact_top_k, op4_simhash_near_dedup, op7_embedding_near_dedup, op8_substring_dedup, op9_suffix_array_dedup)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_exact_top_k": OP2_SQL, "op7_embedding_near_dedup": OP7_SQL}
