@@ -183,7 +183,8 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.greatest(F.lit(1), F.length(text) - WINDOW // 2)).cast("int") + 1
     rows = documents.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
-    rows = rows.orderBy(F.xxhash64(F.col(id_col).cast("string")), text).limit(fit_rows).select(F.col(lang_col).cast("string").alias("lang"), F.substring(text, place, F.lit(WINDOW)).alias("text"))
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(lang_col).cast("string").alias("lang"), F.substring(text, place, F.lit(WINDOW)).alias("text"))
+    rows = rows.orderBy("at", "text").limit(fit_rows).select("lang", "text")
     table = rows.toArrow()
     langs = table["lang"].to_pylist()
     classes = sorted(set(langs))
