@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,33 @@ from pyspark.sql import functions as F
 NULL_ID = -(1 << 63)
 
 
+#: Paths of the tables that each open scope has written.
+_scopes: dict[str, list[str]] = {}
+_open: list[str] = []
+
+
+@contextmanager
+def scope(name: str):
+    """Notes under ``name`` the tables that are written inside, for release()."""
+    _scopes.setdefault(name, [])
+    _open.append(name)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Deletes the tables of a scope whose results have all been written elsewhere."""
+    for path in _scopes.pop(name, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir; a local one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +59,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
+    if _open:
+        _scopes[_open[-1]].append(path)
     gc.collect()  # lets Spark's cleaner drop the shuffle files that only the written plan used
     spark._jvm.System.gc()
     return back
@@ -40,9 +70,7 @@ def forget(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def order_id(name: str) -> Column:
