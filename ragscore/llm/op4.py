@@ -1,8 +1,8 @@
 """Operator 4: SimHash near-dedup by segment popcounts.
 
-A 64-bit fingerprint is mapped to the bit counts of its sixteen 4-bit segments.  Fingerprints that differ in d bits have
+A 64-bit fingerprint is mapped to the bit counts of its segments, twenty of 3 bits and one of 4.  Fingerprints that differ in d bits have
 count vectors at Manhattan distance d or less, so vectors within distance 2 are a superset of the links.  The range join
-runs on the integer grid: each distinct fingerprint enters its own cell and the 32 cells one step away; two vectors
+runs on the integer grid: each distinct fingerprint enters its own cell and the 42 cells one step away; two vectors
 within distance 2 share one of these cells.  Fingerprints that meet nobody are done.  The others are verified exactly
 and without listing pairs: fingerprints link at 2 or fewer bits if and only if they share a number at 1 or fewer bits
 from both, so each sends its 65 such numbers and links to the smallest fingerprint that sent the same one.  A group of any
@@ -27,7 +27,9 @@ from ragscore.llm.common import NULL_ID, components, order_id, written
 
 #: Shingles whose hashes are held at once.
 BLOCK = 1 << 16
-_M1 = 0x1111111111111111
+SEGMENTS = 21
+#: The lowest bit of each segment.
+_LOWEST = sum(1 << (3 * i) for i in range(SEGMENTS))
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -57,17 +59,17 @@ def _fingerprints(shingle: int):
 
 
 def segment_counts(fp: Column) -> Column:
-    """The bit counts of sixteen 4-bit segments, each in four bits of a long."""
-    ones = [F.shiftrightunsigned(fp, i).bitwiseAND(F.lit(_M1)) for i in range(4)]
-    return ones[0] + ones[1] + ones[2] + ones[3]
+    """The bit counts of all segments, each in the bits of its segment; one more fits there, and the sign stays free."""
+    ones = [F.shiftrightunsigned(fp, i).bitwiseAND(F.lit(_LOWEST)) for i in range(3)]
+    return ones[0] + ones[1] + ones[2] + F.shiftrightunsigned(fp, 3).bitwiseAND(F.lit(1 << 60))
 
 
 def _cells(prints: DataFrame) -> DataFrame:
     """fp and each grid cell it enters."""
     prints = prints.withColumn("c", segment_counts(F.col("fp")))
-    step = [F.lit(1 << (4 * i)) for i in range(16)]
-    up = [F.col("c") + s for s in step]
-    down = [F.when(F.shiftrightunsigned("c", 4 * i).bitwiseAND(F.lit(15)) > 0, F.col("c") - s) for i, s in enumerate(step)]
+    up = [F.col("c") + F.lit(1 << (3 * i)) for i in range(SEGMENTS)]
+    width = [7] * (SEGMENTS - 1) + [15]
+    down = [F.when(F.shiftrightunsigned("c", 3 * i).bitwiseAND(F.lit(w)) > 0, F.col("c") - F.lit(1 << (3 * i))) for i, w in enumerate(width)]
     return prints.select("fp", F.explode(F.array_compact(F.array("c", *up, *down))).alias("cell"))
 
 
