@@ -112,14 +112,23 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each feature of a document and one for the document's size."""
+    names: list[str] = []
+    toxic: list[int] = []
+
+    def packed() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.int32())], ["feature", "toxic"])
+        names.clear()
+        toxic.clear()
+        return out
+
     for batch in batches:
-        names: list[str] = []
-        toxic: list[int] = []
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             found = {f for t in set(_WORDS((text or "").lower())) for f in features(t)}
             names.extend(found)
             toxic.extend([label] * len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.int32())], ["feature", "toxic"])
+            if len(names) > 50_000:
+                yield packed()
+    yield packed()
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
