@@ -61,11 +61,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     back._scratch_path = path
     if _open:
         _scopes[_open[-1]].append(path)
-    gc.collect()  # lets Spark's cleaner drop the shuffle files that only the written plan used
-    spark._jvm.System.gc()
     return back
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragscore.llm import passages as P
-from ragscore.llm.common import order_id, written
+from ragscore.llm.common import order_id, tidy, written
 
 #: Contents of an anchor beyond which its windows are dealt out singly. Results don't depend on it.
 HOT = 256
@@ -346,6 +346,8 @@ def spans(documents: DataFrame, id_col: str, text_col: str, width: int, gram: in
     texts = keyed(documents, id_col, text_col).select("doc", "tag", "text")
     runs = texts.mapInArrow(_scan(width, gram, unit), _SCAN)
     found = written(runs.repartition("key").sortWithinPartitions("key", "content", "doc", "loc").mapInArrow(_settle(width), _FOUND), "found")
+    del runs
+    tidy(spark)
     asked = found.where("stop < 0")
     hot = asked.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
     tag, start = F.shiftright("loc", 32).cast("int").alias("tag"), F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")
