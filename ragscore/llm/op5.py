@@ -34,6 +34,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Entries of the tables of words and of token pairs that a process holds.
 TABLE = 400_000
 _NEVER = 1 << 62
+#: Characters at which str.split() parts texts though the pattern does not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _IDS = struct.Struct("<I")
 #: A word's last symbol lies this far above the plain one.
 _END = 0x1000
@@ -47,16 +49,20 @@ def byte_symbols() -> list[str]:
 
 
 class _Words(dict):
-    """Word -> packed little-endian ids; forgets all when full."""
+    """Text -> packed little-endian ids; when full, what was asked for least recently goes first, in two halves."""
 
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= TABLE:
+        if len(self) >= TABLE // 2:
+            self.before = dict(self)
             self.clear()
-        found = self[word] = self.encode(word)
+        found = self.before.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
         return found
 
 
@@ -101,7 +107,7 @@ class Bpe:
         self.automaton.make_automaton()
         self.whole = {s: i for s, i in by_text.items() if usable[i]}
         self.symbol = dict(enumerate(byte_symbols()))
-        self.words = _Words(self._encode_word)
+        self.runs = _Words(self._encode_run)
         self._offsets(special)
 
     def _patterns(self, pattern: str) -> None:
@@ -194,12 +200,21 @@ class Bpe:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter, so no final sigma
+        text = text.lower()
+        for c in _SEPARATORS:
+            if c in text:
+                return self._encode_run(text)
+        return b"".join(map(self.runs.__getitem__, text.split()))
+
+    def _encode_run(self, text: str) -> bytes:
+        """A lower-cased run without white space; no match of the pattern reaches over white space."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter, so no final sigma
-            return b"".join(map(self.words.__getitem__, self.find(text.lower())))
-        return b"".join(map(self.words.__getitem__, self.find_latin(text.lower())))
+            return b"".join(map(self._encode_word, self.find(text)))
+        return b"".join(map(self._encode_word, self.find_latin(text)))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.packed(text or ""), "<u4")
