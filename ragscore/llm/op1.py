@@ -40,7 +40,7 @@ MIN_DOCUMENTS = 4
 MAX_TOKENS = 20_000
 CUT = 0.3
 _WORDS = re.compile(r"\w+").findall
-_TABLE = 200_000
+_TABLE = 60_000
 _SEGMENTS = "array<struct<start: int, stop: int, score: double>>"
 
 

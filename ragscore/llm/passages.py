@@ -15,7 +15,7 @@ import numpy as np
 
 #: Units a block of texts holds at most; a position inside a block fits the low bits of an anchor key.
 BLOCK_BITS = 20
-BLOCK = (1 << BLOCK_BITS) - 4096
+BLOCK = 640 << 10
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)

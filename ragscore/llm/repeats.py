@@ -80,6 +80,7 @@ def _scan(width: int, gram: int, unit: str) -> Callable:
         for batch in batches:
             texts = _texts(batch)
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
+            pa.default_memory_pool().release_unused()
             for held, units in P.blocks(texts, width, unit):
                 prefix = P.Prefix(units.values)
                 runs = P.scan(units, prefix, width, gram)

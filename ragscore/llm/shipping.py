@@ -18,8 +18,7 @@ def shipped(model: Any, prepare: Callable[[Any], Any] = lambda m: m) -> Callable
         from ragscore.llm import shipping
 
         if key not in shipping._ready:
-            if len(shipping._ready) >= 2:
-                shipping._ready.clear()
+            shipping._ready.clear()  # one model at a time: its tables grow with use
             shipping._ready[key] = prepare(pickle.loads(blob))
         return shipping._ready[key]
 
