@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of the tables of words and of token pairs that a process holds.
 TABLE = 400_000
+#: Ids that are decoded at a time.
+BLOCK = 1 << 16
 _NEVER = 1 << 62
 _IDS = struct.Struct("<I")
 #: A word's last symbol lies this far above the plain one.
@@ -214,12 +216,13 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
 
     def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self._slices(ids[s : s + BLOCK]) for s in range(0, len(ids), BLOCK))[:-1]
+
+    def _slices(self, ids: np.ndarray) -> bytes:
         ids = np.asarray(ids, np.int64)
-        if not len(ids):
-            return b""
         start, size = self.start[ids], self.stop[ids] - self.start[ids]
         reach = np.cumsum(size)
-        return self.blob[np.arange(reach[-1]) - np.repeat(reach - size - start, size)][:-1].tobytes()
+        return self.blob[np.arange(reach[-1]) - np.repeat(reach - size - start, size)].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -259,11 +262,34 @@ def decode(path: str) -> Callable[[Column], Column]:
     return F.arrow_udf(run, "string")
 
 
+def round_trip(path: str) -> Callable[[Column], Column]:
+    """Column function: text -> struct of its ids and of what they decode to, in one process.
+
+    Two functions in a row would run in two processes for each core, each with a vocabulary, and send all ids there and
+    back.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = load(path)
+        for batch in batches:
+            packed, decoded = [], []
+            for text in batch:
+                ids = bpe.packed(text.as_py() or "")
+                packed.append(ids)
+                decoded.append(bpe.decode(np.frombuffer(ids, "<u4")))
+            offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
+            del packed
+            texts = pa.array(decoded, pa.binary()).cast(pa.string())
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), flat), texts], ["ids", "decoded"])
+
+    return F.arrow_udf(run, "ids array<int>, decoded string")
+
+
 def bpe_round_trip(documents: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """The input with ids (array<int>) and decoded (string)."""
-    path = path or default_path()
-    out = documents.withColumn("ids", encode(path)(F.col(text_col).cast("string")))
-    return out.withColumn("decoded", decode(path)(F.col("ids")))
+    told = documents.withColumn("_round_trip", round_trip(path or default_path())(F.col(text_col).cast("string")))
+    return told.withColumns({"ids": F.col("_round_trip.ids"), "decoded": F.col("_round_trip.decoded")}).drop("_round_trip")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
