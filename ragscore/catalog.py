@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragscore import fixtures as X
-from ragscore.operators import answers, retrieval, robustness, search, taskgen
-from ragscore.plans import evaluate
+from ragscore.operators import answers, judging, retrieval, robustness, search, taskgen
+from ragscore.plans import evaluate, systems
 from ragscore.sources import io
 from ragscore.streaming.latency import latency_window
 
@@ -276,3 +276,42 @@ def leaderboard_index(spark: SparkSession, d: str) -> DataFrame:
     return io.leaderboard(spark.createDataFrame(rows, schema))
 
 
+def _retrieved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Passages with the offline answer from their first retrieved documents, and those documents' texts."""
+    found = judging.evidence_lists(X.passage_run(spark, d), X.table(spark, d, "documents"), "item_id", 3)
+    items = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    return items.join(found, "item_id", "left").select("item_id", "query", judging.first_sentence(F.col("evidence")).alias("response")), found
+
+
+@query
+def offline_answers(spark: SparkSession, d: str) -> DataFrame:
+    return _retrieved(spark, d)[0].select("item_id", "response")
+
+
+@query
+def llm_faithfulness_mock(spark: SparkSession, d: str) -> DataFrame:
+    return answers.mean(judging.faithfulness(*_retrieved(spark, d), key="item_id"), "llm_faithfulness")
+
+
+@query
+def llm_answer_quality_mock(spark: SparkSession, d: str) -> DataFrame:
+    return answers.mean(judging.answer_quality(X.qa(spark, d)), "llm_answer_quality")
+
+
+@query
+def simple_rag_answers(spark: SparkSession, d: str) -> DataFrame:
+    system = systems.simple_rag(X.table(spark, d, "documents").select("doc_id", "text"), 256, 32)
+    out = system(X.table(spark, d, "benchmark").select("item_id", "text"), K)
+    return out.select("item_id", F.array_join("retrieved", " ").alias("retrieved"), "response")
+
+
+@query
+def all_tasks_mock(spark: SparkSession, d: str) -> DataFrame:
+    return taskgen.all_tasks(single_hop=single_hop_tasks_mock(spark, d), multi_hop=multi_hop_tasks_mock(spark, d), paraphrase=paraphrase_fanout_mock(spark, d)).select("kind", "sample_id", "query", "answer", F.col("variant_of").cast("string").alias("variant_of"))
+
+
+@query
+def consistency_filter_mock(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _chunks(spark, d).select("chunk_id", "text")
+    tasks = multi_hop_tasks_mock(spark, d).join(chunks.toDF("a", "ta"), "a").join(chunks.toDF("b", "tb"), "b").withColumns({"kind": F.lit("multi_hop"), "evidence": F.array("ta", "tb")})
+    return taskgen.consistent(tasks, judging.mock_judge).select("sample_id", "kind")

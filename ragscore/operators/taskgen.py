@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -159,10 +160,18 @@ def question_length(samples: DataFrame, least: int = 5, most: int = 50) -> DataF
     return samples.where(F.size(words(F.col("query"))).between(least, most))
 
 
-def consistent(samples: DataFrame, llm: Llm, evidence: str = "evidence", most_chars: int = 4000) -> DataFrame:
-    """Rows that a judge answers with yes."""
-    prompt = F.concat(F.lit("Is the answer supported? "), F.col("query"), F.lit(" / "), F.col("answer"), F.lit(" / "), F.substring(F.col(evidence), 1, most_chars))
-    return samples.where(F.startswith(F.lower(F.trim(llm(prompt))), F.lit("yes")))
+def consistent(samples: DataFrame, llm: Llm, kinds: tuple[str, ...] = ("multi_hop",), most_chars: int = 4000) -> DataFrame:
+    """Rows that a judge answers with yes, and all of other kinds; evidence is an array, of which three texts are shown."""
+    shown = F.substring(F.array_join(F.slice("evidence", 1, 3), "\n\n"), 1, most_chars)
+    prompt = F.concat(F.lit("Is the answer supported? "), F.col("query"), F.lit(" / "), F.col("answer"), F.lit(" / "), shown)
+    yes = F.startswith(F.lower(F.trim(llm(prompt))), F.lit("yes"))
+    return samples.where(~F.col("kind").isin(*kinds) | F.coalesce(yes, F.lit(False)))
+
+
+def all_tasks(**families: DataFrame) -> DataFrame:
+    """The families of tasks under one another, each named in kind; columns that a family lacks are null."""
+    named = [df.withColumn("kind", F.lit(kind)) for kind, df in families.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def add_typos(text: str, rate: float, seed: str) -> str:

@@ -204,3 +204,29 @@ SELECT 'multi_hop:' || a || ':' || b AS sample_id, a, b, 'How do both facts rela
     "leaderboard_index": """SELECT * FROM (VALUES ('a.json', 'one', '2025-01-02T00:00:00', 'x', 0.5::DOUBLE, 5, 0.25::DOUBLE, 0.75::DOUBLE, 0.5::DOUBLE, 1.5::DOUBLE), ('b.json', 'two', '2025-01-03T00:00:00', 'x', 0.625, 5, 0.125, 0.25, NULL, 0.5),
 ('c.json', 'three', '2025-01-01T00:00:00', 'y', 0.25, 5, 0.0, NULL, NULL, NULL)) t(filename, system_name, timestamp, dataset, recall, recall_k, token_f1, bertscore, llm_quality, latency)""",
 }
+
+_STRIP = r"regexp_replace({0}, '^[\s\x{{85}}\x{{A0}}]+|[\s\x{{85}}\x{{A0}}]+$', '', 'g')"
+_HUNDREDTHS = "CAST('0x' || md5({0})[1:4] AS INTEGER) % 100 / 100"
+_FOUND = f"""{RUN}, ev AS MATERIALIZED (SELECT item_id, list(d.text ORDER BY pos) AS evidence FROM run JOIN documents d USING (doc_id) WHERE pos <= 3 GROUP BY 1),
+an AS MATERIALIZED (SELECT item_id, text AS query, CASE WHEN evidence IS NULL THEN 'No context available.' ELSE split_part(evidence[1], '.', 1) || '.' END AS response FROM benchmark LEFT JOIN ev USING (item_id))"""
+_NUMBERED = f"array_to_string(list_transform(evidence, lambda t, i: '[Doc ' || i || '] ' || {_STRIP.format('t')}), chr(10) || chr(10))"
+_FAITH = f"'Is the answer supported by the evidence, from 0 to 1?' || chr(10) || query || chr(10) || response || chr(10) || {_NUMBERED}"
+_QUALITY = "'Does the answer meet the question, from 0 to 1?' || chr(10) || coalesce(query, '') || chr(10) || coalesce(response, '')"
+SQL |= {
+    "offline_answers": f"WITH {_FOUND} SELECT item_id, response FROM an",
+    "llm_faithfulness_mock": f"WITH {_FOUND}, sc_ AS (SELECT {_HUNDREDTHS.format(_FAITH)} AS score FROM an JOIN ev USING (item_id)) {_mean('llm_faithfulness', '')}",
+    "llm_answer_quality_mock": f"WITH {QA}, sc_ AS (SELECT {_HUNDREDTHS.format(_QUALITY)} AS score FROM qa) {_mean('llm_answer_quality', '')}",
+    "simple_rag_answers": f"""WITH {CHUNKS}, dc AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_terms('text')}) AS term FROM chunks) GROUP BY ALL),
+qc AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_terms('text')}) AS term FROM benchmark) GROUP BY ALL),
+idf AS MATERIALIZED (SELECT term, ln((1.0 + (SELECT count(*) FROM chunks)) / (1 + count(*))) + 1 AS idf FROM dc GROUP BY 1),
+dw AS MATERIALIZED (SELECT chunk_id, term, tf * idf AS w FROM dc JOIN idf USING (term)), qw AS MATERIALIZED (SELECT item_id, term, tf * idf AS w FROM qc JOIN idf USING (term)),
+nd AS (SELECT chunk_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1), nq AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1),
+dot AS (SELECT item_id, chunk_id, sum(dw.w * qw.w) AS d FROM dw JOIN qw USING (term) GROUP BY ALL),
+sc AS (SELECT b.item_id, c.chunk_id, c.text, coalesce(round(dot.d / (nd.n * nq.n), 9), 0.0) AS score FROM benchmark b CROSS JOIN chunks c LEFT JOIN dot ON dot.item_id = b.item_id AND dot.chunk_id = c.chunk_id LEFT JOIN nd ON nd.chunk_id = c.chunk_id LEFT JOIN nq ON nq.item_id = b.item_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS pos FROM sc QUALIFY pos <= 5)
+SELECT item_id, string_agg(chunk_id, ' ' ORDER BY pos) AS retrieved, split_part(min_by(text, pos), '.', 1) || '.' AS response FROM top GROUP BY 1""",
+    "all_tasks_mock": f"""SELECT 'single_hop' AS kind, CAST(sample_id AS VARCHAR) AS sample_id, query, answer, CAST(NULL AS VARCHAR) AS variant_of FROM ({SQL['single_hop_tasks_mock']})
+UNION ALL SELECT 'multi_hop', sample_id, query, answer, NULL FROM ({SQL['multi_hop_tasks_mock']}) UNION ALL SELECT 'paraphrase', sample_id, query, NULL, CAST(variant_of AS VARCHAR) FROM ({SQL['paraphrase_fanout_mock']})""",
+    "consistency_filter_mock": f"""WITH {CHUNKS}, t AS ({SQL['multi_hop_tasks_mock']})
+SELECT sample_id, 'multi_hop' AS kind FROM t JOIN chunks x ON x.chunk_id = t.a JOIN chunks y ON y.chunk_id = t.b WHERE md5('Is the answer supported? ' || query || ' / ' || answer || ' / ' || left(x.text || chr(10) || chr(10) || y.text, 4000))[1:1] < '8'""",
+}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ragscore import catalog, oracle
 from ragscore.functions import kernels
-from ragscore.operators import answers, retrieval, robustness, search, taskgen
+from ragscore.operators import answers, judging, retrieval, robustness, search, taskgen
+from ragscore.plans import systems
 from ragscore.plans.evaluate import EvaluationPlan, Metric
 from ragscore.sources import io
 
@@ -111,3 +112,28 @@ def test_lists_and_latency(spark):
     assert {r.query_id: r.score for r in robustness.intra_list_diversity(lists, 5).collect()} == {1: 1.0, 3: 1.0}
     corpus = spark.createDataFrame([(1, 5, "x"), (2, 5, "y"), (3, 6, "z")], "ordinal int, doc_id int, text string")
     assert [(r.doc_id, r.ordinal, r.text) for r in search.closed_world_corpus(corpus).orderBy("ordinal").collect()] == [(5, 1, "y"), (6, 3, "z")]
+
+
+def test_judging(spark):
+    replies = {"-0.5": 0.5, "8/10": 1.0, "about .25.": 0.25, "none": 0.0, "": 0.0, None: 0.0}
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
+    assert [r[0] for r in rows.orderBy("i").select(judging.critic_score(F.col("r"))).collect()] == list(replies.values())
+    docs = spark.createDataFrame([(1, [" a. b ", None]), (2, []), (3, None)], "k int, evidence array<string>")
+    got = docs.orderBy("k").select(judging.first_sentence(F.col("evidence")), judging.numbered_docs(F.col("evidence"))).collect()
+    assert [r[0] for r in got] == [" a.", judging.NO_CONTEXT, judging.NO_CONTEXT] and got[0][1] == "[Doc 1] a. b\n\n[Doc 2] "
+    samples = spark.createDataFrame([(1, "q", None), (2, "q", "r")], "k int, query string, response string")
+    assert [r.k for r in judging.faithfulness(samples, docs, key="k").collect()] == [1]
+    assert judging.answer_quality(samples, lambda p: F.lit("7"), key="k").agg(F.sum("score")).first()[0] == 2.0
+    near = spark.createDataFrame([("a", 1, "a"), ("a", 2, "b"), ("c", 1, "c")], "chunk_id string, pos int, neighbour string")
+    asked = spark.createDataFrame([("a",), ("c",), ("d",)], "chunk_id string")
+    assert {r.chunk_id: r.distractor for r in judging.with_distractor(asked, near).collect()} == {"a": "b", "c": "c", "d": "d"}
+
+
+def test_filters_and_systems(spark):
+    rows = spark.createDataFrame([(1, "multi_hop", "q", "a", ["t"]), (2, "single_hop", "q", "a", None), (3, "multi_hop", "q", "a", None)], "i int, kind string, query string, answer string, evidence array<string>")
+    assert {r.i for r in taskgen.consistent(rows, lambda p: F.lit(" YES")).collect()} == {1, 2, 3}
+    assert {r.i for r in taskgen.consistent(rows, lambda p: F.lit("no")).collect()} == {2}
+    corpus = spark.createDataFrame([(1, "red apples grow. Here."), (2, "blue ships sail. There.")], "doc_id int, text string")
+    asked = spark.createDataFrame([(7, "where do ships sail")], "item_id int, text string")
+    got = systems.simple_rag(corpus)(asked, 1).first()
+    assert got.retrieved == ["2_chunk_0"] and got.response == "blue ships sail."
