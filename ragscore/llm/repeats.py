@@ -32,6 +32,8 @@ from ragscore.llm.common import order_id, tidy, written
 HOT = 256
 #: Windows that are compared at once.
 SLICE = 150_000
+#: Texts that are cut at once.
+ROWS = 256
 _SCAN = "key long, content long, doc long, loc long, extra int"
 _FOUND = "key long, doc long, loc long, extra int, stop int"
 _FETCHED = "lead long, key long, doc long, loc long, extra int, stop int, content binary"
@@ -363,7 +365,10 @@ def spans(documents: DataFrame, id_col: str, text_col: str, width: int, gram: in
         equal = equal_by_fm_index(width)
     compared = fetched.sortWithinPartitions("lead", "key", "doc", "loc").mapInArrow(_compare(width, equal), _SPANS)
     every = found.where("stop >= 0").select("doc", "loc", "stop").unionByName(compared)
-    return every.groupBy("doc", tag).agg(F.collect_list(F.struct(start, "stop")).alias("spans"))
+    every = written(every.groupBy("doc", tag).agg(F.collect_list(F.struct(start, "stop")).alias("spans")), "spans")
+    del fetched, compared, asked, hot, texts  # with their shuffle files, before the texts are shuffled again
+    tidy(spark)
+    return every
 
 
 def keyed(documents: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
@@ -380,7 +385,7 @@ def keyed(documents: DataFrame, id_col: str, text_col: str, carry: list[str] = (
 
 def _apply(unit: str, joiner: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             total, removed, n_spans, kept, where = [], [], [], [], []
             for i, text in enumerate(_texts(batch)):
                 cell = batch.column("spans")[i]
