@@ -156,7 +156,9 @@ def latency_by_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def plan_results(spark: SparkSession, d: str) -> DataFrame:
-    views = {"samples": X.qa(spark, d), "gold": X.passage_gold(spark, d), "runs": X.passage_run(spark, d)}
+    runs, items = X.passage_run(spark, d), X.table(spark, d, "benchmark")
+    views = {"samples": X.qa(spark, d), "gold": X.passage_gold(spark, d), "runs": runs}
+    views |= {"evidence": runs.join(X.table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "answers": items.select("item_id", F.col("text").alias("response"))}
     return evaluate.default_plan(K).run(views)
 
 

@@ -5,7 +5,7 @@ Inputs have one row per sample under ``key``; samples without a reference are sk
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -138,6 +138,14 @@ def hashed_similarity(pairs: DataFrame, key: str, left: Column, right: Column, b
     return pairs.select(key).join(dots, key, "left").select(key, F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
+def embedded_similarity(pairs: DataFrame, key: str, left: Column, right: Column, embed: Callable[[Column], Column]) -> DataFrame:
+    """Cosine of the embeddings of two whole texts; 0 where either has no length or no vector. embed: text -> array of numbers."""
+    rows = pairs.select(key, embed(F.coalesce(left, F.lit(""))).cast("array<double>").alias("a"), embed(F.coalesce(right, F.lit(""))).cast("array<double>").alias("b"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
+    norms = F.sqrt(dot("a", "a") * dot("b", "b"))
+    return rows.select(key, F.coalesce(F.when(norms > 0, dot("a", "b") / norms), F.lit(0.0)).alias("score"))
+
+
 def distinct_n(samples: DataFrame, n: int) -> DataFrame:
     """Distinct share of all response n-grams, pooled; num_samples counts all responses."""
     grams = samples.select(F.explode(T.ngrams(T.words(F.col("response")), n)).alias("g")).groupBy("g").agg(F.count("*").alias("c"))

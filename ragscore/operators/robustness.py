@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragscore.operators.answers import hashed_similarity
 
 NOISE = ("paraphrase", "typo")
+#: Phrases of a refusal.
+REFUSALS = ("i don't know", "cannot answer", "not enough information")
 
 
 def noise_robustness(labelled: DataFrame, scores: DataFrame, name: str, key: str = "sample_id", scenarios: tuple[str, ...] = NOISE) -> DataFrame:
@@ -19,7 +23,7 @@ def noise_robustness(labelled: DataFrame, scores: DataFrame, name: str, key: str
     return got.select(F.lit(f"noise_robustness[{name}]").alias("metric"), F.round(value, 6).alias("value"), F.round("base", 6).alias("base_score"), F.round("noisy", 6).alias("noise_score"), "base_samples", "noise_samples")
 
 
-def negative_rejection_rate(labelled: DataFrame, patterns: list[str]) -> DataFrame:
+def negative_rejection_rate(labelled: DataFrame, patterns: Sequence[str] = REFUSALS) -> DataFrame:
     refused: Column = F.lit(False)
     for p in patterns:
         refused = refused | F.contains(F.lower("response"), F.lit(p.lower()))

@@ -102,6 +102,7 @@ def mock_reply(prompt: Column) -> Column:
     return (
         F.when(F.contains(p, F.lit("multi-hop")), F.lit("Question: How do both facts relate?\nAnswer: They share a subject."))
         .when(F.contains(p, F.lit("write a question")), F.lit("Which detail does the passage state?"))
+        .when(F.contains(p, F.lit("unanswerable")), F.lit("What did the text say about that fact?"))
         .when(F.contains(p, F.lit("paraphrase")), F.lit("Put differently, which detail is stated?"))
         .otherwise(F.lit("yes"))
     )
@@ -185,12 +186,18 @@ def add_typos(text: str, rate: float, seed: str) -> str:
     return "".join(chars)
 
 
-def typo_variants(samples: DataFrame, rate: float = 0.02, seed: str = "typo", key: str = "sample_id") -> DataFrame:
+def with_typos(key: Column, text: Column, rate: float = 0.02, seed: str = "typo") -> Column:
+    """The text with typos that follow from the seed and the key."""
+
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, texts in batches:
             yield pa.array([None if t is None else add_typos(t, rate, f"{seed}:{k}") for k, t in zip(keys.to_pylist(), texts.to_pylist(), strict=True)], pa.string())
 
-    return samples.select(F.col(key).alias("variant_of"), F.arrow_udf(run, "string")(F.col(key).cast("string"), "query").alias("query"))
+    return F.arrow_udf(run, "string")(key.cast("string"), text)
+
+
+def typo_variants(samples: DataFrame, rate: float = 0.02, seed: str = "typo", key: str = "sample_id") -> DataFrame:
+    return samples.select(F.col(key).alias("variant_of"), with_typos(F.col(key), F.col("query"), rate, seed).alias("query"))
 
 
 #: Replacement names and cities.
@@ -228,3 +235,16 @@ def unanswerable_candidates(entities: DataFrame, chunks: DataFrame, seed: str =
     lowered = chunks.select("chunk_id", F.lower("text").alias("text"))
     present = find_relevant(one.select(F.lower("mutated").alias("span")), lowered).select("span").distinct()
     return one.join(present, F.lower("mutated") == F.col("span"), "left_anti")
+
+
+def sentence_with(text: Column, entity: Column) -> Column:
+    """The first sentence that contains the entity, else the whole text."""
+    return F.coalesce(F.get(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.contains(s, entity)), F.lit(0)), text)
+
+
+def unanswerable_tasks(candidates: DataFrame, chunks: DataFrame, llm: Llm = mock_reply, least_words: int = 5) -> DataFrame:
+    """sample_id, chunk_id, query, source_entity: questions on a mutated entity that no chunk contains."""
+    both = candidates.join(chunks.select("chunk_id", "text"), "chunk_id")
+    prompt = F.concat(F.lit("Write an unanswerable question, only the question. Sentence: "), sentence_with(F.col("text"), F.col("entity")), F.lit(" Changed fact: "), F.col("mutated"))
+    asked = both.select(F.concat_ws(":", F.lit("unanswerable"), "chunk_id").alias("sample_id"), "chunk_id", F.trim(llm(prompt)).alias("query"), F.col("entity").alias("source_entity"))
+    return asked.where(F.size(words(F.col("query"))) >= least_words)

@@ -6,29 +6,42 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragscore.operators import answers, retrieval
+from ragscore.operators import answers, judging, retrieval
+
+ColumnFunction = Callable[[Column], Column]
 
 TARGETS = ("RETRIEVAL_RELEVANCE", "RETRIEVAL_ACCURACY", "GENERATION_RELEVANCE", "GENERATION_FAITHFULNESS", "GENERATION_CORRECTNESS", "LATENCY", "DIVERSITY", "NOISE_ROBUSTNESS", "NEGATIVE_REJECTION", "COUNTERFACTUAL_ROBUSTNESS")
 
 
 @dataclass(frozen=True)
 class Metric:
-    """compute takes the views of an evaluation and returns metric, value, num_samples."""
+    """compute takes the views of an evaluation and returns metric, value, num_samples.
+
+    target may name one target for each metric (by its name before @) where one pass gives several.
+    """
 
-    target: str
+    target: str | dict[str, str]
     compute: Callable[[dict[str, DataFrame]], DataFrame]
     required: tuple[str, ...] = ()
 
+    def targets(self) -> list[str]:
+        return [self.target] if isinstance(self.target, str) else list(dict.fromkeys(self.target.values()))
+
+    def target_column(self) -> Column:
+        if isinstance(self.target, str):
+            return F.lit(self.target)
+        return F.create_map(*[F.lit(x) for pair in self.target.items() for x in pair])[F.substring_index("metric", "@", 1)]
+
 
 @dataclass
 class EvaluationPlan:
     metrics: list[Metric] = field(default_factory=list)
 
     def grouped_by_target(self) -> dict[str, list[Metric]]:
-        return {t: [m for m in self.metrics if m.target == t] for t in dict.fromkeys(m.target for m in self.metrics)}
+        return {t: [m for m in self.metrics if t in m.targets()] for t in dict.fromkeys(t for m in self.metrics for t in m.targets())}
 
     def validate(self, samples: DataFrame) -> None:
         """Every required column must be non-null somewhere, unless there are no samples."""
@@ -40,7 +53,7 @@ class EvaluationPlan:
 
     def run(self, views: dict[str, DataFrame]) -> DataFrame:
         """ordinal, target, metric, value, num_samples."""
-        parts = [m.compute(views).select(F.lit(i).alias("ordinal"), F.lit(m.target).alias("target"), "metric", "value", "num_samples") for i, m in enumerate(self.metrics)]
+        parts = [m.compute(views).select(F.lit(i).alias("ordinal"), m.target_column().alias("target"), "metric", "value", "num_samples") for i, m in enumerate(self.metrics)]
         return reduce(DataFrame.unionByName, parts)
 
 
@@ -53,23 +66,44 @@ def _score(name: str, target: str, score: Callable[[DataFrame], DataFrame], requ
     return Metric(target, lambda v: answers.mean(score(v["samples"]), name), required)
 
 
-def default_plan(k: int = 5) -> EvaluationPlan:
-    """Ranking metrics (one pass), answer metrics and embedding similarities, in report order."""
+#: The target of each ranking metric.
+RANKING_TARGETS = {"recall": "RETRIEVAL_RELEVANCE", "precision": "RETRIEVAL_RELEVANCE", "hit_rate": "RETRIEVAL_RELEVANCE", "mrr": "RETRIEVAL_ACCURACY", "map": "RETRIEVAL_ACCURACY", "ndcg": "RETRIEVAL_ACCURACY"}
+
+
+def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None = None, critic: ColumnFunction | None = None, judged: bool = False) -> EvaluationPlan:
+    """Ranking metrics (one pass), answer metrics, evidence overlap and embedding similarities, in report order.
+
+    Views: samples (sample_id, query, response, reference), gold, runs, and answers (key, query, response) with evidence
+    (key, pos, text). embed adds similarities of whole texts; judged adds a critic's scores, and then needs one.
+    """
+    if judged and critic is None:
+        raise ValueError("a judged plan needs a critic")
     s = ("response", "reference")
-    right = "GENERATION_CORRECTNESS"
-    return EvaluationPlan(
-        [
-            Metric("RETRIEVAL_RELEVANCE", lambda v: retrieval.at_k(v["gold"], v["runs"], "item_id", k)),
-            _score("exact_match", right, answers.exact_match, s),
-            _score("token_f1", right, answers.token_f1, s),
-            _score("rouge1_answer", right, lambda d: answers.rouge(d, "1"), s),
-            _score("rouge2_answer", right, lambda d: answers.rouge(d, "2"), s),
-            _score("rougeL_answer", right, lambda d: answers.rouge(d, "L"), s),
-            Metric(right, answers_bleu, s),
-            _score("embedding_similarity_reference", right, lambda d: answers.hashed_similarity(d.where("reference <> ''"), "sample_id", F.col("response"), F.col("reference")), s),
-            _score("embedding_similarity_query", "GENERATION_RELEVANCE", lambda d: answers.hashed_similarity(d.where("query <> ''"), "sample_id", F.col("response"), F.col("query")), ("query",)),
-        ]
-    )
+    right, apt, true = "GENERATION_CORRECTNESS", "GENERATION_RELEVANCE", "GENERATION_FAITHFULNESS"
+    metrics = [
+        Metric(RANKING_TARGETS, lambda v: retrieval.at_k(v["gold"], v["runs"], key, k)),
+        _score("exact_match", right, answers.exact_match, s),
+        _score("token_f1", right, answers.token_f1, s),
+        _score("rouge1_answer", right, lambda d: answers.rouge(d, "1"), s),
+        _score("rouge2_answer", right, lambda d: answers.rouge(d, "2"), s),
+        _score("rougeL_answer", right, lambda d: answers.rouge(d, "L"), s),
+        Metric(right, answers_bleu, s),
+        Metric(true, lambda v: answers.mean(answers.evidence_overlap(v["answers"], v["evidence"].where(F.col("pos") <= k), key, 1), "evidence_overlap_n1")),
+        _score("embedding_similarity_reference", right, lambda d: answers.hashed_similarity(d.where("reference <> ''"), "sample_id", F.col("response"), F.col("reference")), s),
+        _score("embedding_similarity_query", apt, lambda d: answers.hashed_similarity(d.where("query <> ''"), "sample_id", F.col("response"), F.col("query")), ("query",)),
+    ]
+    if embed is not None:
+        for other, target in (("reference", right), ("query", apt)):
+            metrics.append(_score(f"bertscore_f1_{other}", target, lambda d, o=other: answers.embedded_similarity(d.where(f"{o} <> ''"), "sample_id", F.col("response"), F.col(o), embed), ("response", other)))
+    if judged:
+        metrics.append(Metric(true, lambda v: answers.mean(judging.faithfulness(v["answers"], evidence_of(v["evidence"], key, k), critic, key), "llm_faithfulness")))
+        metrics.append(_score("llm_answer_quality", apt, lambda d: judging.answer_quality(d, critic), ("query",)))
+    return EvaluationPlan(metrics)
+
+
+def evidence_of(ranked: DataFrame, key: str, k: int) -> DataFrame:
+    """key, evidence: the first k texts of each list, in order."""
+    return ranked.where(F.col("pos") <= k).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("evidence"))
 
 
 def answers_bleu(views: dict[str, DataFrame]) -> DataFrame:
@@ -81,3 +115,17 @@ def evaluate(system: Callable[[DataFrame, int], DataFrame], samples: DataFrame,
     plan.validate(samples)
     outputs = system(samples, top_k).persist()
     return plan.run({"samples": outputs, **(views or {})})
+
+
+def views_of(samples: DataFrame, outputs: DataFrame, key: str = "sample_id") -> dict[str, DataFrame]:
+    """The views of a plan from an evaluation set and outputs (key, response, retrieved: array of doc_id and text)."""
+    both = samples.join(outputs, key)
+    rows = both.select(key, "query", "response", F.col("reference_answer.text").alias("reference"))
+    ranked = both.select(key, F.posexplode("retrieved").alias("pos", "d")).select(key, (F.col("pos") + 1).alias("pos"), "d.doc_id", "d.text")
+    gold = samples.select(key, F.explode("relevant_docs").alias("d")).select(key, "d.doc_id")
+    return {"samples": rows, "answers": rows, "gold": gold, "runs": ranked, "evidence": ranked}
+
+
+def labelled_columns(samples: DataFrame) -> DataFrame:
+    """What a plan may require of an evaluation set before any system runs; responses come later and count as there."""
+    return samples.select("sample_id", "query", F.col("reference_answer.text").alias("reference"), F.lit("").alias("response"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ragscore import catalog, oracle
-from ragscore.functions import kernels
+from ragscore.functions import adapters, kernels
 from ragscore.operators import answers, judging, retrieval, robustness, search, taskgen
-from ragscore.plans import systems
-from ragscore.plans.evaluate import EvaluationPlan, Metric
+from ragscore.plans import commands, systems
+from ragscore.plans.evaluate import EvaluationPlan, Metric, default_plan
+from ragscore.plans.generation import TaskConfig, generate
 from ragscore.sources import io
+from ragscore.sources.settings import Settings
 
 SF = "/root/testdata/sf0.001"
 
@@ -137,3 +141,57 @@ def test_filters_and_systems(spark):
     asked = spark.createDataFrame([(7, "where do ships sail")], "item_id int, text string")
     got = systems.simple_rag(corpus)(asked, 1).first()
     assert got.retrieved == ["2_chunk_0"] and got.response == "blue ships sail."
+
+
+def test_plan_targets_and_judged_plan(spark):
+    plan = default_plan(5)
+    assert set(plan.grouped_by_target()) == {"RETRIEVAL_RELEVANCE", "RETRIEVAL_ACCURACY", "GENERATION_CORRECTNESS", "GENERATION_FAITHFULNESS", "GENERATION_RELEVANCE"}
+    with pytest.raises(ValueError, match="critic"):
+        default_plan(judged=True)
+    got = {r.metric: (r.target, r.value) for r in catalog.QUERIES["plan_results"](spark, SF).collect()}
+    assert len(got) == 15 and got["mrr@5"][0] == "RETRIEVAL_ACCURACY" and got["recall@5"][0] == "RETRIEVAL_RELEVANCE" and got["evidence_overlap_n1"][1] > 0
+    with_extras = default_plan(5, embed=lambda c: F.array(F.length(c)), critic=judging.mock_critic, judged=True)
+    assert len(with_extras.metrics) == len(plan.metrics) + 4
+
+
+def test_adapters(spark):
+    def client():
+        return lambda p: {"a": "A"}[p]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, p string")
+    assert [r.r for r in rows.orderBy("i").select(adapters.language_model(client)("p").alias("r")).collect()] == ["A", None, None]
+    vectors = rows.orderBy("i").select(adapters.embedder(lambda: lambda ts: [[float(len(t))] for t in ts], 1)("p").alias("v")).collect()
+    assert [r.v for r in vectors] == [[1.0], [1.0], None]
+    pairs = spark.createDataFrame([(1, "ab", "b"), (2, "", "x"), (3, None, "x")], "k int, l string, r string")
+    assert [r.score for r in answers.embedded_similarity(pairs, "k", F.col("l"), F.col("r"), lambda c: F.array(F.length(c), F.lit(0))).orderBy("k").collect()] == [1.0, 0.0, 0.0]
+
+
+class EchoSystem:
+    def run(self, sample, top_k):
+        if sample["query"] == "boom":
+            raise ValueError("no answer")
+        return {"response": sample["query"], "retrieved": [{"doc_id": "d1", "text": "red apples grow"}][:top_k]}
+
+
+def test_evaluate_and_leaderboard_commands(spark, tmp_path):
+    rows = [{"sample_id": "1", "query": "red apples", "relevant_docs": [{"doc_id": "d1", "text": "red apples grow"}], "reference_answer": {"text": "red apples"}}, {"sample_id": "2", "query": "boom", "reference_answer": {"text": "x"}}]
+    (tmp_path / "set.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    path = commands.main(["evaluate", "--dataset", str(tmp_path / "set.jsonl"), "--rag", "tests.test_queries:EchoSystem", "--judged", "--output-dir", str(tmp_path / "out"), "--system-name", "my echo"], spark)
+    body = json.loads(Path(path).read_text())
+    assert body["metrics"]["recall@5"]["value"] == 1.0 and body["metrics"]["exact_match"]["value"] == 0.5 and body["metrics"]["evidence_overlap_n1"]["value"] == 1.0
+    (tmp_path / "out" / "bad.json").write_text("{")
+    index = json.loads(Path(commands.main(["leaderboard", "--folder", str(tmp_path / "out")], spark)).read_text())
+    assert [(r["system_name"], r["recall"], r["latency"]) for r in index] == [("my echo", 1.0, "N/A")]
+
+
+def test_generate(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
+    config = TaskConfig(chunk_tokens=128, overlap=16, single_hop=6, multi_hop=3, least_answer=1, unanswerable=3)
+    got = generate(docs, config, judge=lambda p: F.lit("yes"), folder=str(tmp_path)).collect()
+    kinds = [r.labels["kind"] for r in got]
+    assert kinds.count("single_hop") > 0 and kinds.count("unanswerable") > 0 and len({r.sample_id for r in got}) == len(got)
+    for r in got:
+        assert r.relevant_docs and ("variant_of" in r.labels) == ("paraphrase" in r.sample_id)
+        assert r.labels["kind"] != "single_hop" or r.reference_answer.text.lower() in r.relevant_docs[0].text.lower()
+    assert TaskConfig.sized(9).multi_hop == 4 and TaskConfig.sized(test=True).single_hop == 5
+    assert Settings.read({"TAGGING_TEMPERATURE": "0.5"}).temperature == 0.5
