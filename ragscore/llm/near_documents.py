@@ -1,36 +1,52 @@
 """Near-duplicate documents at a similarity of their word shingles, by the fingerprints of operator 4.
 
 A whole-text fingerprint links what operator 4 links, two bits or fewer.  At a similarity of 0.8 fingerprints differ in
-up to about 14 bits, where no grid on segment popcounts prunes; farther pairs therefore meet on a shared part.  A text is
-cut where the hash of the next shingle says so, which after an edit falls back into step, and each part has a fingerprint
-of its own.  Texts that share a part's fingerprint are compared with the group's text of the least fingerprint: first by whole fingerprints,
-then by the Jaccard similarity of their shingle sets, exact for up to SKETCH distinct shingles and estimated from the
-SKETCH smallest hashes beyond.  Groups cost rows in proportion to their distinct texts, never pairs.
+up to about 14 bits, where no grid on segment popcounts prunes; farther pairs therefore meet on shared shingles, by the
+prefix filter (Xiao et al., "Efficient similarity joins for near duplicate detection"), which misses no pair at any
+length.  All texts order their distinct shingles alike, common ones last: a pair at the similarity has its first common
+shingle in the first fifth of both, and what is left from there on must be able to hold the overlap.  The order comes
+from a sample of the texts; results don't depend on it.  Pairs are decided by the exact Jaccard similarity of their
+whole shingle sets, nothing is estimated.
+
+Texts that share a shingle are first compared with one of them; then the pairs of such texts that are not yet in one
+component are compared too, so that no pair hangs on the choice of the one.  A group of copies costs rows in proportion
+to its distinct texts; pairs are listed only between components, where lengths and places allow the similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragscore.llm.common import NULL_ID, components, order_id, tidy, written
 from ragscore.llm.op4 import near_fingerprints
+from ragscore.llm.shipping import shipped
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SKETCH = 160
-#: A part ends at about one in CUT shingles, after LEAST shingles at the earliest.
-CUT, LEAST = 16, 8
-#: Whole fingerprints that differ in more bits are not compared further; at 0.8 the expected difference is 10.
-BITS = 20
+#: One text in SAMPLE tells which shingles are common, at most COMMON of them. Results don't depend on it.
+SAMPLE, COMMON = 16, 50_000
+#: Slack for bounds that are computed in floating point.
+_LESS = 1e-9
 _U = np.uint64
 
 
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles in order; fewer words than a shingle give one of all words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, _U)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
+    return np.array([digest(join(g), 42) for g in grams], _U)
+
+
 def _print(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for s in range(0, len(hashes), 1 << 16):
@@ -39,66 +55,119 @@ def _print(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def describe(text: bytes, shingle: int = SHINGLE) -> tuple[int, np.ndarray, np.ndarray]:
-    """Fingerprint, distinct fingerprints of the parts, smallest distinct shingle hashes."""
-    words = text.lower().split()
-    if not words:
-        none = np.zeros(0, _U)
-        return 0, none, none.astype(np.uint32)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    hashes = np.array([digest(join(g), 42) for g in grams], _U)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    whole = int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big")
-    starts = [0]
-    for at in np.flatnonzero(hashes % _U(CUT) == 0).tolist():
-        if at - starts[-1] >= LEAST:
-            starts.append(at)
-    sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    size = np.diff([*starts, len(hashes)])
-    parts = np.packbits(sums * 2 > size[:, None], axis=1).view(">u8").ravel().astype(_U)
-    return whole, np.unique(parts), np.unique(hashes >> _U(32))[:SKETCH].astype(np.uint32)
-
-
-def _describe(shingle: int):
+def _node(distinct: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(distinct.tobytes(), 42)
+
+
+def prefix(distinct: np.ndarray, common: np.ndarray, place: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The shingles of which a text at the similarity must share one; common: sorted, place: their order."""
+    n = len(distinct)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+        rank = np.where(common[at] == distinct, place[at], 0)
+    return distinct[np.argsort(rank, kind="stable")][: n - math.ceil(similarity * n - _LESS) + 1]
+
+
+def _describe(shingle: int, similarity: float, common: np.ndarray, place: np.ndarray):
+    get = shipped((common, place))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = get()
+        for batch in batches:
+            fp, node, size, first = [], [], [], []
+            for t in batch.cast(pa.binary()).to_pylist():
+                hashes = shingle_hashes(t or b"", shingle)
+                distinct = np.unique(hashes)
+                fp.append(_print(hashes))
+                node.append(_node(distinct))
+                size.append(len(distinct))
+                first.append(prefix(distinct, *known, similarity).view(np.int64))
+            longs = [pa.array(np.array(x, _U).view(np.int64)) for x in (fp, node)]
+            yield pa.StructArray.from_arrays([*longs, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["fp", "node", "n", "prefix"])
+
+    return F.arrow_udf(run, "fp long, node long, n int, prefix array<long>")
+
+
+def _sets(shingle: int):
+    """A text's node and all its distinct shingles."""
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [describe(t or b"", shingle) for t in batch.cast(pa.binary()).to_pylist()]
-            yield pa.StructArray.from_arrays(
-                [pa.array(np.array([f[0] for f in found], _U).view(np.int64)), pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[2].view(np.int32) for f in found], pa.list_(pa.int32()))], ["fp", "parts", "sketch"]
-            )
+            found = [np.unique(shingle_hashes(t or b"", shingle)) for t in batch.cast(pa.binary()).to_pylist()]
+            node = np.array([_node(x) for x in found], _U).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(node), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return F.arrow_udf(run, "fp long, parts array<long>, sketch array<int>")
+    return F.arrow_udf(run, "node long, shingles array<long>")
 
 
 def _similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in batches:
         out = []
         for x, y in zip(a, b, strict=True):
-            x, y = x.values.to_numpy().view(np.uint32), y.values.to_numpy().view(np.uint32)
-            both = np.union1d(x, y)
-            if len(x) >= SKETCH or len(y) >= SKETCH:
-                both = both[:SKETCH]
-            shared = np.isin(both, x, assume_unique=True) & np.isin(both, y, assume_unique=True)
-            out.append(float(shared.sum()) / max(1, len(both)))
+            x, y = x.values.to_numpy(), y.values.to_numpy()
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(shared / max(1, len(x) + len(y) - shared))
         yield pa.array(out, pa.float64())
 
 
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of a sample of (_order, text), sorted, and their places in the order, rare ones first."""
+    some = texts.where(F.pmod(F.xxhash64("_order"), F.lit(SAMPLE)) == 0)
+    counts = some.select(F.explode(_sets(shingle)("text")["shingles"]).alias("h")).groupBy("h").count().where("count > 2")
+    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    found = np.array([r.h for r in rows], np.int64).view(_U)
+    order = np.argsort(found)
+    return found[order], (len(rows) - np.arange(len(rows)))[order]
+
+
+def _may_reach(n: Column, rest: Column, m: Column, other: Column, similarity: float) -> Column:
+    """Whether texts of n and m shingles, rest and other of them left from a first common one on, can reach the similarity."""
+    return F.least(rest, other) >= (n + m) * (similarity / (1 + similarity)) - _LESS
+
+
 def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: the id, component_id (smallest id of its group), kept (whether it is that row)."""
-    told = _describe(shingle)(F.col(text_col).cast("string")).alias("told")
-    rows = written(documents.select(F.col(id_col), order_id(id_col).alias("_order"), told).select(id_col, "_order", "told.*"), "described")
-    texts = written(rows.groupBy("fp").agg(F.min("_order").alias("low"), F.min_by("sketch", "_order").alias("sketch")), "texts")
-    part = rows.select("fp", F.explode("parts").alias("part"))
-    first = part.groupBy("part").agg(F.min("fp").alias("v"), F.max("fp").alias("hi")).where("v <> hi").select("part", "v")
-    met = part.distinct().join(first, "part").where((F.col("fp") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= BITS))
-    met = written(met.select(F.col("fp").alias("u"), "v").distinct(), "met")
+    source = documents.select(F.col(id_col), order_id(id_col).alias("_order"), F.col(text_col).cast("string").alias("text"))
+    told = _describe(shingle, similarity, *_common(source, shingle))(F.col("text")).alias("told")
+    rows = written(source.select(F.col(id_col).alias("_id"), "_order", told).select("_id", "_order", "told.*"), "described")
+    texts = written(rows.groupBy("node").agg(F.min("_order").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+
+    part = texts.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+    alike = Window.partitionBy("token")
+    met = written(part.select("*", F.min("node").over(alike).alias("lo"), F.max("node").over(alike).alias("hi")).where("lo <> hi").drop("hi"), "met")
     tidy(documents.sparkSession)
-    asked = met.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    sketch = written(texts.select("fp", "sketch").join(asked, "fp", "left_semi"), "sketches")
-    pairs = met.join(sketch.withColumnsRenamed({"fp": "u", "sketch": "a"}), "u").join(sketch.withColumnsRenamed({"fp": "v", "sketch": "b"}), "v")
-    near = pairs.where(F.arrow_udf(_similarity, "double")("a", "b") >= similarity).select("u", "v")
-    group = components(near.unionByName(near_fingerprints(texts.select("fp"))))
-    root = texts.join(group, texts.fp == group.id, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    of = root.join(root.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(F.col(id_col), F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"), (F.col("_order") == F.col("component_id")).alias("kept"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) whose whole shingle sets reach the similarity."""
+        pairs = written(pairs, "pairs")
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", "low"), "node")
+        sets = source.join(asked, F.col("_order") == F.col("low")).select("node", _sets(shingle)("text").alias("told"))
+        sets = written(sets.where("told.node = node").groupBy("node").agg(F.first("told.shingles").alias("shingles")), "sets")
+        both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+        return written(both.where(F.arrow_udf(_similarity, "double")("a", "b") >= similarity).select("u", "v"), "near")
+
+    one = met.where("node = lo").select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"))
+    able = _may_reach(F.col("n"), F.col("rest"), F.col("m"), F.col("other"), similarity)
+    first = linked(met.where("node <> lo").join(one, "token").where(able).select(F.col("node").alias("u"), "v").distinct())
+    prints = texts.groupBy("fp").agg(F.min("node").alias("lo"))
+    same = texts.join(prints, "fp").where("node <> lo").select(F.col("node").alias("u"), F.col("lo").alias("v"))
+    near = near_fingerprints(prints.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("lo").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("lo").alias("v")), "b")
+    edges = written(first.unionByName(same).unionByName(near.select("u", "v")), "links")
+
+    group = components(edges).withColumnRenamed("id", "node")
+    placed = met.join(group, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("of"))
+    open_ = placed.groupBy("token").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("token")
+    placed = written(placed.join(open_, "token", "left_semi"), "placed")
+    # the smaller of a pair has the shingle early enough for a text of its own size
+    less = placed.where(_may_reach(F.col("n"), F.col("rest"), F.col("n"), F.col("rest"), similarity))
+    more = placed.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("of").alias("with"))
+    rest = less.join(more, "token").where((F.col("n") <= F.col("m")) & (F.col("of") != F.col("with")) & (F.col("node") != F.col("v")) & able)
+    rest = rest.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    tidy(documents.sparkSession)
+    group = components(edges.unionByName(linked(rest)))
+
+    root = texts.join(group, texts.node == group.id, "left").select("node", "low", F.coalesce("component", "node").alias("root"))
+    of = root.join(root.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
+    return rows.join(of, "node").select(F.col("_id").alias(id_col), F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"), (F.col("_order") == F.col("component_id")).alias("kept"))

@@ -116,6 +116,38 @@ def test_near_documents(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
+@pytest.mark.parametrize("kind", ["hot passage"])
+def test_near_documents_by_brute_force(spark, kind):
+    from ragscore.llm.near_documents import shingle_hashes
+
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(5000)}"
+    passage = [word() for _ in range(120)]
+    rows = []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words)))
+
+    if kind == "hot passage":
+        for _ in range(60):
+            add([*(word() for _ in range(r.choice([10, 15, 20, 25, 40]))), *passage])
+        for size in [15, 25, 40, 80] * 4:  # near copies, edited in their own words
+            own = [word() for _ in range(size)]
+            add([*own, *passage])
+            own[r.randrange(size)] = "edit"
+            add([*own, *passage])
+    sets = [set(shingle_hashes(t.encode()).tolist()) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            prints = [op4.fingerprint(rows[k][1].encode(), 5) for k in (i, j)]
+            if len(a & b) / len(a | b) >= 0.8 or (prints[0] ^ prints[1]).bit_count() <= 2:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(group))
+
+
 def test_top_k_and_vectors(spark):
     r = np.random.default_rng(2)
     vectors = [[float(x) for x in v] for v in r.normal(size=(300, 8))]
