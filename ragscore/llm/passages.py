@@ -168,7 +168,7 @@ def _pieces(text: bytes, width: int, unit: str):
     for i, w in enumerate(words):
         if held and size + len(w) + 1 >= BLOCK // 2 and len(held) >= 2 * width:
             yield b" ".join(held), first
-            held = held[-(width - 1) :]
+            held = held[len(held) - (width - 1) :]
             first = i - len(held)
             size = sum(map(len, held)) + len(held)
         held.append(w)

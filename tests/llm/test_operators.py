@@ -72,6 +72,29 @@ def test_long_text_is_cut_into_blocks(monkeypatch):
         assert seen == (len(text) - 19 if unit == "byte" else 9000 - 19)
 
 
+def test_texts_of_several_blocks(spark, monkeypatch):
+    from ragscore.llm import passages as P
+
+    r = random.Random(12)
+    words = [r.choice(["a", "bb", "ccc"]) + str(r.randrange(9000)) for _ in range(3000)]
+    small = " ".join(words).encode()
+    whole = repeats._unit_values(small, "word")
+    monkeypatch.setattr(P, "BLOCK", 3000)
+    assert np.array_equal(repeats._unit_values(small, "word"), whole)
+    monkeypatch.undo()
+    base = [f"{r.randrange(10**6)}" for _ in range(100_000)]
+    other = [w if i % 97 else f"x{i}" for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(other))]
+    assert min(len(t) for _, t in rows) > P.BLOCK
+    seen = {tuple(base[s : s + 20]) for s in range(len(base) - 19)}
+    gone = np.zeros(len(other), bool)
+    for s in range(len(other) - 19):
+        if tuple(other[s : s + 20]) in seen:
+            gone[s : s + 20] = True
+    got = {x.doc_id: x for x in op8.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and bytes(got[2].kept) == " ".join(w for w, g in zip(other, gone, strict=True) if not g).encode()
+
+
 def test_simhash_components(docs):
     got = op4.simhash_near_dedup(docs, carry=["lang"]).collect()
     prints = {i: op4.fingerprint((t or "").encode()) for i, t in _texts()}
