@@ -139,7 +139,7 @@ def test_near_documents(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
-@pytest.mark.parametrize("kind", ["hot passage"])
+@pytest.mark.parametrize("kind", ["hot passage", "short"])
 def test_near_documents_by_brute_force(spark, kind):
     from ragscore.llm.near_documents import shingle_hashes
 
@@ -159,6 +159,13 @@ def test_near_documents_by_brute_force(spark, kind):
             add([*own, *passage])
             own[r.randrange(size)] = "edit"
             add([*own, *passage])
+    if kind == "short":  # one word edited or added
+        for size in [1, 3, 5, 12, 15, 20, 30, 30, 40, 60] * 4:
+            text = [word() for _ in range(size)]
+            add(text)
+            add([*text, "more"])
+            text[r.choice([0, r.randrange(size)])] = "edit"
+            add(text)
     sets = [set(shingle_hashes(t.encode()).tolist()) for _, t in rows]
     group = list(range(len(rows)))
     for i, a in enumerate(sets):
