@@ -139,7 +139,7 @@ def test_near_documents(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
-@pytest.mark.parametrize("kind", ["hot passage", "short"])
+@pytest.mark.parametrize("kind", ["hot passage", "short", "threshold"])
 def test_near_documents_by_brute_force(spark, kind):
     from ragscore.llm.near_documents import shingle_hashes
 
@@ -166,6 +166,13 @@ def test_near_documents_by_brute_force(spark, kind):
             add([*text, "more"])
             text[r.choice([0, r.randrange(size)])] = "edit"
             add(text)
+    if kind == "threshold":  # long texts on both sides of it
+        for gone in range(20, 44, 2):
+            text = [word() for _ in range(600)]
+            add(text)
+            for at in range(gone):
+                text[at * 600 // gone] = "edit%d" % at
+            add(text)
     sets = [set(shingle_hashes(t.encode()).tolist()) for _, t in rows]
     group = list(range(len(rows)))
     for i, a in enumerate(sets):
