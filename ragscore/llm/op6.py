@@ -11,7 +11,8 @@ expected features, the expectation from the same two passes.  The labelled pages
 package that varies layouts, element names and class names, since the `pages` table has no labels; its size and seed
 are parameters.
 
-Defined cases: null or empty html gives an empty text; unclosed elements are closed by their parent's end; text outside
+Defined cases: null or empty html gives an empty text; unclosed elements are closed by their parent's end, options also
+by the next one, a head by the first text or element that can't stand in it; text outside
 any element counts as the body's; comments, scripts, styles, templates and titles have no text; character references
 are decoded; rows pass through in number, repeated rows get equal answers; columns other than html are not read.
 """
@@ -37,6 +38,9 @@ TRAINING_PAGES = 400
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style template noscript title iframe object svg math canvas audio video head textarea select option datalist".split())
 _RAW = frozenset("script style title textarea iframe noscript template".split())
+#: Start tags that leave a head open, and those that end a select.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_ENDS_SELECT = frozenset("select input textarea table caption tbody thead tfoot tr td th".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark meter output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li tr td th dt dd body html".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -89,13 +93,16 @@ class Block:
 def parse(page: str) -> Block:
     """The tree of block elements under a body that always exists."""
     root = now = Block("body", "", None)
-    silent, in_link, at, size = 0, 0, 0, len(page)
+    silent: list[str] = []  # the open element without text and all that is open inside it
+    in_link, at, size = 0, 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
         name = m[2]
         if name is None:
             text = m[0]
+            if silent == ["head"] and not text.startswith(("<!", "<?")) and text.strip():
+                silent.clear()
             if silent or text.startswith(("<!", "<?")):
                 continue
             now.parts.append(text)
@@ -106,21 +113,29 @@ def parse(page: str) -> Block:
         if m[1]:
             if tag == "a":
                 in_link = 0
-            if tag in _SILENT:
-                silent = max(0, silent - 1)
+            if tag in silent:
+                while silent.pop() != tag:
+                    pass
                 continue
-            if tag in _INLINE:
+            if tag in _SILENT or tag in _INLINE:
                 continue
             back = now
             while back is not None and back.tag != tag:
                 back = back.parent
             if back is not None and back is not root:
+                if "object" not in silent:  # an object alone is closed by nothing around it
+                    silent.clear()
                 now = back.parent
             continue
         if tag == "a":
             in_link = 1
-        if tag == "body" and silent:
-            silent = 0
+        if silent and (tag == "body" or silent == ["head"] and tag not in _HEAD or silent == ["option"] and tag in _CLOSES_P):
+            silent.clear()
+        if "select" in silent and tag in _ENDS_SELECT:
+            while silent.pop() != "select":
+                pass
+            if tag == "select":
+                continue
         if tag in _RAW and not m[3].endswith("/"):
             end = _RAW_END[tag].search(page, at)
             if end is None:
@@ -129,10 +144,14 @@ def parse(page: str) -> Block:
             at = size if close < 0 else close + 1
             continue
         if tag in _SILENT:
-            if tag not in ("input",) and not m[3].endswith("/"):
-                silent += 1
+            if not m[3].endswith("/"):
+                if tag == "option" and silent and silent[-1] == "option":
+                    silent.pop()
+                silent.append(tag)
             continue
         if silent:
+            if tag not in _VOID and tag != "html" and not m[3].endswith("/"):
+                silent.append(tag)
             continue
         if tag in ("br", "hr"):
             now.parts.append(" ")

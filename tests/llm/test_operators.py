@@ -242,6 +242,22 @@ def test_extraction(spark):
     assert model.prepared().extract(page) == ["T & U", "One two.", "Three four."]
 
 
+def test_omitted_end_tags_leave_the_text():
+    def text(page):
+        return "|".join(" ".join(own.split()) for own in op6.Page(page).own if own)
+
+    assert text("<form><select><option>A<option>B</select></form><p>One.") == "One."
+    assert text("<form><select><optgroup><option>A<optgroup><option>B</select></form><p>One.") == "One."
+    assert text("<div><select><option>A</div><p>One.") == "One."
+    assert text("<select><option>A<select><p>One.") == "One."
+    assert text("<option>A<option>B<p>One.") == "One."
+    assert text("<html><head><meta charset=x><title>T</title><script>x</script><p>One.<p>Two.") == "One.|Two."
+    assert text("<head><title>T</title> One.") == "One."
+    assert text("<head><!-- c --><link href=x></head><p>One.") == "One."
+    assert text("<div><object><div>a</div>b</object>One.</div><svg><g><path d=x></g><text>c</text></svg><p>Two.") == "One.|Two."
+    assert text("<datalist><option>A<option>B</datalist><p>One.") == "One."
+
+
 def test_marginals_match_enumeration():
     model = op6.trained(60).prepared()
     page = op6.Page("<div><p>a b.</p><ul><li>c</li></ul></div>")
