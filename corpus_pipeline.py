@@ -7,9 +7,10 @@ dropped as near-duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +40,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.withColumn("_gone", order_id("doc_id")).join(gone, "_gone", "left_anti").select(*docs.columns)
 
 
+def _whole_letters(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([None if x is None else x.decode("utf-8", "ignore") for x in batch.to_pylist()], pa.string())
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that start earlier elsewhere go from the texts; a letter cut in two goes with its bytes."""
     cut = op9.suffix_array_dedup(docs, carry=["lang", "source"])
     text = F.try_validate_utf8(F.col("kept").cast("string"))
-    cut = cut.withColumn("text", F.coalesce(text, F.make_valid_utf8(F.col("kept").cast("string"))))
-    text = F.regexp_replace("text", "�", "")
-    return cut.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")).select(*docs.columns)
+    text = F.coalesce(text, F.arrow_udf(_whole_letters, "string")(F.when(text.isNull(), F.col("kept"))))
+    cut = cut.withColumn("text", text)
+    return cut.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -317,3 +317,15 @@ def test_pipeline(spark):
     assert set(out.doc_id) <= ids and len(set(out.doc_id)) > 0.7 * len(ids)
     assert out.groupby("sequence_id").length.sum().max() <= 4096
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "language_id", "simhash_near_dedup", "suffix_array_dedup", "best_fit_packing"]
+
+
+def test_pipeline_keeps_replacement_characters(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(9)
+    base = "".join(r.choice("abcdef ") for _ in range(150))
+    rows = [(1, "a � stays", "en", "s", 9), (2, "é" + base, "en", "s", 9), (3, "� è" + base, "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert got[1] == "a � stays" and got[2] == "é" + base and got[3].startswith("� ") and base not in got[3]
+    docs = spark.createDataFrame([(1, "é" + base, "en", "s", 9), (2, "� \u0229" + base, "en", "s", 9)], docs.schema)  # share the second byte
+    assert pipeline.cut_repeats(spark, docs, SF).where("doc_id = 2").first().text == "� "
