@@ -5,12 +5,17 @@ up to about 14 bits, where no grid on segment popcounts prunes; farther pairs th
 prefix filter (Xiao et al., "Efficient similarity joins for near duplicate detection"), which misses no pair at any
 length.  All texts order their distinct shingles alike, common ones last: a pair at the similarity has its first common
 shingle in the first fifth of both, and what is left from there on must be able to hold the overlap.  The order comes
-from a sample of the texts; results don't depend on it.  Pairs are decided by the exact Jaccard similarity of their
-whole shingle sets, nothing is estimated.
+from a sample of the texts; results don't depend on it.  A met pair is first held against an upper bound of its overlap,
+the sum over hash buckets of the smaller of the two texts' counts; only pairs that could reach the similarity fetch
+their shingle sets, and the exact Jaccard similarity of these decides.  Nothing is estimated.
 
 Texts that share a shingle are first compared with one of them; then the pairs of such texts that are not yet in one
 component are compared too, so that no pair hangs on the choice of the one.  A group of copies costs rows in proportion
 to its distinct texts; pairs are listed only between components, where lengths and places allow the similarity.
+
+Defined cases: null and blank texts have no shingle, so they are copies of each other; texts of fewer words than a
+shingle have one; repeated rows and rows that repeat an id are rows of their own; a null id orders before all others and
+comes back as null; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragscore.llm.common import NULL_ID, components, order_id, tidy, written
+from ragscore.llm.common import NULL_ID, components, forget, order_id, tidy, written
 from ragscore.llm.op4 import near_fingerprints
 from ragscore.llm.shipping import shipped
 
@@ -32,6 +37,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: One text in SAMPLE tells which shingles are common, at most COMMON of them. Results don't depend on it.
 SAMPLE, COMMON = 16, 50_000
+#: Buckets of a text's counts, a power of two near its number of shingles. Results don't depend on it.
+BUCKETS = 4096
+#: Shingles that a worker holds before it sends them on.
+GROUP = 1 << 20
 #: Slack for bounds that are computed in floating point.
 _LESS = 1e-9
 _U = np.uint64
@@ -69,56 +78,87 @@ def prefix(distinct: np.ndarray, common: np.ndarray, place: np.ndarray, similari
     return distinct[np.argsort(rank, kind="stable")][: n - math.ceil(similarity * n - _LESS) + 1]
 
 
+def buckets(distinct: np.ndarray) -> bytes | None:
+    """How many shingles fall into each hash bucket, a byte each; None where a count passes a byte."""
+    counts = np.bincount((distinct & _U(min(BUCKETS, 1 << len(distinct).bit_length()) - 1)).astype(np.int64))
+    return None if len(counts) and counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes | None, b: bytes | None, n: int, m: int) -> int:
+    """An upper bound of the shingles that texts of n and m shingles share, from their bucket counts."""
+    if a is None or b is None:
+        return min(n, m)
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int32) for c in (a, b))
+    size = min(BUCKETS, 1 << min(n, m).bit_length())
+    x, y = (np.pad(c, (0, -len(c) % size)).reshape(-1, size).sum(0) for c in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _describe(shingle: int, similarity: float, common: np.ndarray, place: np.ndarray):
     get = shipped((common, place))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = get()
         for batch in batches:
-            fp, node, size, first = [], [], [], []
-            for t in batch.cast(pa.binary()).to_pylist():
-                hashes = shingle_hashes(t or b"", shingle)
+            fp, node, size, first, marks = [], [], [], [], []
+            for t in batch.cast(pa.binary()):
+                hashes = shingle_hashes(t.as_py() or b"", shingle)
                 distinct = np.unique(hashes)
                 fp.append(_print(hashes))
                 node.append(_node(distinct))
                 size.append(len(distinct))
                 first.append(prefix(distinct, *known, similarity).view(np.int64))
+                marks.append(buckets(distinct))
             longs = [pa.array(np.array(x, _U).view(np.int64)) for x in (fp, node)]
-            yield pa.StructArray.from_arrays([*longs, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["fp", "node", "n", "prefix"])
+            yield pa.StructArray.from_arrays([*longs, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["fp", "node", "n", "prefix", "marks"])
+
+    return F.arrow_udf(run, "fp long, node long, n int, prefix array<long>, marks binary")
 
-    return F.arrow_udf(run, "fp long, node long, n int, prefix array<long>")
+
+def _can_reach(similarity: float):
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for a, b, n, m in batches:
+            sizes = zip(a, b, n.to_pylist(), m.to_pylist(), strict=True)
+            yield pa.array([most_shared(x.as_py(), y.as_py(), i, j) * (1 + similarity) >= (i + j) * similarity - _LESS for x, y, i, j in sizes], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
 
 
 def _sets(shingle: int):
-    """A text's node and all its distinct shingles."""
+    """A text's node and all its distinct shingles; rows leave in groups of bounded size."""
+    kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t or b"", shingle)) for t in batch.cast(pa.binary()).to_pylist()]
-            node = np.array([_node(x) for x in found], _U).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(node), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return F.arrow_udf(run, "node long, shingles array<long>")
+            node, found, held = [], [], 0
+            for at, t in enumerate(batch.cast(pa.binary())):
+                x = np.unique(shingle_hashes(t.as_py() or b"", shingle))
+                node.append(_node(x))
+                found.append(x.view(np.int64))
+                held += len(x)
+                if held > GROUP or at + 1 == len(batch):
+                    yield pa.StructArray.from_arrays([pa.array(np.array(node, _U).view(np.int64)), pa.array(found, kind)], ["node", "shingles"])
+                    node, found, held = [], [], 0
 
-
-def _similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for a, b in batches:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(shared / max(1, len(x) + len(y) - shared))
-        yield pa.array(out, pa.float64())
+    return F.arrow_udf(run, "node long, shingles array<long>").asNondeterministic()  # so that it is not run once more in a filter
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of a sample of (_order, text), sorted, and their places in the order, rare ones first."""
+    """Common shingles of a sample of (_order, text), sorted, and their places in the order, rare ones first.
+
+    Those that occur more than c times, c being the least number that at most COMMON of them pass.
+    """
     some = texts.where(F.pmod(F.xxhash64("_order"), F.lit(SAMPLE)) == 0)
     counts = some.select(F.explode(_sets(shingle)("text")["shingles"]).alias("h")).groupBy("h").count().where("count > 2")
-    rows = counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    counts = written(counts, "common")
+    many = counts.groupBy("count").agg(F.count("*").alias("n"))
+    passed = many.select("count", F.sum("n").over(Window.orderBy(F.desc("count"))).alias("upto")).where(F.col("upto") <= COMMON)
+    least = passed.agg(F.min("count")).first()[0]
+    rows = counts.where(F.col("count") >= least).orderBy("count", "h").collect() if least else []
     found = np.array([r.h for r in rows], np.int64).view(_U)
     order = np.argsort(found)
-    return found[order], (len(rows) - np.arange(len(rows)))[order]
+    forget(counts)
+    return found[order], (1 + np.arange(len(rows)))[order]
 
 
 def _may_reach(n: Column, rest: Column, m: Column, other: Column, similarity: float) -> Column:
@@ -131,7 +171,8 @@ def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     source = documents.select(F.col(id_col), order_id(id_col).alias("_order"), F.col(text_col).cast("string").alias("text"))
     told = _describe(shingle, similarity, *_common(source, shingle))(F.col("text")).alias("told")
     rows = written(source.select(F.col(id_col).alias("_id"), "_order", told).select("_id", "_order", "told.*"), "described")
-    texts = written(rows.groupBy("node").agg(F.min("_order").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    texts = written(rows.groupBy("node").agg(F.min("_order").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks")), "texts")
+    rows = rows.select("_id", "_order", "node")
 
     part = texts.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
     alike = Window.partitionBy("token")
@@ -140,12 +181,19 @@ def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) whose whole shingle sets reach the similarity."""
-        pairs = written(pairs, "pairs")
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", "low"), "node")
+        marks = texts.select("node", "n", "marks")
+        both = pairs.join(marks.toDF("u", "un", "um"), "u").join(marks.toDF("v", "vn", "vm"), "v")
+        some = written(both.where(_can_reach(similarity)("um", "vm", "un", "vn")).select("u", "v", "un", "vn"), "pairs")
+        tidy(documents.sparkSession)
+        asked = some.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", "low"), "node")
         sets = source.join(asked, F.col("_order") == F.col("low")).select("node", _sets(shingle)("text").alias("told"))
-        sets = written(sets.where("told.node = node").groupBy("node").agg(F.first("told.shingles").alias("shingles")), "sets")
-        both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
-        return written(both.where(F.arrow_udf(_similarity, "double")("a", "b") >= similarity).select("u", "v"), "near")
+        sets = written(sets.where("told.node = node").select("node", "told.shingles").dropDuplicates(["node"]), "sets")
+        tidy(documents.sparkSession)
+        both = some.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        near = written(both.where(shared / (F.col("un") + F.col("vn") - shared) >= similarity).select("u", "v"), "near")
+        forget(sets)
+        return near
 
     one = met.where("node = lo").select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"))
     able = _may_reach(F.col("n"), F.col("rest"), F.col("m"), F.col("other"), similarity)
