@@ -2,8 +2,9 @@
 
 Every window of ``width`` consecutive units (bytes or words) of a text is assigned to an *anchor*: the position of the
 smallest hash among the ``gram``-unit substrings inside the window, leftmost on ties.  The choice depends on nothing but
-the window's content, so equal windows always have equal anchors at equal offsets.  Consecutive windows that share one
-anchor form a *run*; the text a run covers is hashed once.  Two rows per about ``width - gram`` units are then enough to
+the window's content, so equal windows always have equal anchors at equal offsets (unequal ones may share an anchor,
+which costs a comparison, no more).  Consecutive windows that share one anchor form a *run*; the bytes a run covers are
+hashed once, by XXH64.  Two rows per about ``width - gram`` units are then enough to
 find every repeated window of a corpus, where a plain table of windows needs one row per unit.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 #: Units a block of texts holds at most; a position inside a block fits the low bits of an anchor key.
 BLOCK_BITS = 20
@@ -75,13 +77,26 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Units:
-    """The units of a block of texts. item: the text each unit is of; base: a text's first unit; skip: units of its text before the block."""
+    """The units of a block of texts.
+
+    values choose anchors; raw holds the units' bytes and decides.  item: the text each unit is of; base: a text's first
+    unit; skip: units of its text before the block; starts, stops: bytes of each word.
+    """
 
     values: np.ndarray
     item: np.ndarray
     base: np.ndarray
     skip: np.ndarray
-    raw: np.ndarray | None = None
+    raw: bytes = b""
+    starts: np.ndarray | None = None
+    stops: np.ndarray | None = None
+
+    def digests(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """XXH64 of the bytes of the units [start, stop), one blank between words."""
+        if self.starts is not None:
+            start, stop = self.starts[start], self.stops[stop - 1]
+        raw, digest = memoryview(self.raw), xxhash.xxh64_intdigest
+        return np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), _U, len(start))
 
 
 @dataclass
@@ -112,14 +127,15 @@ def scan(units: Units, prefix: Prefix, width: int, gram: int) -> Runs:
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])])
     count = np.diff(np.r_[first, len(at)])
     start = at[first]
-    content = mix(prefix.hashes(start, start + count + width - 1))
+    content = units.digests(start, start + count + width - 1)
     return Runs(units.item[start], start, count, anchor[first] - start, mix(grams[anchor[first]]), content)
 
 
 def byte_units(texts: list[bytes], skip: list[int]) -> Units:
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+    joined = b"".join(texts)
+    raw = np.frombuffer(joined, np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
-    return Units(BYTE_VALUE[raw], np.repeat(np.arange(len(texts), dtype=np.int32), size), np.cumsum(size) - size, np.array(skip, np.int64), raw)
+    return Units(BYTE_VALUE[raw], np.repeat(np.arange(len(texts), dtype=np.int32), size), np.cumsum(size) - size, np.array(skip, np.int64), joined)
 
 
 def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +145,14 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_units(texts: list[bytes], skip: list[int]) -> Units:
+    texts = [b" ".join(t.split()) for t in texts]
     joined = b" ".join(texts)
     raw = np.frombuffer(joined, np.uint8)
     size = np.array([len(t) + 1 for t in texts], np.int64)
     starts, stops = word_spans(raw)
     values = mix(Prefix(BYTE_VALUE[raw]).hashes(starts, stops)) if len(starts) else np.zeros(0, _U)
     item = (np.searchsorted(np.cumsum(size), starts, "right")).astype(np.int32)
-    return Units(values, item, np.searchsorted(item, np.arange(len(texts))), np.array(skip, np.int64))
+    return Units(values, item, np.searchsorted(item, np.arange(len(texts))), np.array(skip, np.int64), joined, starts, stops)
 
 
 def blocks(texts: list[bytes], width: int, unit: str):

@@ -1,19 +1,23 @@
 """Exact removal of repeated windows, over bytes (suffix sort) or words (FM-index).
 
 A window of ``width`` units is removed where an equal one starts earlier: in a smaller doc_id, or before it in the same
-document.  Nothing is approximate and no unit is left out; the plan keeps one row per anchor run (see passages.py):
-
-1. scan      each block of texts gives its runs; a run whose content the block already holds is settled on the spot, so
-             a group of copies sends one row per block, whatever its size;
-2. settle    runs with one anchor meet in one task, sorted by Spark's spilling sort.  Later runs of equal content are
-             repeats; an anchor with one content needs nothing more;
-3. compare   the first run of each content of an anchor with several contents is fetched from its text and compared,
+document.  No unit is left out; the plan keeps one row per anchor run (see passages.py):
+
+1. scan      each block of texts gives its runs; a run whose content the block, or lately the task, already holds is
+             settled on the spot, so a group of copies sends few rows per task, whatever its size;
+2. settle    runs of one content meet in one task, sorted by Spark's spilling sort; later ones are repeats;
+3. meet      contents are counted by anchor in partial aggregates; an anchor with one content needs nothing more.  Rows
+             are dealt by anchor and salt, so that an anchor with very many contents spreads;
+4. compare   the first run of each content of an anchor with several contents is fetched from its text and compared,
              window by window, with the others: operator 9 range-partitions them by leading bytes at sampled splitters
              and sorts by multikey quicksort, operator 8 searches an FM-index per shard;
-4. cut       the settled spans of a document are merged and removed.
+5. cut       the settled spans of a document are merged and removed.
 
 An anchor with more than HOT contents (the edge of a passage that very many documents share) is not gathered in one
-place: its windows travel one by one under their own hash, again after each block has settled its own.
+place: its windows travel one by one under their own hash, again after each batch has settled its own.
+
+Contents count as equal where the 64-bit hash of the anchor and the XXH64 of the bytes both agree, single windows where
+128 bits (XXH3) of their bytes do; what the suffix sort and the FM-index compare is bytes and words themselves.
 """
 
 from __future__ import annotations
@@ -22,18 +26,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragscore.llm import passages as P
-from ragscore.llm.common import order_id, tidy, written
+from ragscore.llm.common import forget, order_id, tidy, written
 
 #: Contents of an anchor beyond which its windows are dealt out singly. Results don't depend on it.
 HOT = 256
 #: Windows that are compared at once.
 SLICE = 150_000
-#: Texts that are cut at once.
-ROWS = 256
+#: Texts and bytes of them that are cut at once.
+ROWS, BYTES = 256, 1 << 26
+#: Tasks that the contents of one anchor are dealt to, and contents that a scanning task remembers.
+SALTS, LATELY = 8, 1 << 16
 _SCAN = "key long, content long, doc long, loc long, extra int"
 _FOUND = "key long, doc long, loc long, extra int, stop int"
 _FETCHED = "lead long, key long, doc long, loc long, extra int, stop int, content binary"
@@ -77,8 +85,30 @@ def _joined(doc: np.ndarray, loc: np.ndarray, width: int) -> tuple[np.ndarray, n
     return doc[first], loc[first], (loc[last] & 0xFFFFFFFF) + width
 
 
+class Lately:
+    """Contents that a task has sent lately with their first places; those seen again stay longest."""
+
+    def __init__(self):
+        self.key, self.content = np.zeros((2, LATELY), np.uint64)
+        self.doc, self.loc, self.use = np.zeros((3, LATELY), np.int64)
+
+    def knows(self, key: np.ndarray, content: np.ndarray, doc: np.ndarray, loc: np.ndarray) -> np.ndarray:
+        """Which of these distinct contents were sent with an earlier place; the others are noted."""
+        at = (content % np.uint64(LATELY)).astype(np.int64)
+        hit = (self.use[at] > 0) & (self.key[at] == key) & (self.content[at] == content)
+        known = hit & ((self.doc[at] < doc) | ((self.doc[at] == doc) & (self.loc[at] < loc)))
+        self.use[at[~hit]] -= 1
+        self.use[at[hit]] = 8
+        note = np.flatnonzero(~known & (hit | (self.use[at] <= 0)))
+        to = at[note]
+        self.key[to], self.content[to], self.doc[to], self.loc[to] = key[note], content[note], doc[note], loc[note]
+        self.use[to] = np.maximum(self.use[to], 1)
+        return known
+
+
 def _scan(width: int, gram: int, unit: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lately = Lately()
         for batch in batches:
             texts = _texts(batch)
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
@@ -97,6 +127,8 @@ def _scan(width: int, gram: int, unit: str) -> Callable:
                 new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
                 later = (d != d[lead]) | (x != x[lead])
+                first = np.flatnonzero(~later)
+                later[first] = lately.knows(k[first], c[first], d[first], x[first])
                 keep, drop = order[~later], order[later]
                 extra = runs.count[keep] | (runs.anchor[keep] << _COUNT_BITS)
                 yield _arrow(_SCAN, key=_signed(runs.anchor_hash[keep]), content=_signed(runs.content_hash[keep]), doc=doc[keep], loc=loc[keep], extra=extra)
@@ -126,11 +158,10 @@ def _cut(start: np.ndarray, stop: np.ndarray, units: P.Units) -> tuple[np.ndarra
 
 
 def _settle(width: int) -> Callable:
-    """Reads rows sorted by (key, content, doc, loc); holds one row between batches."""
+    """Reads rows sorted by (key, content, doc, loc); the first of each content asks for a comparison, later ones are spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # first row of the last content of the last key
-        pending, several = None, False  # the last key's first row, if not sent yet; whether the key had two contents
+        held: dict | None = None  # first row of the last content
         for batch in batches:
             cols = {n: batch.column(n).to_numpy() for n in ("key", "content", "doc", "loc", "extra")}
             span = cols["extra"] < 0
@@ -140,76 +171,67 @@ def _settle(width: int) -> Callable:
                 cols = {k: v[~span] for k, v in cols.items()}
             if not len(cols["key"]):
                 continue
-            carried = held is not None
-            if carried:
+            if held is not None:
                 cols = {k: np.r_[held[k], v] for k, v in cols.items()}
             k, c, d, x, extra = cols.values()
-            new_key = np.r_[True, k[1:] != k[:-1]]
-            new = new_key | np.r_[True, c[1:] != c[:-1]]
+            new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (d != d[lead]) | (x != x[lead])
-            group = np.cumsum(new_key) - 1
-            contents = np.bincount(group, weights=new).astype(np.int64)
-            ask = new & (contents[group] > 1)
-            if carried:
-                if several:
-                    ask |= new & (group == 0)
-                elif contents[0] > 1 and pending is not None and pending["content"] != c[0]:
-                    raise AssertionError("rows are not sorted")
-                if several or pending is None:
-                    ask[0] = False  # sent before
-            last = group[-1]
-            had = several and last == 0 and carried
-            several = bool(had or contents[last] > 1)
-            pending = None
-            at = lead[-1]
-            if not several:
-                pending = {n: v[at] for n, v in cols.items()}
-            held = {n: v[at : at + 1] for n, v in cols.items()}
-            rows = np.flatnonzero(ask)
+            rows = np.flatnonzero(new)[0 if held is None else 1 :]  # the held row was sent before
             if len(rows):
                 yield _arrow(_FOUND, key=k[rows], doc=d[rows], loc=x[rows], extra=extra[rows], stop=np.full(len(rows), -1))
             rows = np.flatnonzero(later)
             if len(rows):
-                yield _arrow(_FOUND, key=np.zeros(len(rows)), doc=d[rows], loc=x[rows], extra=np.full(len(rows), -1), stop=(x[rows] & 0xFFFFFFFF) + (extra[rows] & _COUNT) + width - 1)
+                doc, loc, stop = _spans_of(d[rows], x[rows], (x[rows] & 0xFFFFFFFF) + (extra[rows] & _COUNT) + width - 1)
+                yield _arrow(_FOUND, key=np.zeros(len(doc)), doc=doc, loc=loc, extra=np.full(len(doc), -1), stop=stop)
+            held = {n: v[lead[-1] : lead[-1] + 1] for n, v in cols.items()}
 
     return run
 
 
-def _unit_values(text: bytes, unit: str) -> np.ndarray:
-    if unit == "byte":
-        return np.frombuffer(text, np.uint8)
-    parts = [P.word_units([piece], [0]).values for piece, _ in P._pieces(text, 1, "word")] if len(text) >= P.BLOCK else [P.word_units([text], [0]).values]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+def _spans_of(doc: np.ndarray, loc: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (doc, loc, stop), those that meet in one text joined."""
+    order = np.lexsort((loc, doc))
+    doc, loc, stop = doc[order], loc[order], stop[order]
+    text = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (loc[1:] >> 32 != loc[:-1] >> 32)])
+    reach = np.maximum.accumulate((text << 33) + stop)
+    new = np.flatnonzero(np.r_[True, (text << 33)[1:] + (loc[1:] & 0xFFFFFFFF) > reach[:-1]])
+    last = np.r_[new[1:] - 1, len(doc) - 1]
+    return doc[new], loc[new], reach[last] - (text[last] << 33)
 
 
 def _fetch(width: int, unit: str) -> Callable:
-    """The units of the asked runs; windows of hot anchors singly, without units, repeats inside a batch settled."""
+    """The bytes of the asked runs; windows of hot anchors singly, without bytes, repeats inside a batch settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch)
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
             out: dict[str, list] = {n: [] for n in ("lead", "key", "doc", "loc", "extra", "content")}
-            singles: list[np.ndarray] = []
-            for i, text in enumerate(texts):
-                values = _unit_values(text, unit)
-                hashed = P.BYTE_VALUE[values] if unit == "byte" else values
-                for r in batch.column("asked")[i].values.to_pylist() if batch.column("asked")[i].is_valid else []:
+            singles: list[tuple] = []
+            hashed = bytearray()
+            for i, asked in enumerate(batch.column("asked").to_pylist()):
+                text = batch.column("text")[i].as_buffer().to_pybytes()
+                units = text if unit == "byte" else text.split()
+                piece = (lambda a, b, u=units: u[a:b]) if unit == "byte" else (lambda a, b, u=units: b" ".join(u[a:b]))
+                for r in asked or []:
                     start, count, anchor = r["start"], r["extra"] & _COUNT, r["extra"] >> _COUNT_BITS
-                    piece = values[start : start + count + width - 1]
+                    place = (int(tags[i]) << 32) | start
                     if r["hot"]:
-                        h = P.mix(P.Prefix(hashed[start : start + count + width - 1]).all_of(width))
-                        singles.append(np.stack([_signed(h), np.full(count, docs[i]), (tags[i] << 32) | np.arange(start, start + count), hashed[start : start + count].view(np.int64)]))
+                        for s in range(start, start + count):
+                            hashed += xxhash.xxh3_128_digest(piece(s, s + width))
+                        singles.append((docs[i], place, count))
                         continue
-                    for n, v in (("key", r["key"]), ("doc", docs[i]), ("loc", (int(tags[i]) << 32) | start), ("extra", count), ("content", piece.tobytes())):
+                    content = piece(start, start + count + width - 1)
+                    for n, v in (("key", r["key"]), ("doc", docs[i]), ("loc", place), ("extra", count), ("content", content)):
                         out[n].append(v)
-                    out["lead"].append(int.from_bytes(piece[anchor : anchor + 8].tobytes(), "big") - (1 << 63) if unit == "byte" else 0)
-            n = len(out["key"])
-            if n:
-                yield _arrow(_FETCHED, **out, stop=np.full(n, -1))
+                    out["lead"].append(int.from_bytes(content[anchor : anchor + 8], "big") - (1 << 63) if unit == "byte" else 0)
+            if out["key"]:
+                yield _arrow(_FETCHED, **out, stop=np.full(len(out["key"]), -1))
             if singles:
-                key, doc, loc, lead = np.concatenate(singles, 1)
+                key, lead = np.frombuffer(hashed, np.int64).reshape(-1, 2).T
+                doc, loc, count = (np.array(v, np.int64) for v in zip(*singles, strict=True))
+                loc = np.repeat(loc, count) + np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+                doc = np.repeat(doc, count)
                 order = np.lexsort((loc, doc, lead, key))
                 key, doc, loc, lead = key[order], doc[order], loc[order], lead[order]
                 new = np.r_[True, (key[1:] != key[:-1]) | (lead[1:] != lead[:-1])]
@@ -319,9 +341,10 @@ def equal_by_fm_index(width: int) -> Callable:
 
     def equal(part: dict, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((part["loc"], part["doc"]))  # then an earlier place in the text is an earlier window
-        pieces = [np.frombuffer(part["content"][i], np.uint64) for i in order]
+        pieces = [part["content"][i].split(b" ") for i in order]
         sizes = np.array([len(p) for p in pieces], np.int64)
-        known, ids = np.unique(np.concatenate(pieces), return_inverse=True)
+        known: dict[bytes, int] = {}
+        ids = np.array([known.setdefault(w, len(known)) for p in pieces for w in p], np.int64)
         first = np.cumsum(sizes + 1) - (sizes + 1)
         text = np.ones(int((sizes + 1).sum()), np.int64)  # 1 parts the documents
         text[np.repeat(first, sizes) + np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = ids + 2
@@ -348,14 +371,17 @@ def spans(documents: DataFrame, id_col: str, text_col: str, width: int, gram: in
     spark = documents.sparkSession
     texts = keyed(documents, id_col, text_col).select("doc", "tag", "text")
     runs = texts.mapInArrow(_scan(width, gram, unit), _SCAN)
-    found = written(runs.repartition("key").sortWithinPartitions("key", "content", "doc", "loc").mapInArrow(_settle(width), _FOUND), "found")
+    found = written(runs.repartition("key", "content").sortWithinPartitions("key", "content", "doc", "loc").mapInArrow(_settle(width), _FOUND), "found")
     del runs
     tidy(spark)
-    asked = found.where("stop < 0")
-    hot = asked.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    leads = found.where("stop < 0").select("key", "doc", "loc", "extra", F.pmod(F.xxhash64("doc", "loc"), F.lit(SALTS)).cast("int").alias("salt"))
+    several = leads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    several = several.select("key", (F.col("n") > HOT).alias("hot"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
     tag, start = F.shiftright("loc", 32).cast("int").alias("tag"), F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")
-    asked = asked.join(hot, "key", "left").select("doc", tag, F.struct(start, "extra", "key", F.coalesce("hot", F.lit(False)).alias("hot")).alias("run"))
-    asked = asked.groupBy("doc", "tag").agg(F.collect_list("run").alias("asked"))
+    asked = leads.join(several, ["key", "salt"]).select("doc", tag, F.struct(start, "extra", "key", "hot").alias("run"))
+    asked = written(asked.groupBy("doc", "tag").agg(F.collect_list("run").alias("asked")), "asked")
+    del leads, several
+    tidy(spark)
     fetched = texts.join(asked, ["doc", "tag"]).mapInArrow(_fetch(width, unit), _FETCHED)
     if unit == "byte":
         fetched = fetched.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "lead", "key")
@@ -366,7 +392,9 @@ def spans(documents: DataFrame, id_col: str, text_col: str, width: int, gram: in
     compared = fetched.sortWithinPartitions("lead", "key", "doc", "loc").mapInArrow(_compare(width, equal), _SPANS)
     every = found.where("stop >= 0").select("doc", "loc", "stop").unionByName(compared)
     every = written(every.groupBy("doc", tag).agg(F.collect_list(F.struct(start, "stop")).alias("spans")), "spans")
-    del fetched, compared, asked, hot, texts  # with their shuffle files, before the texts are shuffled again
+    forget(found)
+    forget(asked)
+    del fetched, compared, asked, found, texts  # with their shuffle files, before the texts are shuffled again
     tidy(spark)
     return every
 
@@ -383,43 +411,43 @@ def keyed(documents: DataFrame, id_col: str, text_col: str, carry: list[str] = (
     )
 
 
-def _apply(unit: str, joiner: bytes) -> Callable:
+def _apply(unit: str) -> Callable:
+    where = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            total, removed, n_spans, kept, where = [], [], [], [], []
-            for i, text in enumerate(_texts(batch)):
-                cell = batch.column("spans")[i]
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            first = size = 0
+            for i in range(batch.num_rows):
+                text, cell = batch.column("text")[i].as_buffer().to_pybytes(), batch.column("spans")[i]
                 units = text if unit == "byte" else text.split()
                 n = len(units)
-                total.append(n)
-                if not cell.is_valid:
-                    removed.append(0)
-                    n_spans.append(0)
-                    where.append([])
-                    kept.append(text if unit == "byte" else joiner.join(units))
-                    continue
-                v = cell.values
-                s, e = _merge(v.field("start").to_numpy().astype(np.int64), v.field("stop").to_numpy().astype(np.int64))
-                removed.append(int((e - s).sum()))
-                n_spans.append(len(s))
-                where.append([{"start": int(a), "stop": int(b)} for a, b in zip(s, e, strict=True)])
+                s = e = np.zeros(0, np.int64)
+                if cell.is_valid:
+                    v = cell.values
+                    s, e = _merge(v.field("start").to_numpy().astype(np.int64), v.field("stop").to_numpy().astype(np.int64))
                 edges = zip([0, *e.tolist()], [*s.tolist(), n], strict=True)
-                kept.append(b"".join(units[a:b] for a, b in edges) if unit == "byte" else joiner.join(joiner.join(units[a:b]) for a, b in edges if b > a))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_carry"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())],
-                ["_id", "_carry", "n_units", "n_removed", "n_spans", "removed", "kept"],
-            )
+                kept = b"".join(units[a:b] for a, b in edges) if unit == "byte" else b" ".join(w for a, b in edges for w in units[a:b])
+                for o, x in zip(out, (n, int((e - s).sum()), len(s), [{"start": a, "stop": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)], kept), strict=True):
+                    o.append(x)
+                size += len(kept)
+                if i + 1 - first == ROWS or size > BYTES or i + 1 == batch.num_rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), where, pa.binary())
+                    part = batch.slice(first, i + 1 - first)
+                    yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_carry"), *map(pa.array, out, kinds)], ["_id", "_carry", *OWN])
+                    out, first, size = [[], [], [], [], []], i + 1, 0
 
     return run
 
 
+OWN = ("n_units", "n_removed", "n_spans", "removed", "kept")
+
+
 def without_repeats(documents: DataFrame, id_col: str, text_col: str, width: int, gram: int, unit: str, carry: list[str] = ()) -> DataFrame:
     """One row per input row: the id, n_units, n_removed, n_spans, removed (spans) and kept (bytes), then carried columns."""
     found = spans(documents, id_col, text_col, width, gram, unit)
-    rows = keyed(documents, id_col, text_col, carry)
-    kinds = {c: documents.schema[c].dataType.simpleString() for c in (id_col, *carry)}
-    carried = ", ".join(f"`{c}`: {kinds[c]}" for c in carry) or "_none: void"
-    out = rows.join(found, ["doc", "tag"], "left").select("_id", "text", "_carry", "spans")
-    out = out.mapInArrow(_apply(unit, b" "), f"_id {kinds[id_col]}, _carry struct<{carried}>, n_units long, n_removed long, n_spans long, removed array<struct<start: long, stop: long>>, kept binary")
-    own = ("n_units", "n_removed", "n_spans", "removed", "kept")
-    return out.select(F.col("_id").alias(id_col), *own, *[F.col("_carry").getField(c).alias(c) for c in carry if c not in (*own, id_col)])
+    rows = keyed(documents, id_col, text_col, carry).join(found, ["doc", "tag"], "left").select("_id", "text", "_carry", "spans")
+    span = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "stop")])
+    own = zip(OWN, (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(span), T.BinaryType()), strict=True)
+    out = rows.mapInArrow(_apply(unit), T.StructType([rows.schema["_id"], rows.schema["_carry"], *[T.StructField(n, t) for n, t in own]]))
+    return out.select(F.col("_id").alias(id_col), *OWN, *[F.col("_carry").getField(c).alias(c) for c in carry if c not in (*OWN, id_col)])
