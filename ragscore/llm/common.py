@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -42,11 +43,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder that the session names in spark.checkpoint.dir; a local one only in local mode, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="llm-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -77,6 +80,16 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def lowest(rows: DataFrame, at: str, n: int, also: Column, *ties: str) -> DataFrame:
+    """At most n rows of the lowest hashes in the column ``at`` for which ``also`` holds, a sample that is alike each time.
+
+    Rows are counted first, without ``also``, and only hashes up to about 1.5 n of them go on, so that no partition sends n rows.
+    """
+    total = rows.select(at).count()
+    upto = -(1 << 63) + min((1 << 64) - 1, int((1.5 * n + 500) / max(1, total) * (1 << 64)))
+    return rows.where((F.col(at) <= upto) & also).orderBy(at, *ties).limit(n)
+
+
 def order_id(name: str) -> Column:
     """A long that orders rows by id, nulls first."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))

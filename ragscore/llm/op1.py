@@ -13,7 +13,8 @@ once.  At most MAX_TOKENS tokens, those of the largest z, are kept.
 
 Defined cases: null and blank texts have no segment and get the score of a text without evidence; texts are read whole;
 without labels of both kinds every score is the share of toxic rows, 0 if none; repeated rows get equal answers; ids with
-several labels count with each; columns other than id and text are not read.
+several labels count with each; columns other than id and text are not read, one that has the name of the answer
+(``into``) gives way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscore.llm.common import written
+from ragscore.llm.common import lowest, written
 from ragscore.llm.op10 import held_out
 from ragscore.llm.shipping import shipped
 
@@ -133,7 +134,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    ids = ids.orderBy(F.xxhash64(F.col(id_col).cast("string")), label_col).limit(fit_rows)
+    ids = lowest(ids.withColumn("_at", F.xxhash64(F.col(id_col).cast("string"))), "_at", fit_rows, F.lit(True), label_col)
     ids = ids.select(F.col(id_col).alias("_label_id"), (F.col(label_col) > 0).cast("int").alias("toxic"))
     # fit_rows ids at most, so the broadcast is bounded
     rows = documents.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), F.col(id_col) == F.col("_label_id"))
@@ -199,9 +200,9 @@ def _scorer(model: Model) -> Callable[[Column], Column]:
     return F.arrow_udf(run, f"score double, segments {_SEGMENTS}")
 
 
-def toxicity(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input with a struct column toxicity: score and segments (token spans with their scores)."""
-    return documents.withColumn("toxicity", _scorer(model)(F.col(text_col).cast("string")))
+def toxicity(documents: DataFrame, model: Model, text_col: str = "text", into: str = "toxicity") -> DataFrame:
+    """The input with a struct column ``into``: score and segments (token spans with their scores)."""
+    return documents.withColumn(into, _scorer(model)(F.col(text_col).cast("string")))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

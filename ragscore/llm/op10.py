@@ -5,11 +5,12 @@ cover it whole (the last one is padded).  Filters of several widths slide over a
 (max pooling), and a softmax layer turns these into class probabilities.  A document's prediction is the class with the
 highest mean log-probability over its windows, weighted by their bytes; its score is the mean probability of that class.
 
-The network is trained in numpy, by Adam on cross-entropy, on at most ``fit_rows`` labelled rows (lowest hash of the id
-first), one window from a hashed place of each text.
+The network is trained in numpy, by Adam on cross-entropy, on all windows of at most ``fit_rows`` labelled texts (lowest
+hash of the id first).
 
 Defined cases: null text and text without a letter give ``und`` with score 0; without any labelled row everything is
-``und``; rows pass through in number, repeated rows get equal answers; columns other than id and text are not read.
+``und``; rows pass through in number, repeated rows get equal answers; columns other than id, text and, for training,
+language are not read; a column that has the name of the answer (``into``) gives way to it.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragscore.llm.common import lowest
+
 WINDOW = 512
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-FIT_ROWS = 8_000
+FIT_ROWS = 2_000
 UNKNOWN = "und"
 HELD_OUT = 2
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = re.compile(r"[^\W\d_]").search  # letters, and numbers such as one half
 _CLEAN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -37,6 +40,11 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    found = _LETTER(text)
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def to_bytes(text: str) -> bytes:
     return text.lower().encode().translate(_CLEAN)
 
@@ -132,7 +140,7 @@ class ByteCnn:
         return self
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.classes or not _LETTER(text):
+        if text is None or not self.classes or not has_letter(text):
             return UNKNOWN, 0.0
         raw = to_bytes(text)
         x = windows(raw)
@@ -163,7 +171,7 @@ class ByteCnn:
             held, many = [], 0
 
         for i, text in enumerate(texts):
-            if text is None or not self.classes or not _LETTER(text):
+            if text is None or not self.classes or not has_letter(text):
                 continue
             if len(text) > 64 * WINDOW:
                 out[i] = self.predict(text)
@@ -181,17 +189,16 @@ class ByteCnn:
 def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> ByteCnn:
     """The network, from a bounded sample of rows that are not held out and have a language and a letter."""
     text = F.col(text_col).cast("string")
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.greatest(F.lit(1), F.length(text) - WINDOW // 2)).cast("int") + 1
-    rows = documents.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
-    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(lang_col).cast("string").alias("lang"), F.substring(text, place, F.lit(WINDOW)).alias("text"))
-    rows = rows.orderBy("at", "text").limit(fit_rows).select("lang", "text")
-    table = rows.toArrow()
+    rows = documents.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("at"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    table = lowest(rows, "at", fit_rows, rows.text.rlike(r"\p{L}"), "text").select("lang", "text").toArrow()
     langs = table["lang"].to_pylist()
     classes = sorted(set(langs))
     model = ByteCnn(classes)
     if classes:
-        x = np.concatenate([windows(to_bytes(t)[:WINDOW]) for t in table["text"].to_pylist()])
-        model.fit(x, np.array([classes.index(v) for v in langs]))
+        x = [windows(to_bytes(t)) for t in table["text"].to_pylist()]
+        y = np.repeat([classes.index(v) for v in langs], [len(w) for w in x])
+        model.fit(np.concatenate(x), y)
     return model
 
 
@@ -209,9 +216,9 @@ def _predictor(model: ByteCnn) -> Callable[[Column], Column]:
     return F.arrow_udf(run, "lang_pred string, score double")
 
 
-def language_id(documents: DataFrame, model: ByteCnn, text_col: str = "text") -> DataFrame:
-    """The input with a struct column language (lang_pred, score)."""
-    return documents.withColumn("language", _predictor(model)(F.col(text_col).cast("string")))
+def language_id(documents: DataFrame, model: ByteCnn, text_col: str = "text", into: str = "language") -> DataFrame:
+    """The input with a struct column ``into`` (lang_pred, score)."""
+    return documents.withColumn(into, _predictor(model)(F.col(text_col).cast("string")))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ queries meets every block of candidates in a task of its own; nothing is broadca
 vertical layout, a row for each dimension.  Scores grow dimension block by dimension block; after each, a candidate
 whose score plus the largest value that the remaining dimensions can add (the product of the remaining norms) stays
 below the query's k-th best guaranteed score is dropped, and the survivors are compacted.  All sums are integers below
-2**53, so double precision is exact; a task whose values could exceed that uses Python's integers.
+2**53, so double precision is exact; a task whose values could exceed that uses Python's integers.  A score beyond 64
+bits is held at that end of the range, and ties there go to smaller ids like any other.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; an empty vector scores 0;
+Defined cases: vectors that are null or hold null or non-finite components (or such once times 256) take no part; an empty vector scores 0;
 vectors of different lengths are compared as if the shorter ended in zeros; fewer than k other rows give all of them;
 repeated ids are separate rows, a query skips rows of its own id; rows with a null id take no part; extra columns are ignored.
 """
@@ -21,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragscore.llm.common import written
-
 K = 5
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 8192
 #: Dimensions added between two prunings.
 DIMENSIONS = 16
+_MOST = (1 << 63) - 1
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -81,12 +81,12 @@ def _task(k: int) -> Callable:
         if np.abs(q).max() * np.abs(c).max() * width >= 2**53:
             exact = [[int(x) for x in v] for v in c]
             found = ((i, np.setdiff1d(np.arange(len(c)), at[i]), v) for i, v in enumerate(q))
-            found = ((i, r, np.array([sum(int(a) * b for a, b in zip(v, exact[j], strict=True)) for j in r], object)) for i, r, v in found)
+            found = ((i, r, np.array([max(-_MOST - 1, min(_MOST, sum(int(a) * b for a, b in zip(v, exact[j], strict=True)))) for j in r], np.int64)) for i, r, v in found)
         else:
             found = branch_and_bound(q, np.ascontiguousarray(c.T), at, k)
         out: list[list[np.ndarray]] = [[], [], []]
         for i, rows, score in found:
-            best = np.lexsort((ci[rows], -score))[:k]
+            best = np.lexsort((ci[rows], ~score if score.dtype == np.int64 else -score))[:k]
             for o, v in zip(out, (np.full(len(best), qi[i]), ci[rows[best]], score[best].astype(np.int64)), strict=True):
                 o.append(v)
         return pa.table([np.concatenate(o) for o in out], schema=_OUT)
@@ -100,8 +100,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: s
 
     def clean(df: DataFrame) -> DataFrame:
         vec = F.col(vec_col).cast("array<double>")
-        whole = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        vec = F.transform(vec, lambda x: F.floor(x * 256).cast("double"))
+        whole = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 256) < float("inf")))
+        vec = F.transform(vec, lambda x: F.when(F.abs(x) < 2.0**44, F.floor(x * 256).cast("double")).otherwise(x * 256))  # whole above
         return df.where(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
 
     q, c = clean(queries), clean(candidates)

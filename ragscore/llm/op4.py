@@ -85,25 +85,23 @@ def near_fingerprints(prints: DataFrame) -> DataFrame:
 
 def simhash_near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: list[str] = ()) -> DataFrame:
     """One row per input row: the id, fingerprint (long), component_id (smallest id reachable), kept (first of its component), carried columns."""
-    rows = documents.select(F.col(id_col), order_id(id_col).alias("_order"), _fingerprints(shingle)(F.col(text_col).cast("string")).alias("fp"))
+    own = {id_col, "fingerprint", "component_id", "kept"}
+    extra = [c for c in carry if c not in own]
+    going = F.struct(*[F.col(c) for c in extra]).alias("_carry") if extra else F.lit(0).alias("_carry")
+    rows = documents.select(F.col(id_col).alias("_id"), order_id(id_col).alias("_order"), _fingerprints(shingle)(F.col(text_col).cast("string")).alias("fp"), going)
     rows = written(rows, "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("_order").alias("low")), "prints")
     group = components(near_fingerprints(prints.select("fp")))
     root = prints.join(group, prints.fp == group.id, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = root.groupBy("root").agg(F.min("low").alias("component_id"))
     of = root.join(lows, "root").select("fp", "component_id")
-    out = rows.join(of, "fp").select(
-        F.col(id_col),
+    return rows.join(of, "fp").select(
+        F.col("_id").alias(id_col),
         F.col("fp").alias("fingerprint"),
         F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"),
         (F.col("_order") == F.col("component_id")).alias("kept"),
+        *[F.col("_carry").getField(c).alias(c) for c in extra],
     )
-    own = {id_col, "fingerprint", "component_id", "kept"}
-    extra = [c for c in carry if c not in own]
-    if not extra:
-        return out
-    first = documents.groupBy(id_col).agg(*[F.first(c).alias(c) for c in extra])
-    return out.join(first, out[id_col].eqNullSafe(first[id_col])).select(*[out[c] for c in out.columns], *extra)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

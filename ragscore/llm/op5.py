@@ -40,6 +40,14 @@ _IDS = struct.Struct("<I")
 #: A word's last symbol lies this far above the plain one.
 _END = 0x1000
 
+#: Ranges of the letters and numbers that Unicode 16 added; lower-case letters that 16 and 17 added.
+UNICODE_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x113D3), (0x116D0, 0x116E3),
+    (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+]
+LOWER_NEW = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER_NEW |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+
 
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
@@ -109,9 +117,11 @@ class Bpe:
     def _patterns(self, pattern: str) -> None:
         """The pattern for Latin-1 texts, with its classes spelled out, and for all others.
 
-        Letters and numbers that Unicode has gained since the library's tables (Python's are of that age) are neither there.
+        Letters and numbers that Unicode has gained since the library's tables, of version 16, are neither there; Python's
+        tables are older, so those that came with that version are listed.
         """
-        new = "".join(regex.escape(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) if unicodedata.category(c) == "Cn")
+        known = {chr(c) for first, last in UNICODE_16 for c in range(first, last + 1)}
+        new = "".join(regex.escape(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) if unicodedata.category(c) == "Cn" and c not in known)
         fixed = pattern.replace(r"[^\s\p{L}\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}][{new}]]").replace(r"[\p{L}]", f"[\\p{{L}}--[{new}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{new}]]") if new else pattern
         self.find = regex.compile(fixed, regex.V1).findall
         sets = {k: "".join(re.escape(chr(c)) for c in range(256) if regex.match(k, chr(c))) for k in (r"[\p{L}]", r"[\p{N}]", r"[^\s\p{L}\p{N}]")}
@@ -200,7 +210,7 @@ class Bpe:
             text.encode("latin-1")
         except UnicodeEncodeError:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter, so no final sigma
-            return b"".join(map(self.words.__getitem__, self.find(text.lower())))
+            return b"".join(map(self.words.__getitem__, self.find(text.lower().translate(LOWER_NEW))))
         return b"".join(map(self.words.__getitem__, self.find_latin(text.lower())))
 
     def encode(self, text: str | None) -> np.ndarray:

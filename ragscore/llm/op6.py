@@ -383,9 +383,9 @@ def _extractor(model: TreeModel) -> Callable[[Column], Column]:
     return F.arrow_udf(run, "array<string>")
 
 
-def extract_text(pages: DataFrame, model: TreeModel | None = None, html_col: str = "html") -> DataFrame:
-    """The input with blocks (array<string>): the texts of content blocks in page order."""
-    return pages.withColumn("blocks", _extractor(model or trained())(F.col(html_col).cast("string")))
+def extract_text(pages: DataFrame, model: TreeModel | None = None, html_col: str = "html", into: str = "blocks") -> DataFrame:
+    """The input with ``into`` (array<string>): the texts of content blocks in page order. A column of that name gives way."""
+    return pages.withColumn(into, _extractor(model or trained())(F.col(html_col).cast("string")))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Operator 7: near-duplicate vectors by spherical k-means cells.
 
-Centroids are fitted on a bounded sample (``fit_rows`` vectors by hash order).  A vector lives in the cell of its nearest
-centroid and is also shown to each cell whose similarity is within ``margin`` of that one; inside a cell the vectors
-that live there are compared, block by block, with all that are shown there, so each link of a vector is counted once,
-at its home.  Single-precision products only propose pairs; the cosine that decides is computed in double precision.
-
-A near-copy y of x differs by at most sqrt(2 - 2t); its similarities to two centroids move against each other by that
-length times the centroids' distance in the direction of the difference, which is normal with deviation of about
-0.055 in 64 dimensions at t = 0.95.  The margin is four such deviations at the threshold and more for closer pairs;
-README.md gives the recall measured against brute force.
+Centroids are fitted on a bounded sample (``fit_rows`` vectors by hash order); there are at most a quarter as many.  A
+vector lives in the cell of its nearest centroid and is also shown to other cells where a vector linked to it may live;
+inside a cell the vectors that live there are compared, block by block, with all that are shown there, so each link of a
+vector is counted once, at its home.  Single-precision products only propose pairs; the cosine that decides is computed
+in double precision.
+
+A linked x is at most sqrt(2 - 2t) away from y.  For x to live at centroid c while y lives at b, x - y must make up for
+(b - c).y, so |x - y| |b - c| cos(angle between the two) >= (b - c).y.  The cosine of the angle between two directions in
+d dimensions is about normal with deviation 1/sqrt(d): y is shown to c where ``spread`` such deviations reach, spread 3
+by default.  With ``spread=None`` the angle is not bounded at all, which loses no link (the exact way, for any data) and
+shows each vector to more cells.  README.md gives the recall measured against brute force.
 
 Equal vectors are compared once, by their least id and their number.  A cell's vectors are dealt into blocks by hash;
 homes of a block meet all blocks shown to the cell, so that no task holds more than two blocks at once.  Each block
@@ -28,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscore.llm.common import NULL_ID, components, order_id, written
+from ragscore.llm.common import NULL_ID, components, lowest, order_id, written
 
 THRESHOLD = 0.95
 FIT_ROWS = 20_000
-MARGIN = 0.22
+SPREAD = 3.0
 #: Vectors of a cell that one block holds.
 BLOCK = 4096
-MAX_CELLS = 4096
+#: Vectors whose similarities to all centroids are held at once.
+ROWS = 1024
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -56,24 +59,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _assign(centroids: dict[int, np.ndarray], margin: float) -> Callable:
+def _assign(centroids: dict[int, np.ndarray], threshold: float, spread: float | None) -> Callable:
+    reach = {}
+    for d, c in centroids.items():
+        apart = np.sqrt(np.maximum(0, 2 - 2 * np.clip(c @ c.T, -1, 1)))
+        reach[d] = np.sqrt(max(0.0, 2 - 2 * threshold)) * apart * (1.0 if spread is None else min(1.0, spread / np.sqrt(d))) + 1e-9
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             dims = batch.column("dims").to_numpy()
             for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                part = batch.take(pa.array(at))
-                x = _matrix(part.column("vec"))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                c = centroids.get(int(d))
-                sims = x @ c.T if c is not None else np.zeros((len(x), 1))
-                best = sims.argmax(1)
-                row, cell = np.nonzero(sims >= sims.max(1, keepdims=True) - margin)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell + (d.astype(np.int64) << 32)), pa.array(cell == best[row]), *[part.column(n).take(pa.array(row)) for n in ("id", "n", "vec")]], ["cell", "home", "id", "n", "vec"]
-                )
+                of = np.flatnonzero(dims == d)
+                for at in np.split(of, range(ROWS, len(of), ROWS)):
+                    part = batch.take(pa.array(at))
+                    x = _matrix(part.column("vec"))
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    c = centroids.get(int(d))
+                    sims = x @ c.T if c is not None else np.zeros((len(x), 1))
+                    best = sims.argmax(1)
+                    row, cell = np.nonzero(sims.max(1, keepdims=True) - sims <= (reach[int(d)][best] if c is not None else 0))
+                    columns = [part.column(n).take(pa.array(row)) for n in ("id", "n", "vec")]
+                    yield pa.RecordBatch.from_arrays([pa.array(cell + (d.astype(np.int64) << 32)), pa.array(cell == best[row]), *columns], ["cell", "home", "id", "n", "vec"])
 
     return run
 
@@ -132,7 +140,7 @@ def _compare(threshold: float) -> Callable:
     return run
 
 
-def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, margin: float = MARGIN, fit_rows: int = FIT_ROWS, cells: int | None = None) -> DataFrame:
+def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, spread: float | None = SPREAD, fit_rows: int = FIT_ROWS, cells: int | None = None) -> DataFrame:
     """One row per vector: the id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     vec = F.col(vec_col).cast("array<double>")
@@ -141,17 +149,17 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     distinct = rows.where("vec is not null").groupBy("vec").agg(F.min("order").alias("id"), F.count("*").alias("n"))
     distinct = written(distinct.select("id", "n", "vec", F.size("vec").alias("dims")), "distinct")
     total = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("vec")).limit(fit_rows).select("vec").toArrow()["vec"].to_pylist() if total else []
-    k = cells or int(np.clip(np.sqrt(total), 1, MAX_CELLS))
+    sample = lowest(distinct.select("vec", F.xxhash64("vec").alias("at")), "at", fit_rows, F.lit(True)).select("vec").toArrow()["vec"].to_pylist()
+    k = cells or max(1, min(int(np.sqrt(total)), fit_rows // 4))
     centroids: dict[int, np.ndarray] = {}
     for d in {len(v) for v in sample}:
         x = np.array([v for v in sample if len(v) == d])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         centroids[d] = spherical_kmeans(x, min(k, len(x)))
-    shown = distinct.select("dims", "id", "n", "vec").mapInArrow(_assign(centroids, margin), "cell long, home boolean, id long, n long, vec array<double>")
+    shown = distinct.select("dims", "id", "n", "vec").mapInArrow(_assign(centroids, threshold, spread), "cell long, home boolean, id long, n long, vec array<double>")
     shown = written(shown, "cells")
     size = shown.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("hb"), F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("sb")).where("hb > 0")
-    sized = shown.join(F.broadcast(size), "cell")  # at most MAX_CELLS rows for each vector length
+    sized = shown.join(F.broadcast(size), "cell")  # at most fit_rows / 4 rows for each vector length
     spread = F.xxhash64("id")
     homes = sized.where("home").select("cell", F.pmod(spread, F.col("hb")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("j"), "id", "n", "vec")
     others = sized.select("cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("i"), F.pmod(spread, F.col("sb")).cast("int").alias("j"), "id", "n", "vec")

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 op1 = pytest.importorskip("ragscore.llm.op1")
-from ragscore.llm import op2, op3, op4, op5, op6, op7, op8, op9, op10, repeats  # noqa: E402
+from ragscore.llm import common, op2, op3, op4, op5, op6, op7, op8, op9, op10, repeats  # noqa: E402
+from ragscore.llm import near_documents as near_documents_module  # noqa: E402
 from ragscore.llm.labelled_pages import labelled_page  # noqa: E402
 from ragscore.llm.near_documents import near_documents  # noqa: E402
 
@@ -309,6 +310,74 @@ def test_classifier_edge_cases(spark):
     assert out[1] == out[2] == out[3] == "und" and len(out) == 5
 
 
+def test_numbers_that_are_no_letters():
+    model = op10.ByteCnn(["en", "fr"])
+    assert all(model.predict(t) == (op10.UNKNOWN, 0.0) for t in ("½ ² ½", "Ⅷ", "", "12", None)) and model.predict("½ a")[0] != op10.UNKNOWN
+    texts = ["the word ½", None, "²", "mot " * 9000, "a"]
+    assert model.predict_all(texts) == pytest.approx([model.predict(t) for t in texts])
+    slow = [model.predict(t) for t in texts]
+    model.ready()
+    for (a, x), (b, y) in zip(slow, model.predict_all(texts), strict=True):
+        assert a == b and x == pytest.approx(y, abs=1e-5)
+
+
+def test_scores_beyond_64_bits(spark):
+    big = 2.0**40
+    rows = [(0, [big, big]), (1, [big, big]), (2, [-big, -big]), (3, [1.0, -0.5]), (4, [2.0**1020, 0.0]), (None, [big, big])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.score) for x in op2.exact_top_k(df.where("vec_id = 0"), df).orderBy("rank").collect()]
+    assert got == [(1, (1 << 63) - 1), (3, 256 * 2**39 * 256), (2, -(1 << 63))]
+
+
+def test_carried_columns_are_the_rows_own(spark):
+    rows = spark.createDataFrame([(1, "first", "a"), (1, "second", "b"), (None, "third", None)], "doc_id long, text string, note string")
+    assert {(r.doc_id, r.note) for r in op4.simhash_near_dedup(rows, carry=["note"]).collect()} == {(1, "a"), (1, "b"), (None, None)}
+
+
+def test_answers_take_free_names(spark):
+    rows = spark.createDataFrame([(1, "the word", 5, 6, 7, "<p>x")], "doc_id long, text string, toxicity int, language int, blocks int, html string")
+    out = op6.extract_text(op10.language_id(op1.toxicity(rows, op1.Model(), into="a"), op10.ByteCnn(["en"]), into="b"), op6.TreeModel(), into="c").first()
+    assert (out.toxicity, out.language, out.blocks) == (5, 6, 7)
+
+
+def test_new_letters_are_split_as_by_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    library, own = tokenizers.Tokenizer.from_file(op5.default_path()), op5.load(op5.default_path())
+    for c in [0x1C89, 0xA7CB, 0xA7CE, 0xA7DC, 0x10D41, 0x10D50, 0x11390, 0x13460, 0x16D40, 0x16EA0, 0x1E5D0, 0x323B0, 0x18E00]:
+        for text in (f"ab{chr(c)}cd", f"!{chr(c)}!"):
+            assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_lowest_hashes_are_a_bounded_sample(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("at"))
+    got = common.lowest(rows, "at", 100, F.col("id") % 5 != 0)
+    want = sorted((r.at, r.id) for r in rows.collect() if r.id % 5)[:100]
+    assert sorted((r.at, r.id) for r in got.collect()) == want and common.lowest(rows.limit(0), "at", 5, F.lit(True)).count() == 0
+
+
+def test_links_between_many_vectors(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(900, 64))
+    near = base[r.integers(0, 900, 2500)] + r.normal(size=(2500, 64)) * 0.25
+    x = np.concatenate([base, near, base[:50]])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for spread, least in ((None, 1.0), (op7.SPREAD, 0.98)):
+        got = {v.vec_id: v.n_links for v in op7.embedding_near_dedup(df, spread=spread).collect()}
+        links = np.array([got[i] for i in range(len(x))])
+        assert (links <= want).all() and links.sum() >= least * want.sum() > 0
+
+
+def test_bounds_of_shared_shingles():
+    r = np.random.default_rng(1)
+    for n, m, k in [(0, 3, 0), (5, 9, 2), (300, 700, 250), (9000, 5000, 3000)]:
+        pool = np.unique(r.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        a, b = pool[:n], pool[max(0, n - k) : max(0, n - k) + m]
+        shared = len(np.intersect1d(a, b))
+        assert shared <= near_documents_module.most_shared(near_documents_module.buckets(a), near_documents_module.buckets(b), len(a), len(b)) <= min(len(a), len(b))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
@@ -328,6 +397,23 @@ def test_pipeline(spark):
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "language_id", "simhash_near_dedup", "suffix_array_dedup", "best_fit_packing"]
 
 
+def test_pipeline_stages_carry_all_columns(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(3)
+    base = "".join(r.choice("abcdef ") for _ in range(150))
+    rows = [(1, "x" + base, "en", None, 9, 4, "k1"), (2, "y" + base, None, "s", None, None, "k2"), (2, "y" + base, None, "s", None, None, "k3"), (3, None, "en", "s", 0, 1, None), (None, "", "fr", "s", 0, 1, "k5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, toxicity int, kept string").withColumn("language", F.lit(3)).withColumn("a b", F.struct(F.lit(1).alias("x y")))
+    for name, stage in pipeline.STAGES[:-1]:
+        for table in (docs, docs.where("false")):
+            out = stage(spark, table, SF)
+            assert out.columns == docs.columns and out.schema == docs.schema, name
+            got = {x.kept: (x.toxicity, x.language) for x in out.collect()}
+            assert all(got[x[-1]] == (x[-2], 3) for x in rows if x[-1] in got), name
+    cut = {x.kept: x for x in pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert cut["k1"].text == "x" + base and cut["k2"].text == cut["k3"].text == "y" and cut["k2"].n_chars == 1 and cut["k2"]["a b"]["x y"] == 1
+    assert {x.kept for x in pipeline.drop_near_copies(spark, docs, SF).collect()} >= {"k1", "k2"}
+
+
 def test_pipeline_keeps_replacement_characters(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(9)
