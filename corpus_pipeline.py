@@ -3,6 +3,9 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.  Every
 stage reads all that its predecessor kept.  Rows that share a doc_id share the fate of that id where documents are
 dropped as near-duplicates.
+
+Defined cases: texts that are null or have no letter go with the language stage, as do rows whose class is less likely
+than LEAST_LANGUAGE_SCORE; further columns go along unchanged whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,22 +25,35 @@ from ragscore.llm.near_documents import near_documents
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def _all(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the operator's cut go."""
     model = op1.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op1.toxicity(docs, model).where(F.col("toxicity.score") < op1.CUT).select(*docs.columns)
+    told = _free(docs, "toxicity")
+    return op1.toxicity(docs, model, into=told).where(F.col(told)["score"] < op1.CUT).select(*_all(docs))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go: without a letter, or without a class that stands out."""
-    scored = op10.language_id(docs, op10.train(docs))
-    return scored.where((F.col("language.lang_pred") != op10.UNKNOWN) & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    told = _free(docs, "language")
+    scored = op10.language_id(docs, op10.train(docs), into=told)
+    return scored.where((F.col(told)["lang_pred"] != op10.UNKNOWN) & (F.col(told)["score"] >= LEAST_LANGUAGE_SCORE)).select(*_all(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one of the smallest id."""
     gone = near_documents(docs).where(~F.col("kept")).select(order_id("doc_id").alias("_gone")).distinct()
-    return docs.withColumn("_gone", order_id("doc_id")).join(gone, "_gone", "left_anti").select(*docs.columns)
+    return docs.join(gone, order_id("doc_id") == F.col("_gone"), "left_anti")
 
 
 def _whole_letters(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -47,11 +63,13 @@ def _whole_letters(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that start earlier elsewhere go from the texts; a letter cut in two goes with its bytes."""
-    cut = op9.suffix_array_dedup(docs, carry=["lang", "source"])
+    rest = F.struct(*[F.col(c) for c in _all(docs) if c not in ("`text`", "`n_chars`")])
+    cut = op9.suffix_array_dedup(docs.select("doc_id", "text", rest.alias("_rest")), carry=["_rest"])
     text = F.try_validate_utf8(F.col("kept").cast("string"))
     text = F.coalesce(text, F.arrow_udf(_whole_letters, "string")(F.when(text.isNull(), F.col("kept"))))
     cut = cut.withColumn("text", text)
-    return cut.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return cut.select(*[own[c].alias(c) if c in own else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
