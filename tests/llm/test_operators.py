@@ -314,11 +314,10 @@ def test_numbers_that_are_no_letters():
     model = op10.ByteCnn(["en", "fr"])
     assert all(model.predict(t) == (op10.UNKNOWN, 0.0) for t in ("½ ² ½", "Ⅷ", "", "12", None)) and model.predict("½ a")[0] != op10.UNKNOWN
     texts = ["the word ½", None, "²", "mot " * 9000, "a"]
-    assert model.predict_all(texts) == pytest.approx([model.predict(t) for t in texts])
-    slow = [model.predict(t) for t in texts]
-    model.ready()
-    for (a, x), (b, y) in zip(slow, model.predict_all(texts), strict=True):
-        assert a == b and x == pytest.approx(y, abs=1e-5)
+    one, many = [model.predict(t) for t in texts], model.predict_all(texts)
+    for told in (many, model.ready().predict_all(texts)):
+        for (a, x), (b, y) in zip(one, told, strict=True):
+            assert a == b and x == pytest.approx(y, abs=1e-5)
 
 
 def test_scores_beyond_64_bits(spark):
@@ -411,7 +410,7 @@ def test_pipeline_stages_carry_all_columns(spark):
             assert all(got[x[-1]] == (x[-2], 3) for x in rows if x[-1] in got), name
     cut = {x.kept: x for x in pipeline.cut_repeats(spark, docs, SF).collect()}
     assert cut["k1"].text == "x" + base and cut["k2"].text == cut["k3"].text == "y" and cut["k2"].n_chars == 1 and cut["k2"]["a b"]["x y"] == 1
-    assert {x.kept for x in pipeline.drop_near_copies(spark, docs, SF).collect()} >= {"k1", "k2"}
+    assert {x.kept for x in pipeline.drop_near_copies(spark, docs, SF).collect()} == {"k1", "k5"}
 
 
 def test_pipeline_keeps_replacement_characters(spark):
