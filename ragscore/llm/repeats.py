@@ -40,6 +40,8 @@ HOT = 256
 SLICE = 150_000
 #: Texts and bytes of them that are cut at once.
 ROWS, BYTES = 256, 1 << 26
+#: Bytes of fetched runs that a worker holds before it sends them on.
+FETCHED = 1 << 22
 #: Tasks that the contents of one anchor are dealt to, and contents that a scanning task remembers.
 SALTS, LATELY = 8, 1 << 16
 _SCAN = "key long, content long, doc long, loc long, extra int"
@@ -201,53 +203,61 @@ def _spans_of(doc: np.ndarray, loc: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 
 
 def _fetch(width: int, unit: str) -> Callable:
-    """The bytes of the asked runs; windows of hot anchors singly, without bytes, repeats inside a batch settled."""
+    """The bytes of the asked runs; windows of hot anchors singly, without bytes, repeats inside a group of texts settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
             out: dict[str, list] = {n: [] for n in ("lead", "key", "doc", "loc", "extra", "content")}
             singles: list[tuple] = []
-            hashed = bytearray()
-            for i, asked in enumerate(batch.column("asked").to_pylist()):
-                text = batch.column("text")[i].as_buffer().to_pybytes()
+            hashed, size = bytearray(), 0
+            for i in range(batch.num_rows):
+                text, asked = batch.column("text")[i].as_buffer().to_pybytes(), batch.column("asked")[i].values
                 units = text if unit == "byte" else text.split()
                 piece = (lambda a, b, u=units: u[a:b]) if unit == "byte" else (lambda a, b, u=units: b" ".join(u[a:b]))
-                for r in asked or []:
-                    start, count, anchor = r["start"], r["extra"] & _COUNT, r["extra"] >> _COUNT_BITS
+                for start, extra, key, hot in zip(*(asked.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("start", "extra", "key", "hot")), strict=True):
+                    count, anchor = extra & _COUNT, extra >> _COUNT_BITS
                     place = (int(tags[i]) << 32) | start
-                    if r["hot"]:
+                    if hot:
                         for s in range(start, start + count):
                             hashed += xxhash.xxh3_128_digest(piece(s, s + width))
                         singles.append((docs[i], place, count))
                         continue
                     content = piece(start, start + count + width - 1)
-                    for n, v in (("key", r["key"]), ("doc", docs[i]), ("loc", place), ("extra", count), ("content", content)):
+                    for n, v in (("key", key), ("doc", docs[i]), ("loc", place), ("extra", count), ("content", content)):
                         out[n].append(v)
                     out["lead"].append(int.from_bytes(content[anchor : anchor + 8], "big") - (1 << 63) if unit == "byte" else 0)
-            if out["key"]:
-                yield _arrow(_FETCHED, **out, stop=np.full(len(out["key"]), -1))
-            if singles:
-                key, lead = np.frombuffer(hashed, np.int64).reshape(-1, 2).T
-                doc, loc, count = (np.array(v, np.int64) for v in zip(*singles, strict=True))
-                loc = np.repeat(loc, count) + np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
-                doc = np.repeat(doc, count)
-                order = np.lexsort((loc, doc, lead, key))
-                key, doc, loc, lead = key[order], doc[order], loc[order], lead[order]
-                new = np.r_[True, (key[1:] != key[:-1]) | (lead[1:] != lead[:-1])]
-                at = np.flatnonzero(new)[np.cumsum(new) - 1]
-                later = (doc != doc[at]) | (loc != loc[at])
-                rows = ~later
-                m = int(rows.sum())
-                yield _arrow(_FETCHED, lead=lead[rows], key=key[rows], doc=doc[rows], loc=loc[rows], extra=np.zeros(m), stop=(loc[rows] & 0xFFFFFFFF) + width, content=pa.nulls(m, pa.binary()))
-                if later.any():
-                    doc, loc, stop = _joined(doc[later], loc[later], width)
-                    m = len(doc)
-                    yield _arrow(_FETCHED, lead=P.mix(doc.astype(np.uint64)).view(np.int64), key=loc, doc=doc, loc=loc, extra=np.full(m, -1), stop=stop, content=pa.nulls(m, pa.binary()))
+                    size += len(content)
+                if size > FETCHED or len(hashed) > FETCHED or i + 1 == batch.num_rows:
+                    if out["key"]:
+                        yield _arrow(_FETCHED, **out, stop=np.full(len(out["key"]), -1))
+                    if singles:
+                        yield from _windows_once(hashed, singles, width)
+                    out, singles, hashed, size = {n: [] for n in out}, [], bytearray(), 0
 
     return run
 
 
+def _windows_once(hashed: bytearray, singles: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    """The first of equal windows; the others as spans."""
+    key, lead = np.frombuffer(bytes(hashed), np.int64).reshape(-1, 2).T
+    doc, loc, count = (np.array(v, np.int64) for v in zip(*singles, strict=True))
+    loc = np.repeat(loc, count) + np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+    doc = np.repeat(doc, count)
+    order = np.lexsort((loc, doc, lead, key))
+    key, doc, loc, lead = key[order], doc[order], loc[order], lead[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (lead[1:] != lead[:-1])]
+    at = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (doc != doc[at]) | (loc != loc[at])
+    rows = ~later
+    m = int(rows.sum())
+    yield _arrow(_FETCHED, lead=lead[rows], key=key[rows], doc=doc[rows], loc=loc[rows], extra=np.zeros(m), stop=(loc[rows] & 0xFFFFFFFF) + width, content=pa.nulls(m, pa.binary()))
+    if later.any():
+        doc, loc, stop = _joined(doc[later], loc[later], width)
+        m = len(doc)
+        yield _arrow(_FETCHED, lead=P.mix(doc.astype(np.uint64)).view(np.int64), key=loc, doc=doc, loc=loc, extra=np.full(m, -1), stop=stop, content=pa.nulls(m, pa.binary()))
+
+
 def _compare(width: int, equal: Callable) -> Callable:
     """Reads rows sorted by (lead, key, doc, loc). equal: marks the windows of whole groups that start earlier too."""
 
