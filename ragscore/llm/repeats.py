@@ -5,13 +5,13 @@ document.  No unit is left out; the plan keeps one row per anchor run (see passa
 
 1. scan      each block of texts gives its runs; a run whose content the block, or lately the task, already holds is
              settled on the spot, so a group of copies sends few rows per task, whatever its size;
-2. settle    runs of one content meet in one task, sorted by Spark's spilling sort; later ones are repeats;
-3. meet      contents are counted by anchor in partial aggregates; an anchor with one content needs nothing more.  Rows
-             are dealt by anchor and salt, so that an anchor with very many contents spreads;
-4. compare   the first run of each content of an anchor with several contents is fetched from its text and compared,
+2. settle    runs with one anchor meet in one task, sorted by Spark's spilling sort; later runs of equal content are
+             repeats; an anchor with one content needs nothing more.  Anchors that are frequent in a sample of the texts
+             are dealt by content too, so that they spread; results don't depend on the sample;
+3. compare   the first run of each content of an anchor with several contents is fetched from its text and compared,
              window by window, with the others: operator 9 range-partitions them by leading bytes at sampled splitters
              and sorts by multikey quicksort, operator 8 searches an FM-index per shard;
-5. cut       the settled spans of a document are merged and removed.
+4. cut       the settled spans of a document are merged and removed.
 
 An anchor with more than HOT contents (the edge of a passage that very many documents share) is not gathered in one
 place: its windows travel one by one under their own hash, again after each batch has settled its own.
@@ -42,8 +42,10 @@ SLICE = 150_000
 ROWS, BYTES = 256, 1 << 26
 #: Bytes of fetched runs that a worker holds before it sends them on.
 FETCHED = 1 << 22
-#: Tasks that the contents of one anchor are dealt to, and contents that a scanning task remembers.
-SALTS, LATELY = 8, 1 << 16
+#: Tasks that the contents of a frequent anchor are dealt to, and contents that a scanning task remembers.
+SALTS, LATELY = 64, 1 << 16
+#: Texts, about, in which anchors are counted to find frequent ones, and how many of those at most are dealt by content.
+SAMPLE, FREQUENT = 4096, 16_384
 _SCAN = "key long, content long, doc long, loc long, extra int"
 _FOUND = "key long, doc long, loc long, extra int, stop int"
 _FETCHED = "lead long, key long, doc long, loc long, extra int, stop int, content binary"
@@ -51,6 +53,8 @@ _SPANS = "doc long, loc long, stop int"
 #: A run's number of windows and its anchor's place share an integer.
 _COUNT_BITS = 12
 _COUNT = (1 << _COUNT_BITS) - 1
+#: Set in that integer where an anchor has many contents.
+_MANY = 1 << 30
 
 
 def _arrow(schema: str, **columns) -> pa.RecordBatch:
@@ -108,7 +112,7 @@ class Lately:
         return known
 
 
-def _scan(width: int, gram: int, unit: str) -> Callable:
+def _scan(width: int, gram: int, unit: str, frequent: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lately = Lately()
         for batch in batches:
@@ -132,7 +136,7 @@ def _scan(width: int, gram: int, unit: str) -> Callable:
                 first = np.flatnonzero(~later)
                 later[first] = lately.knows(k[first], c[first], d[first], x[first])
                 keep, drop = order[~later], order[later]
-                extra = runs.count[keep] | (runs.anchor[keep] << _COUNT_BITS)
+                extra = runs.count[keep] | (runs.anchor[keep] << _COUNT_BITS) | np.where(np.isin(runs.anchor_hash[keep], frequent), _MANY, 0)
                 yield _arrow(_SCAN, key=_signed(runs.anchor_hash[keep]), content=_signed(runs.content_hash[keep]), doc=doc[keep], loc=loc[keep], extra=extra)
                 if len(drop):
                     s, e = _merge(runs.start[drop], runs.start[drop] + runs.count[drop] + width - 1)
@@ -160,10 +164,16 @@ def _cut(start: np.ndarray, stop: np.ndarray, units: P.Units) -> tuple[np.ndarra
 
 
 def _settle(width: int) -> Callable:
-    """Reads rows sorted by (key, content, doc, loc); the first of each content asks for a comparison, later ones are spans."""
+    """Reads rows sorted by (key, content, doc, loc): the firsts of a key's contents are asked for, if several; later rows are spans."""
+    most = HOT
+
+    def asked(cols: dict, rows: np.ndarray, many: bool | np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(rows):
+            yield _arrow(_FOUND, key=cols["key"][rows], doc=cols["doc"][rows], loc=cols["loc"][rows], extra=cols["extra"][rows] | np.where(many, _MANY, 0), stop=np.full(len(rows), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict | None = None  # first row of the last content
+        held: dict | None = None  # the firsts of the last key's contents; only the last of them once they are sent
+        sent = False
         for batch in batches:
             cols = {n: batch.column(n).to_numpy() for n in ("key", "content", "doc", "loc", "extra")}
             span = cols["extra"] < 0
@@ -176,17 +186,27 @@ def _settle(width: int) -> Callable:
             if held is not None:
                 cols = {k: np.r_[held[k], v] for k, v in cols.items()}
             k, c, d, x, extra = cols.values()
-            new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+            new_key = np.r_[True, k[1:] != k[:-1]]
+            new = new_key | np.r_[True, c[1:] != c[:-1]]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = (d != d[lead]) | (x != x[lead])
-            rows = np.flatnonzero(new)[0 if held is None else 1 :]  # the held row was sent before
-            if len(rows):
-                yield _arrow(_FOUND, key=k[rows], doc=d[rows], loc=x[rows], extra=extra[rows], stop=np.full(len(rows), -1))
+            group = np.cumsum(new_key) - 1
+            contents = np.bincount(group, weights=new).astype(np.int64)
+            many = (contents > most) | (extra[np.flatnonzero(new_key)] & _MANY > 0)
+            if sent:
+                many[0], new[0] = True, False
+            last = group == group[-1]
+            over = bool(many[-1])
+            ask = np.flatnonzero(new & ((contents > 1) | many)[group] & (~last | over))
+            yield from asked(cols, ask, many[group[ask]])
             rows = np.flatnonzero(later)
             if len(rows):
                 doc, loc, stop = _spans_of(d[rows], x[rows], (x[rows] & 0xFFFFFFFF) + (extra[rows] & _COUNT) + width - 1)
                 yield _arrow(_FOUND, key=np.zeros(len(doc)), doc=doc, loc=loc, extra=np.full(len(doc), -1), stop=stop)
-            held = {n: v[lead[-1] : lead[-1] + 1] for n, v in cols.items()}
+            at = lead[-1:] if over else np.flatnonzero(new & last)
+            held, sent = {n: v[at] for n, v in cols.items()}, over
+        if held is not None and not sent and len(held["key"]) > 1:
+            yield from asked(held, np.arange(len(held["key"])), False)
 
     return run
 
@@ -215,10 +235,10 @@ def _fetch(width: int, unit: str) -> Callable:
                 text, asked = batch.column("text")[i].as_buffer().to_pybytes(), batch.column("asked")[i].values
                 units = text if unit == "byte" else text.split()
                 piece = (lambda a, b, u=units: u[a:b]) if unit == "byte" else (lambda a, b, u=units: b" ".join(u[a:b]))
-                for start, extra, key, hot in zip(*(asked.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("start", "extra", "key", "hot")), strict=True):
-                    count, anchor = extra & _COUNT, extra >> _COUNT_BITS
+                for start, extra, key in zip(*(asked.field(n).to_numpy().tolist() for n in ("start", "extra", "key")), strict=True):
+                    count, anchor = extra & _COUNT, (extra & ~_MANY) >> _COUNT_BITS
                     place = (int(tags[i]) << 32) | start
-                    if hot:
+                    if extra & _MANY:
                         for s in range(start, start + count):
                             hashed += xxhash.xxh3_128_digest(piece(s, s + width))
                         singles.append((docs[i], place, count))
@@ -380,18 +400,14 @@ def spans(documents: DataFrame, id_col: str, text_col: str, width: int, gram: in
     """
     spark = documents.sparkSession
     texts = keyed(documents, id_col, text_col).select("doc", "tag", "text")
-    runs = texts.mapInArrow(_scan(width, gram, unit), _SCAN)
-    found = written(runs.repartition("key", "content").sortWithinPartitions("key", "content", "doc", "loc").mapInArrow(_settle(width), _FOUND), "found")
+    runs = texts.mapInArrow(_scan(width, gram, unit, _frequent(texts, width, gram, unit)), _SCAN)
+    salt = F.when((F.col("extra") >= 0) & (F.col("extra").bitwiseAND(_MANY) > 0), F.pmod("content", F.lit(SALTS))).otherwise(0)
+    found = written(runs.repartition("key", salt).sortWithinPartitions("key", "content", "doc", "loc").mapInArrow(_settle(width), _FOUND), "found")
     del runs
     tidy(spark)
-    leads = found.where("stop < 0").select("key", "doc", "loc", "extra", F.pmod(F.xxhash64("doc", "loc"), F.lit(SALTS)).cast("int").alias("salt"))
-    several = leads.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    several = several.select("key", (F.col("n") > HOT).alias("hot"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
     tag, start = F.shiftright("loc", 32).cast("int").alias("tag"), F.col("loc").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")
-    asked = leads.join(several, ["key", "salt"]).select("doc", tag, F.struct(start, "extra", "key", "hot").alias("run"))
-    asked = written(asked.groupBy("doc", "tag").agg(F.collect_list("run").alias("asked")), "asked")
-    del leads, several
-    tidy(spark)
+    asked = found.where("stop < 0").select("doc", tag, F.struct(start, "extra", "key").alias("run"))
+    asked = asked.groupBy("doc", "tag").agg(F.collect_list("run").alias("asked"))
     fetched = texts.join(asked, ["doc", "tag"]).mapInArrow(_fetch(width, unit), _FETCHED)
     if unit == "byte":
         fetched = fetched.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "lead", "key")
@@ -403,12 +419,21 @@ def spans(documents: DataFrame, id_col: str, text_col: str, width: int, gram: in
     every = found.where("stop >= 0").select("doc", "loc", "stop").unionByName(compared)
     every = written(every.groupBy("doc", tag).agg(F.collect_list(F.struct(start, "stop")).alias("spans")), "spans")
     forget(found)
-    forget(asked)
     del fetched, compared, asked, found, texts  # with their shuffle files, before the texts are shuffled again
     tidy(spark)
     return every
 
 
+def _frequent(texts: DataFrame, width: int, gram: int, unit: str) -> np.ndarray:
+    """Anchors of many contents in a sample of the texts, those that may have over HOT in all; at most FREQUENT."""
+    share = min(1.0, SAMPLE / max(1, texts.select("doc").count()))
+    some = texts.where(F.xxhash64("doc", F.lit(5)) <= -(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64))))
+    runs = some.mapInArrow(_scan(width, gram, unit, np.zeros(0, np.uint64)), _SCAN).where("extra >= 0")
+    counts = runs.select("key", "content").distinct().groupBy("key").count().where(F.col("count") > max(8, HOT * share))
+    found = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").toArrow()["key"].to_numpy()
+    return np.sort(found).view(np.uint64)
+
+
 def keyed(documents: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
     """(doc, tag, text, is_null, carried columns in a struct)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
