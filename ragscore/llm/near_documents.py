@@ -41,6 +41,8 @@ SAMPLE, COMMON = 16, 50_000
 BUCKETS = 4096
 #: Shingles that a worker holds before it sends them on.
 GROUP = 1 << 20
+#: Texts that are described at once.
+ROWS = 512
 #: Slack for bounds that are computed in floating point.
 _LESS = 1e-9
 _U = np.uint64
@@ -99,7 +101,7 @@ def _describe(shingle: int, similarity: float, common: np.ndarray, place: np.nda
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = get()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, max(1, len(b)), ROWS)):
             fp, node, size, first, marks = [], [], [], [], []
             for t in batch.cast(pa.binary()):
                 hashes = shingle_hashes(t.as_py() or b"", shingle)
@@ -170,8 +172,9 @@ def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: the id, component_id (smallest id of its group), kept (whether it is that row)."""
     source = documents.select(F.col(id_col), order_id(id_col).alias("_order"), F.col(text_col).cast("string").alias("text"))
     told = _describe(shingle, similarity, *_common(source, shingle))(F.col("text")).alias("told")
-    rows = written(source.select(F.col(id_col).alias("_id"), "_order", told).select("_id", "_order", "told.*"), "described")
-    texts = written(rows.groupBy("node").agg(F.min("_order").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks")), "texts")
+    rows = written(source.select(F.col(id_col).alias("_id"), "_order", F.monotonically_increasing_id().alias("_row"), told).select("_id", "_order", "_row", "told.*"), "described")
+    first = rows.groupBy("node").agg(F.min(F.struct("_order", "_row")).alias("first")).select(F.col("first._order").alias("low"), F.col("first._row").alias("_row"))
+    texts = written(rows.select("_row", "node", "fp", "n", "prefix", "marks").join(first, "_row").drop("_row"), "texts")
     rows = rows.select("_id", "_order", "node")
 
     part = texts.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))

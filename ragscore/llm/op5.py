@@ -21,7 +21,6 @@ import struct
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -30,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragscore.llm.shipping import held
+
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of the tables of words and of token pairs that a process holds.
 TABLE = 400_000
@@ -235,10 +236,9 @@ class Bpe:
         return self.blob[np.arange(reach[-1]) - np.repeat(reach - size - start, size)].tobytes()
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
-    """One Bpe for each file and process."""
-    return Bpe(path)
+    """One Bpe for each process, until that needs another model."""
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 def default_path() -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _ready: dict[str, Any] = {}
 
 
@@ -15,11 +18,18 @@ def shipped(model: Any, prepare: Callable[[Any], Any] = lambda m: m) -> Callable
     blob, key = pickle.dumps(model), uuid.uuid4().hex
 
     def get() -> Any:
-        from ragscore.llm import shipping
+        from ragscore.llm.shipping import held  # by name, so that the process's own table is used
 
-        if key not in shipping._ready:
-            shipping._ready.clear()  # one model at a time: its tables grow with use
-            shipping._ready[key] = prepare(pickle.loads(blob))
-        return shipping._ready[key]
+        return held(key, lambda: prepare(pickle.loads(blob)))
 
     return get
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, held by the process until it is asked for another: one model at a time, as tables grow with use."""
+    if key not in _ready:
+        _ready.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _ready[key] = make()
+    return _ready[key]
