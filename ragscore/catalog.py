@@ -27,8 +27,7 @@ def query(f: Query) -> Query:
 def _retrieval(metric: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         gold, runs = X.passage_gold(spark, d), X.passage_run(spark, d)
-        both = retrieval.at_k(gold, runs, "item_id", 5).unionByName(retrieval.at_k(gold, runs, "item_id", 10))
-        return both.where(F.col("metric").isin(f"{metric}@5", f"{metric}@10"))
+        return retrieval.at_k(gold, runs, "item_id", 5, 10).where(F.col("metric").isin(f"{metric}@5", f"{metric}@10"))
 
     return run
 
@@ -37,6 +36,27 @@ for _m in retrieval.METRICS:
     QUERIES[f"{_m}_at_k"] = _retrieval(_m)
 
 
+@query
+def precision_with_skipped(spark: SparkSession, d: str) -> DataFrame:
+    items = X.table(spark, d, "benchmark")
+    return retrieval.at_k(X.passage_gold(spark, d).where("item_id % 3 <> 0"), X.passage_run(spark, d), "item_id", K, samples=items).where(f"metric = 'precision@{K}'")
+
+
+@query
+def token_f1_with_skipped(spark: SparkSession, d: str) -> DataFrame:
+    samples = X.qa(spark, d)
+    return answers.mean(answers.token_f1(samples), "token_f1", samples)
+
+
+@query
+def evidence_overlap_relevant(spark: SparkSession, d: str) -> DataFrame:
+    """Over the texts of the gold documents, by id."""
+    docs = X.table(spark, d, "documents").select("doc_id", "text")
+    evidence = X.passage_gold(spark, d).join(docs, "doc_id").select("item_id", F.col("doc_id").alias("pos"), "text")
+    items = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("response"))
+    return answers.mean(answers.evidence_overlap(items, evidence, "item_id", 2), "evidence_overlap_n2")
+
+
 @query
 def retrieval_per_sample(spark: SparkSession, d: str) -> DataFrame:
     scores = retrieval.per_sample(X.passage_gold(spark, d), X.passage_run(spark, d), "item_id", K)
@@ -210,6 +230,20 @@ def extract_entities(spark: SparkSession, d: str) -> DataFrame:
     return taskgen.extract_entities(_chunks(spark, d))
 
 
+@query
+def llm_entities_mock(spark: SparkSession, d: str) -> DataFrame:
+    return taskgen.entities_by_model(_chunks(spark, d))
+
+
+@query
+def filtered_tasks_mock(spark: SparkSession, d: str) -> DataFrame:
+    """Single-hop tasks that two filters keep, one after the other."""
+    chunks = _chunks(spark, d)
+    tasks = single_hop_tasks_mock(spark, d).join(chunks.select("chunk_id", "text"), "chunk_id")
+    kept = taskgen.apply_filters(tasks, [lambda t: taskgen.answer_presence(t, "answer", "text"), taskgen.question_length, lambda t: t.where(F.length("answer") >= 8)])
+    return kept.select("sample_id", "answer")
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     return taskgen.entity_graph(taskgen.extract_entities(_chunks(spark, d)))
 

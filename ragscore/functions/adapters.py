@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragscore.sources.settings import Settings
+
 OUTPUT_SCHEMA = "sample_id string, response string, retrieved array<struct<doc_id:string,text:string>>, timings map<string,double>, error string"
 
 
@@ -32,6 +34,40 @@ def language_model(make: Callable[[], Callable[[str], str]]) -> Callable[[Column
     return F.arrow_udf(run, "string")
 
 
+def chat_client(settings: Settings, system: str = "You write questions for an evaluation set.", url: str = "https://api.openai.com/v1/chat/completions", temperature: float | None = None) -> Callable[[], Callable[[str], str]]:
+    """Makes a client of a chat-completions service: prompt -> reply, over plain HTTP."""
+
+    def make() -> Callable[[str], str]:
+        import json
+        from urllib.request import Request, urlopen
+
+        def ask(prompt: str) -> str:
+            body = {
+                "model": settings.model,
+                "temperature": settings.temperature if temperature is None else temperature,
+                "max_tokens": settings.max_output_tokens,
+                "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}],
+            }
+            headers = {"Content-Type": "application/json", "Authorization": f"Bearer {settings.api_key}"}
+            with urlopen(Request(url, json.dumps(body).encode(), headers), timeout=120) as reply:
+                return json.load(reply)["choices"][0]["message"]["content"] or ""
+
+        return ask
+
+    return make
+
+
+def model_for(settings: Settings, mock: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The language model that the settings name, or the mock where they name no service or no key."""
+    return language_model(chat_client(settings)) if settings.backend == "openai" and settings.api_key else mock
+
+
+def critic_for(settings: Settings, mock: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Likewise a critic: temperature 0, replies with a number that judging.critic_score reads."""
+    system = "You grade with care. Reply with a number between 0 and 1 and nothing else."
+    return language_model(chat_client(settings, system, temperature=0.0)) if settings.backend == "openai" and settings.api_key else mock
+
+
 def embedder(make: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 1000) -> Callable[[Column], Column]:
     """text -> vector by a function of at most ``batch`` texts; nulls stay null."""
 

@@ -39,8 +39,14 @@ def rouge_tokens(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Contiguous n-grams, joined by a blank; none if there are fewer tokens."""
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    if n == 1:
+        return tokens
+
+    def grams(t: Column) -> Column:
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    return F.get(F.transform(F.array(tokens), grams), F.lit(0))  # bound as a variable, so that tokens are computed once and not for each place
 
 
 def shared_counts(df: DataFrame, key: str, left: Column, right: Column) -> DataFrame:

@@ -15,8 +15,10 @@ from ragscore.functions import kernels
 from ragscore.functions import text as T
 
 
-def mean(scores: DataFrame, metric: str, skipped: Column | None = None) -> DataFrame:
-    """metric, value, num_samples over rows with a score."""
+def mean(scores: DataFrame, metric: str, samples: DataFrame | None = None) -> DataFrame:
+    """metric, value, num_samples over rows with a score; with samples (one row each) also num_skipped, those without one."""
+    if samples is not None:
+        return mean(scores, metric).join(samples.agg(F.count("*").alias("_n"))).select("metric", "value", "num_samples", (F.col("_n") - F.col("num_samples")).alias("num_skipped"))
     return scores.agg(F.lit(metric).alias("metric"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("value"), F.count("score").alias("num_samples"))
 
 

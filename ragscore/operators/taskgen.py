@@ -68,6 +68,21 @@ def extract_entities(chunks: DataFrame) -> DataFrame:
     return runs.where(~F.lower("entity").isin(*STOP_ENTITIES)).select("chunk_id", "entity").distinct()
 
 
+def mock_entities(prompt: Column) -> Column:
+    """A canned list of the first two words after the prompt's last colon; for half the prompts no reply."""
+    w = words(F.element_at(F.split(prompt, "TEXT:"), -1))
+    return F.when(F.substring(F.md5(prompt), 1, 1) < "8", F.array_join(F.slice(w, 1, 2), ", "))
+
+
+def entities_by_model(chunks: DataFrame, llm: Llm = mock_entities) -> DataFrame:
+    """chunk_id, entity: what a model lists, parted by commas; chunks without a listed one fall back to extract_entities."""
+    prompt = F.concat(F.lit("Name at most five people, organisations or places of the text, parted by commas, and nothing else.\nTEXT:"), "text")
+    listed = F.filter(F.transform(F.split(F.coalesce(llm(prompt), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    told = chunks.select("chunk_id", F.array_distinct(listed).alias("listed"))
+    rest = chunks.join(told.where(F.size("listed") == 0).select("chunk_id"), "chunk_id", "left_semi")
+    return told.select("chunk_id", F.explode("listed").alias("entity")).unionByName(extract_entities(rest))
+
+
 def entity_graph(entities: DataFrame, least: int = 2, key: str = "chunk_id") -> DataFrame:
     """src, dst (src < dst), shared: chunks that share at least ``least`` entities, joined on the entity, never all pairs."""
     hashed = entities.select(F.col(key).alias("id"), F.xxhash64("entity").alias("e"))
@@ -109,23 +124,32 @@ def mock_reply(prompt: Column) -> Column:
 
 
 def parse_multi_hop(reply: Column) -> tuple[Column, Column]:
-    """Question and answer of a reply; continuation lines are joined by a blank."""
-    flat = F.regexp_replace(reply, r"\s*\n\s*", " ")
-    question = F.trim(F.regexp_extract(flat, r"(?i)question:\s*(.*?)\s*(?:answer:|$)", 1))
-    return question, F.trim(F.regexp_extract(flat, r"(?i)answer:\s*(.*)$", 1))
+    """Question and answer of a reply: lines that begin so open a part, other lines continue it, joined by a blank."""
+
+    def step(state: Column, line: Column) -> Column:
+        low = F.lower(line)
+        mode = F.when(F.startswith(low, F.lit("question:")), F.lit("q")).when(F.startswith(low, F.lit("answer:")), F.lit("a")).otherwise(state["mode"])
+        own = F.trim(F.regexp_replace(line, r"(?i)^(question|answer):", ""))
+        add = lambda part: F.when(mode == part, F.concat_ws(" ", state[part], own)).otherwise(state[part]).alias(part)
+        return F.struct(mode.alias("mode"), add("q"), add("a"))
+
+    lines = F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    none = F.lit(None).cast("string")
+    state = F.aggregate(lines, F.struct(F.lit("").alias("mode"), none.alias("q"), none.alias("a")), step)
+    return F.trim(F.coalesce(state["q"], F.lit(""))), F.trim(F.coalesce(state["a"], F.lit("")))
 
 
 def single_hop_tasks(anchors: DataFrame, llm: Llm = mock_reply, least: int = 1, most: int = 64) -> DataFrame:
     """sample_id, chunk_id, query, answer for spans of fitting length."""
     spans = choose_answer_span(anchors).where(F.size(words(F.col("span"))).between(least, most))
-    prompt = F.concat(F.lit("Write a question whose answer is '"), "span", F.lit("' from: "), "sentence")
+    prompt = F.concat(F.lit("Write a question that the passage answers with exactly the given answer. It must stand on its own, without words such as 'the passage'. Give only the question.\nAnswer: "), "span", F.lit("\nPassage: "), "sentence")
     return spans.select(F.concat_ws(":", F.lit("single_hop"), "chunk_id", "pos").alias("sample_id"), "chunk_id", llm(prompt).alias("query"), F.col("span").alias("answer"))
 
 
 def multi_hop_tasks(pairs: DataFrame, anchors: DataFrame, llm: Llm = mock_reply) -> DataFrame:
     one = one_anchor(anchors)
     both = pairs.join(one.toDF("a", "sentence_a"), "a").join(one.toDF("b", "sentence_b"), "b")
-    reply = both.withColumn("reply", llm(F.concat(F.lit("Multi-hop question from: "), "sentence_a", F.lit(" AND "), "sentence_b")))
+    reply = both.withColumn("reply", llm(F.concat(F.lit("Write a multi-hop question that only both passages together answer, and its short answer, as two lines 'Question: ...' and 'Answer: ...'.\nFirst: "), "sentence_a", F.lit("\nSecond: "), "sentence_b")))
     question, answer = parse_multi_hop(F.col("reply"))
     out = reply.select(F.concat_ws(":", F.lit("multi_hop"), "a", "b").alias("sample_id"), "a", "b", question.alias("query"), answer.alias("answer"))
     return out.where("query <> '' and answer <> ''")
@@ -133,7 +157,7 @@ def multi_hop_tasks(pairs: DataFrame, anchors: DataFrame, llm: Llm = mock_reply)
 
 def paraphrases(samples: DataFrame, n: int = 2, llm: Llm = mock_reply, key: str = "sample_id") -> DataFrame:
     rows = samples.select(key, "query", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    return rows.select(F.concat_ws(":", key, F.lit("paraphrase"), "i").alias("sample_id"), F.col(key).alias("variant_of"), F.lit("paraphrase").alias("scenario"), llm(F.concat(F.lit("Paraphrase: "), "query")).alias("query"))
+    return rows.select(F.concat_ws(":", key, F.lit("paraphrase"), "i").alias("sample_id"), F.col(key).alias("variant_of"), F.lit("paraphrase").alias("scenario"), llm(F.concat(F.lit("Paraphrase the question: the same meaning and answer in other words. Give only the question.\n"), "query")).alias("query"))
 
 
 def find_relevant(spans: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -164,11 +188,19 @@ def question_length(samples: DataFrame, least: int = 5, most: int = 50) -> DataF
 def consistent(samples: DataFrame, llm: Llm, kinds: tuple[str, ...] = ("multi_hop",), most_chars: int = 4000) -> DataFrame:
     """Rows that a judge answers with yes, and all of other kinds; evidence is an array, of which three texts are shown."""
     shown = F.substring(F.array_join(F.slice("evidence", 1, 3), "\n\n"), 1, most_chars)
-    prompt = F.concat(F.lit("Is the answer supported? "), F.col("query"), F.lit(" / "), F.col("answer"), F.lit(" / "), shown)
+    prompt = F.concat(F.lit("Is the answer supported? "), F.col("query"), F.lit(" / "), F.col("answer"), F.lit(" / "), shown)  # the judge begins with yes or no
     yes = F.startswith(F.lower(F.trim(llm(prompt))), F.lit("yes"))
     return samples.where(~F.col("kind").isin(*kinds) | F.coalesce(yes, F.lit(False)))
 
 
+SampleFilter = Callable[[DataFrame], DataFrame]
+
+
+def apply_filters(samples: DataFrame, filters: list[SampleFilter]) -> DataFrame:
+    """The rows that every filter keeps, in order; a filter gives some of its input's rows."""
+    return reduce(lambda rows, keep: keep(rows), filters, samples)
+
+
 def all_tasks(**families: DataFrame) -> DataFrame:
     """The families of tasks under one another, each named in kind; columns that a family lacks are null."""
     named = [df.withColumn("kind", F.lit(kind)) for kind, df in families.items()]
@@ -201,20 +233,21 @@ def typo_variants(samples: DataFrame, rate: float = 0.02, seed: str = "typo", ke
 
 
 #: Replacement names and cities.
-FIRST_NAMES = ("James", "Maria", "David", "Sarah", "Robert", "Linda", "Thomas")
-CITIES = ("London", "Paris", "Berlin", "Madrid", "Rome", "Vienna")
+FIRST_NAMES = ("Alex", "Jordan", "Taylor", "Morgan", "Casey", "Riley", "Drew")
+CITIES = ("Paris", "Berlin", "Sydney", "Toronto", "Madrid", "Lisbon")
 
 
 def mutate_entity(entity: str, seed: str) -> str | None:
     """A near miss: another year, other digits, another first name, another city, another letter, or nothing."""
-    r = random.Random(seed)
+    r, entity = random.Random(seed), entity.strip()
     if entity.isdigit() and len(entity) == 4:
         return str(int(entity) + r.randint(5, 25))
-    if any(c.isdigit() for c in entity):
-        return "".join(str(r.randrange(10)) if c.isdigit() else c for c in entity)
+    digits = "".join(str(r.randrange(10)) if c.isdigit() else c for c in entity)
+    if digits != entity:
+        return digits
     parts = entity.split()
     if len(parts) >= 2:
-        return f"{r.choice([n for n in FIRST_NAMES if n != parts[0]])} {parts[-1]}"
+        return f"{r.choice(FIRST_NAMES)} {parts[-1]}"
     if entity in CITIES:
         return r.choice([c for c in CITIES if c != entity])
     if len(entity) > 3:
@@ -243,8 +276,17 @@ def sentence_with(text: Column, entity: Column) -> Column:
 
 
 def unanswerable_tasks(candidates: DataFrame, chunks: DataFrame, llm: Llm = mock_reply, least_words: int = 5) -> DataFrame:
-    """sample_id, chunk_id, query, source_entity: questions on a mutated entity that no chunk contains."""
-    both = candidates.join(chunks.select("chunk_id", "text"), "chunk_id")
-    prompt = F.concat(F.lit("Write an unanswerable question, only the question. Sentence: "), sentence_with(F.col("text"), F.col("entity")), F.lit(" Changed fact: "), F.col("mutated"))
+    """sample_id, chunk_id, query, source_entity: questions on a mutated entity that no chunk contains.
+
+    Where candidates name a distractor (a chunk, see judging.with_distractor), the sentence comes from it.
+    """
+    source = "distractor" if "distractor" in candidates.columns else "chunk_id"
+    both = candidates.join(chunks.select(F.col("chunk_id").alias(source), "text"), source)
+    prompt = F.concat(
+        F.lit("Write an unanswerable question: it must be about the changed fact, which the sentence does not bear out. Give only the question.\nSentence: "),
+        sentence_with(F.col("text"), F.col("entity")),
+        F.lit("\nChanged fact: "),
+        F.col("mutated"),
+    )
     asked = both.select(F.concat_ws(":", F.lit("unanswerable"), "chunk_id").alias("sample_id"), "chunk_id", F.trim(llm(prompt)).alias("query"), F.col("entity").alias("source_entity"))
     return asked.where(F.size(words(F.col("query"))) >= least_words)

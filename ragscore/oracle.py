@@ -156,6 +156,20 @@ SQL: dict[str, str] = {f"{m}_at_k": _retrieval(m) for m in ("recall", "precision
     "rouge2_nostem": _rouge_n(2),
     "embedding_similarity_md5": _mean("embedding_similarity_md5", f"WITH {QA}, {_hashed("SELECT sample_id, response AS a, reference AS b FROM qa WHERE reference <> ''")}"),
     "bleu_stats_ws": f"WITH {QA} {' UNION ALL '.join(_bleu_part(n) for n in range(1, 5))}",
+    "precision_with_skipped": f"WITH {GOLD.replace('contains(d.text, b.text)', 'contains(d.text, b.text) AND b.item_id % 3 <> 0')}, {RUN}, {_scores(5)} SELECT 'precision@5' AS metric, round(coalesce(avg(precision), 0), 6) AS value, count(*) AS num_samples, (SELECT count(*) FROM benchmark) - count(*) AS num_skipped FROM s5",
+    "token_f1_with_skipped": f"WITH {QA}, {_overlap(_norm("coalesce(response, '')"), _norm('reference'), _REF)}, {_F1} SELECT 'token_f1' AS metric, round(coalesce(avg(score), 0), 6) AS value, count(score) AS num_samples, (SELECT count(*) FROM qa) - count(score) AS num_skipped FROM sc_",
+    "evidence_overlap_relevant": _mean(
+        "evidence_overlap_n2",
+        f"""WITH {GOLD}, ev AS (SELECT g.item_id, string_agg(d.text, ' ' ORDER BY doc_id) AS e FROM gold g JOIN documents d USING (doc_id) GROUP BY 1),
+pq AS (SELECT b.item_id, b.text AS response, e FROM benchmark b JOIN ev USING (item_id)), {_overlap(_grams(_words('response'), 2), _grams(_words('e'), 2), 'pq', 'item_id')},
+sc_ AS (SELECT item_id, CASE WHEN nl > 0 THEN shared / nl ELSE 0 END AS score FROM ov_)""",
+    ),
+    "llm_entities_mock": f"""WITH {CHUNKS}, {ENTITIES}, asked AS (SELECT chunk_id, text, md5('Name at most five people, organisations or places of the text, parted by commas, and nothing else.' || chr(10) || 'TEXT:' || text) AS m FROM chunks),
+listed AS (SELECT DISTINCT chunk_id, trim(unnest(string_split(array_to_string(w[1:2], ', '), ','))) AS entity FROM (SELECT chunk_id, {_words('text')} AS w FROM asked WHERE m[1] < '8')),
+named AS (SELECT * FROM listed WHERE entity <> '')
+SELECT * FROM named UNION ALL SELECT * FROM entities WHERE chunk_id NOT IN (SELECT chunk_id FROM named)""",
+    "filtered_tasks_mock": f"""WITH {CHUNKS}, {ANCHORS}, {SPANS} SELECT 'single_hop:' || chunk_id || ':' || pos AS sample_id, span AS answer FROM spans JOIN chunks USING (chunk_id)
+WHERE len({_words('span')}) BETWEEN 1 AND 64 AND contains(lower(text), lower(span)) AND length(span) >= 8""",
     "evidence_overlap_n1": _evidence(1),
     "evidence_overlap_n2": _evidence(2),
     "distinct_1": _distinct(1),

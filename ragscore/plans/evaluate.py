@@ -70,14 +70,17 @@ def _score(name: str, target: str, score: Callable[[DataFrame], DataFrame], requ
 RANKING_TARGETS = {"recall": "RETRIEVAL_RELEVANCE", "precision": "RETRIEVAL_RELEVANCE", "hit_rate": "RETRIEVAL_RELEVANCE", "mrr": "RETRIEVAL_ACCURACY", "map": "RETRIEVAL_ACCURACY", "ndcg": "RETRIEVAL_ACCURACY"}
 
 
-def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None = None, critic: ColumnFunction | None = None, judged: bool = False) -> EvaluationPlan:
+def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None = None, critic: ColumnFunction | None = None, judged: bool = False, evidence: str = "retrieved") -> EvaluationPlan:
     """Ranking metrics (one pass), answer metrics, evidence overlap and embedding similarities, in report order.
 
     Views: samples (sample_id, query, response, reference), gold, runs, and answers (key, query, response) with evidence
-    (key, pos, text). embed adds similarities of whole texts; judged adds a critic's scores, and then needs one.
+    (key, pos, text), which is read where evidence is 'retrieved', or relevant likewise, where it is 'relevant'. embed adds similarities of whole texts; judged adds a critic's scores, and then needs one.
     """
     if judged and critic is None:
         raise ValueError("a judged plan needs a critic")
+    if evidence not in ("retrieved", "relevant"):
+        raise ValueError(f"unknown evidence {evidence}")
+    shown = (lambda v: v["evidence"].where(F.col("pos") <= k)) if evidence == "retrieved" else (lambda v: v["relevant"])
     s = ("response", "reference")
     right, apt, true = "GENERATION_CORRECTNESS", "GENERATION_RELEVANCE", "GENERATION_FAITHFULNESS"
     metrics = [
@@ -88,7 +91,7 @@ def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None
         _score("rouge2_answer", right, lambda d: answers.rouge(d, "2"), s),
         _score("rougeL_answer", right, lambda d: answers.rouge(d, "L"), s),
         Metric(right, answers_bleu, s),
-        Metric(true, lambda v: answers.mean(answers.evidence_overlap(v["answers"], v["evidence"].where(F.col("pos") <= k), key, 1), "evidence_overlap_n1")),
+        Metric(true, lambda v: answers.mean(answers.evidence_overlap(v["answers"], shown(v), key, 1), "evidence_overlap_n1")),
         _score("embedding_similarity_reference", right, lambda d: answers.hashed_similarity(d.where("reference <> ''"), "sample_id", F.col("response"), F.col("reference")), s),
         _score("embedding_similarity_query", apt, lambda d: answers.hashed_similarity(d.where("query <> ''"), "sample_id", F.col("response"), F.col("query")), ("query",)),
     ]
@@ -96,14 +99,14 @@ def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None
         for other, target in (("reference", right), ("query", apt)):
             metrics.append(_score(f"bertscore_f1_{other}", target, lambda d, o=other: answers.embedded_similarity(d.where(f"{o} <> ''"), "sample_id", F.col("response"), F.col(o), embed), ("response", other)))
     if judged:
-        metrics.append(Metric(true, lambda v: answers.mean(judging.faithfulness(v["answers"], evidence_of(v["evidence"], key, k), critic, key), "llm_faithfulness")))
+        metrics.append(Metric(true, lambda v: answers.mean(judging.faithfulness(v["answers"], evidence_of(shown(v), key), critic, key), "llm_faithfulness")))
         metrics.append(_score("llm_answer_quality", apt, lambda d: judging.answer_quality(d, critic), ("query",)))
     return EvaluationPlan(metrics)
 
 
-def evidence_of(ranked: DataFrame, key: str, k: int) -> DataFrame:
-    """key, evidence: the first k texts of each list, in order."""
-    return ranked.where(F.col("pos") <= k).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("evidence"))
+def evidence_of(ranked: DataFrame, key: str) -> DataFrame:
+    """key, evidence: the texts of each list, in order."""
+    return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("evidence"))
 
 
 def answers_bleu(views: dict[str, DataFrame]) -> DataFrame:
@@ -114,7 +117,11 @@ def evaluate(system: Callable[[DataFrame, int], DataFrame], samples: DataFrame,
     """Validates first, runs the system once (a DataFrame function), then all metrics over its kept outputs."""
     plan.validate(samples)
     outputs = system(samples, top_k).persist()
-    return plan.run({"samples": outputs, **(views or {})})
+    try:
+        results = plan.run({"samples": outputs, **(views or {})}).collect()  # a row per metric
+    finally:
+        outputs.unpersist()
+    return samples.sparkSession.createDataFrame(results, "ordinal int, target string, metric string, value double, num_samples long")
 
 
 def views_of(samples: DataFrame, outputs: DataFrame, key: str = "sample_id") -> dict[str, DataFrame]:
@@ -122,8 +129,9 @@ def views_of(samples: DataFrame, outputs: DataFrame, key: str = "sample_id") ->
     both = samples.join(outputs, key)
     rows = both.select(key, "query", "response", F.col("reference_answer.text").alias("reference"))
     ranked = both.select(key, F.posexplode("retrieved").alias("pos", "d")).select(key, (F.col("pos") + 1).alias("pos"), "d.doc_id", "d.text")
-    gold = samples.select(key, F.explode("relevant_docs").alias("d")).select(key, "d.doc_id")
-    return {"samples": rows, "answers": rows, "gold": gold, "runs": ranked, "evidence": ranked}
+    relevant = samples.select(key, F.posexplode("relevant_docs").alias("pos", "d")).select(key, (F.col("pos") + 1).alias("pos"), "d.doc_id", "d.text")
+    gold = relevant.select(key, "doc_id")
+    return {"relevant": relevant, "samples": rows, "answers": rows, "gold": gold, "runs": ranked, "evidence": ranked}
 
 
 def labelled_columns(samples: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragscore.operators import taskgen
+from ragscore.operators import judging, taskgen
 
 #: Fixed value: the reference answer of questions that the corpus does not answer.
-NEGATIVE_ANSWER = "The available evidence does not answer this question."
+NEGATIVE_ANSWER = "There is not enough information in the provided corpus to answer this question."
 _LABELS = ("kind", "scenario", "variant_of", "source_entity")
 
 
@@ -30,6 +30,9 @@ class TaskConfig:
     typo_rate: float = 0.02
     unanswerable: int | None = 25
     seed: str = "tasks"
+    #: So many times the limit are asked for, so that rejected replies are made up for; unanswerable ones are tried ten times.
+    oversample: int = 3
+    attempts: int = 10
 
     @classmethod
     def sized(cls, limit: int | None = None, test: bool = False) -> TaskConfig:
@@ -38,11 +41,12 @@ class TaskConfig:
         return cls(single_hop=single, multi_hop=multi, paraphrases=1 if test else cls.paraphrases, unanswerable=2 if test else cls.unanswerable)
 
 
-def generate(corpus: DataFrame, config: TaskConfig | None = None, llm: taskgen.Llm = taskgen.mock_reply, judge: taskgen.Llm | None = None, folder: str | None = None) -> DataFrame:
+def generate(corpus: DataFrame, config: TaskConfig | None = None, llm: taskgen.Llm = taskgen.mock_reply, judge: taskgen.Llm | None = None, folder: str | None = None, filters: list[taskgen.SampleFilter] | None = None, entities_llm: taskgen.Llm | None = None, neighbours: DataFrame | None = None) -> DataFrame:
     """sample_id, query, relevant_docs, reference_answer, labels, metadata from corpus (doc_id, text).
 
     With a folder each stage that calls a model is written there as Parquet and read again, so that no reply is asked
-    for twice.
+    for twice.  filters take the place of default_filters(judge); entities_llm lists entities; neighbours (chunk_id, pos,
+    neighbour) name the chunks that unanswerable questions borrow their sentences from.
     """
     c = config or TaskConfig()
 
@@ -57,22 +61,26 @@ def generate(corpus: DataFrame, config: TaskConfig | None = None, llm: taskgen.L
 
     chunks = kept(taskgen.chunk_documents(corpus, c.chunk_tokens, c.overlap), "chunks")
     anchors = taskgen.extract_anchors(chunks)
-    entities = taskgen.extract_entities(chunks)
+    entities = taskgen.extract_entities(chunks) if entities_llm is None else kept(taskgen.entities_by_model(chunks, entities_llm), "entities")
+    more = lambda n, times: None if n is None else n * times
     spans = taskgen.choose_answer_span(anchors).where(F.size(F.split("span", r"\s+")).between(c.least_answer, c.most_answer))
-    chosen = drawn(spans.withColumn("_at", F.concat_ws(":", "chunk_id", "pos")), c.single_hop, "_at").drop("_at", "span")
-    single = kept(taskgen.single_hop_tasks(chosen, llm, c.least_answer, c.most_answer), "single_hop").withColumn("chunks", F.array("chunk_id"))
+    chosen = drawn(spans.withColumn("_at", F.concat_ws(":", "chunk_id", "pos")), more(c.single_hop, c.oversample), "_at").drop("_at", "span")
+    single = taskgen.single_hop_tasks(chosen, llm, c.least_answer, c.most_answer).where("trim(query) <> ''")
+    single = drawn(kept(single, "single_hop"), c.single_hop).withColumn("chunks", F.array("chunk_id"))
     pairs = taskgen.sample_pairs(taskgen.entity_graph(entities, c.least_shared))
-    pairs = drawn(pairs.withColumn("_at", F.concat_ws(":", "a", "b")), c.multi_hop, "_at").drop("_at")
-    multi = kept(taskgen.multi_hop_tasks(pairs, anchors, llm), "multi_hop").withColumn("chunks", F.array("a", "b"))
+    pairs = drawn(pairs.withColumn("_at", F.concat_ws(":", "a", "b")), more(c.multi_hop, c.oversample), "_at").drop("_at")
+    multi = drawn(kept(taskgen.multi_hop_tasks(pairs, anchors, llm), "multi_hop"), c.multi_hop).withColumn("chunks", F.array("a", "b"))
     base = taskgen.all_tasks(single_hop=single, multi_hop=multi).select("sample_id", "kind", "query", "answer", "chunks")
     told = taskgen.paraphrases(base, c.paraphrases, llm)
     told = kept(told.withColumn("query", taskgen.with_typos(F.col("sample_id"), F.col("query"), c.typo_rate)), "paraphrases")
     told = told.join(base.select(F.col("sample_id").alias("variant_of"), "kind", "answer", "chunks"), "variant_of")
-    absent = drawn(taskgen.unanswerable_candidates(entities, chunks), c.unanswerable, "chunk_id")
-    absent = kept(taskgen.unanswerable_tasks(absent, chunks, llm), "unanswerable")
+    absent = drawn(taskgen.unanswerable_candidates(entities, chunks), more(c.unanswerable, c.attempts), "chunk_id")
+    absent = absent if neighbours is None else judging.with_distractor(absent, neighbours)
+    absent = drawn(kept(taskgen.unanswerable_tasks(absent, chunks, llm), "unanswerable"), c.unanswerable)
     absent = absent.select("sample_id", F.lit("unanswerable").alias("kind"), F.lit("unanswerable").alias("scenario"), "source_entity", "query", F.lit(NEGATIVE_ANSWER).alias("answer"), F.array("chunk_id").alias("chunks"))
     rows = base.unionByName(told, allowMissingColumns=True).unionByName(absent, allowMissingColumns=True)
-    return as_samples(_filtered(_with_docs(rows, chunks), llm if judge is None else judge))
+    rows = _with_docs(rows, chunks).withColumn("evidence", F.transform("relevant_docs", lambda d: d["text"]))
+    return as_samples(taskgen.apply_filters(rows, default_filters(llm if judge is None else judge) if filters is None else filters))
 
 
 def _with_docs(rows: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -82,12 +90,15 @@ def _with_docs(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.join(docs, "sample_id")
 
 
-def _filtered(rows: DataFrame, judge: Callable[[Column], Column]) -> DataFrame:
-    """Answers occur in a document (but for multi-hop and unanswerable ones), questions have a fitting length, a judge says yes to multi-hop ones."""
+def answers_occur(kinds: tuple[str, ...] = ("multi_hop", "unanswerable")) -> taskgen.SampleFilter:
+    """Keeps rows whose answer occurs in a document, case ignored, and all of these kinds."""
     found = F.exists("relevant_docs", lambda d: F.contains(F.lower(d["text"]), F.lower("answer"))) & (F.col("answer") != "")
-    rows = rows.where(F.col("kind").isin("multi_hop", "unanswerable") | found)
-    rows = taskgen.question_length(rows).withColumn("evidence", F.transform("relevant_docs", lambda d: d["text"]))
-    return taskgen.consistent(rows, judge)
+    return lambda rows: rows.where(F.col("kind").isin(*kinds) | found)
+
+
+def default_filters(judge: Callable[[Column], Column]) -> list[taskgen.SampleFilter]:
+    """Answers occur, questions have a fitting length, a judge says yes to multi-hop ones."""
+    return [answers_occur(), taskgen.question_length, lambda rows: taskgen.consistent(rows, judge)]
 
 
 def as_samples(rows: DataFrame) -> DataFrame:

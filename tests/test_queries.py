@@ -195,3 +195,43 @@ def test_generate(spark, tmp_path):
         assert r.labels["kind"] != "single_hop" or r.reference_answer.text.lower() in r.relevant_docs[0].text.lower()
     assert TaskConfig.sized(9).multi_hop == 4 and TaskConfig.sized(test=True).single_hop == 5
     assert Settings.read({"TAGGING_TEMPERATURE": "0.5"}).temperature == 0.5
+
+
+def test_replies_are_parsed_by_line(spark):
+    q, a = taskgen.parse_multi_hop(F.col("r"))
+    told = lambda r: tuple(spark.createDataFrame([(r,)], "r string").select(q, a).first())
+    assert told("intro\nQuestion: what is the answer: here?\n\n more\nAnswer: x\ny") == ("what is the answer: here? more", "x y")
+    assert told("ANSWER: a\nquestion: q") == ("q", "a") and told(None) == told("nothing") == ("", "") and told("Question: only") == ("only", "")
+
+
+def test_models_follow_the_settings():
+    from ragscore.functions import adapters
+    from ragscore.sources.settings import Settings
+
+    mock = taskgen.mock_reply
+    assert adapters.model_for(Settings(), mock) is mock and adapters.critic_for(Settings(backend="other", api_key="k"), mock) is mock
+    assert adapters.model_for(Settings(api_key="k"), mock) is not mock
+
+
+def test_rejected_replies_are_made_up_for(spark):
+    from ragscore.plans.generation import TaskConfig, generate
+
+    text = " ".join(f"In {1900 + i} the Great Harbour of Lisbon{i} held ten large ships and Maria Silva counted every one of them twice." for i in range(120))
+    corpus = spark.createDataFrame([(i, text.replace("ships", f"ships{i}")) for i in range(4)], "doc_id long, text string")
+    picky = lambda p: F.when(F.substring(F.md5(p), 1, 1) < "8", F.lit("")).otherwise(taskgen.mock_reply(p))
+    config = TaskConfig(chunk_tokens=60, overlap=10, single_hop=6, multi_hop=2, least_answer=1, unanswerable=2, paraphrases=1)
+    out = generate(corpus, config, llm=picky, filters=[]).toPandas()
+    kinds = out.labels.map(lambda m: dict(m)["kind"]).value_counts()
+    assert kinds["unanswerable"] <= 2 and (out[out.sample_id.str.startswith("single_hop:") & ~out.sample_id.str.contains("paraphrase")].shape[0]) == 6
+    none = generate(corpus, config, filters=[lambda rows: rows.where("false")])
+    assert none.count() == 0
+
+
+def test_distractors_lend_their_sentence(spark):
+    from ragscore.operators import judging
+
+    chunks = spark.createDataFrame([("a", "Rome fell."), ("b", "Oslo stood. Rome rose again.")], "chunk_id string, text string")
+    candidates = spark.createDataFrame([("a", "Rome", "Romx")], "chunk_id string, entity string, mutated string")
+    near = judging.with_distractor(candidates, spark.createDataFrame([("a", 1, "b")], "chunk_id string, pos int, neighbour string"))
+    echo = lambda p: F.concat(p, F.lit(" and so on"))
+    assert "Rome rose again." in taskgen.unanswerable_tasks(near, chunks, echo).first().query and "Rome fell." in taskgen.unanswerable_tasks(candidates, chunks, echo).first().query
