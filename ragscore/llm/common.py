@@ -68,9 +68,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more, and executors hand free heap back.
+
+    An executor's heap grows with every sort and join and is not given back by itself, while Python workers need the
+    memory beside it; a task for each executor asks its JVM to collect.
+    """
     gc.collect()
     spark._jvm.System.gc()
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size()
+    spark.range(0, executors, 1, executors).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()  # a row for each
 
 
 def forget(df: DataFrame) -> None:

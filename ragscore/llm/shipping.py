@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import uuid
@@ -31,5 +32,8 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
         _ready.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
         _ready[key] = make()
     return _ready[key]
