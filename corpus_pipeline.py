@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragscore.llm import op1, op3, op9, op10
-from ragscore.llm.common import forget, order_id, release, scope, written
+from ragscore.llm.common import forget, order_id, release, scope, tidy, written
 from ragscore.llm.near_documents import near_documents
 
 #: A language whose probability is lower is no answer.
@@ -81,13 +81,14 @@ _ORDER = [("toxicity", drop_toxic), ("language_id", keep_languages), ("simhash_n
 
 
 def _staged(at: int) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage; its input being a table, what the stage before it left in the scratch folder goes first."""
+    """The stage; its input being a table, what the stage before it left in the scratch folder and in memory goes first."""
     name, stage = _ORDER[at]
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if at:
             release(spark, f"{_ORDER[at - 1][0]} {sf_dir}")
+        tidy(spark)
         with scope(f"{name} {sf_dir}"):
             return stage(spark, docs, sf_dir)
 
