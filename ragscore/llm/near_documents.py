@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ragscore.llm.common import NULL_ID, components, forget, order_id, tidy, written
 from ragscore.llm.op4 import near_fingerprints
-from ragscore.llm.shipping import shipped
+from ragscore.llm.shipping import give_back, shipped
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -113,6 +113,7 @@ def _describe(shingle: int, similarity: float, common: np.ndarray, place: np.nda
                 marks.append(buckets(distinct))
             longs = [pa.array(np.array(x, _U).view(np.int64)) for x in (fp, node)]
             yield pa.StructArray.from_arrays([*longs, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["fp", "node", "n", "prefix", "marks"])
+        give_back()
 
     return F.arrow_udf(run, "fp long, node long, n int, prefix array<long>, marks binary")
 
@@ -141,6 +142,7 @@ def _sets(shingle: int):
                 if held > GROUP or at + 1 == len(batch):
                     yield pa.StructArray.from_arrays([pa.array(np.array(node, _U).view(np.int64)), pa.array(found, kind)], ["node", "shingles"])
                     node, found, held = [], [], 0
+        give_back()
 
     return F.arrow_udf(run, "node long, shingles array<long>").asNondeterministic()  # so that it is not run once more in a filter
 

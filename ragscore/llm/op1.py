@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ragscore.llm.common import lowest, written
 from ragscore.llm.op10 import held_out
-from ragscore.llm.shipping import shipped
+from ragscore.llm.shipping import give_back, shipped
 
 FIT_ROWS = 12_000
 PREFIXES = (4, 5, 6, 7)
@@ -196,6 +196,7 @@ def _scorer(model: Model) -> Callable[[Column], Column]:
                 scores.append(m.score(x))
                 passages.append([{"start": s, "stop": e, "score": v} for s, e, v in found])
             yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(passages, kind)], ["score", "segments"])
+        give_back()
 
     return F.arrow_udf(run, f"score double, segments {_SEGMENTS}")
 

@@ -203,7 +203,7 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _predictor(model: ByteCnn) -> Callable[[Column], Column]:
-    from ragscore.llm.shipping import shipped
+    from ragscore.llm.shipping import give_back, shipped
 
     get = shipped(model, ByteCnn.ready)
 
@@ -212,6 +212,7 @@ def _predictor(model: ByteCnn) -> Callable[[Column], Column]:
         for batch in batches:
             found = net.predict_all(batch.to_pylist())
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
+        give_back()
 
     return F.arrow_udf(run, "lang_pred string, score double")
 

@@ -30,10 +30,15 @@ def held(key: Any, make: Callable[[], Any]) -> Any:
     """What make() gives, held by the process until it is asked for another: one model at a time, as tables grow with use."""
     if key not in _ready:
         _ready.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
         _ready[key] = make()
     return _ready[key]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which a worker that waits for its next task would keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
