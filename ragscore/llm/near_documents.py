@@ -9,9 +9,11 @@ from a sample of the texts; results don't depend on it.  A met pair is first hel
 the sum over hash buckets of the smaller of the two texts' counts; only pairs that could reach the similarity fetch
 their shingle sets, and the exact Jaccard similarity of these decides.  Nothing is estimated.
 
-Texts that share a shingle are first compared with one of them; then the pairs of such texts that are not yet in one
-component are compared too, so that no pair hangs on the choice of the one.  A group of copies costs rows in proportion
-to its distinct texts; pairs are listed only between components, where lengths and places allow the similarity.
+Texts that share a shingle are first compared with the one of them whose hash is least.  Where many pairs
+of such texts would still lie between components, they are compared with a further one, drawn for each shingle anew, for
+as long as that halves those pairs.  Then the pairs that are not yet in one component are compared too, so that no pair
+hangs on the choice of the ones.  A group of copies costs rows in proportion to its distinct texts; pairs are listed only
+between components, where lengths and places allow the similarity.
 
 Defined cases: null and blank texts have no shingle, so they are copies of each other; texts of fewer words than a
 shingle have one; repeated rows and rows that repeat an id are rows of their own; a null id orders before all others and
@@ -43,6 +45,8 @@ BUCKETS = 4096
 GROUP = 1 << 20
 #: Texts that are described at once.
 ROWS = 512
+#: Pairs between components for each text of a shingle, beyond which its texts meet further ones first. Results don't depend on it.
+PAIRS = 8
 #: Slack for bounds that are computed in floating point.
 _LESS = 1e-9
 _U = np.uint64
@@ -209,17 +213,39 @@ def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     near = near.join(prints.select(F.col("fp").alias("a"), F.col("lo").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("lo").alias("v")), "b")
     edges = written(first.unionByName(same).unionByName(near.select("u", "v")), "links")
 
-    group = components(edges).withColumnRenamed("id", "node")
-    placed = met.join(group, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("of"))
-    open_ = placed.groupBy("token").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("token")
-    placed = written(placed.join(open_, "token", "left_semi"), "placed")
+    def parted(group: DataFrame) -> DataFrame:
+        """The rows of met whose shingle lies in several components, with these."""
+        placed = met.join(group.withColumnRenamed("id", "node"), "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("of"))
+        open_ = placed.groupBy("token").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a <> b").select("token")
+        return written(placed.join(open_, "token", "left_semi"), "placed")
+
+    def joined(group: DataFrame, pairs: DataFrame) -> DataFrame:
+        return components(group.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(pairs))
+
+    group = components(edges)
+    placed = parted(group)
+    left, times = math.inf, 0
+    while True:
+        sizes = placed.groupBy("token", "of").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("inner"))
+        large = written(sizes.select("token", ((F.col("all") * F.col("all") - F.col("inner")) / 2).alias("pairs"), "all").where(F.col("pairs") > PAIRS * F.col("all")), "large")
+        many = large.agg(F.sum("pairs")).first()[0] or 0
+        if not many or many > left / 2:
+            break
+        left, times = many, times + 1
+        some = placed.join(large.select("token"), "token", "left_semi")
+        drawn = some.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "of"), F.xxhash64("token", "node", F.lit(times))).alias("one"))
+        drawn = drawn.select("token", F.col("one.node").alias("v"), F.col("one.n").alias("m"), F.col("one.rest").alias("other"), F.col("one.of").alias("with"))
+        pairs = some.join(drawn, "token").where((F.col("of") != F.col("with")) & able).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+        group = joined(group, linked(pairs))
+        forget(placed)
+        placed = parted(group)
     # the smaller of a pair has the shingle early enough for a text of its own size
     less = placed.where(_may_reach(F.col("n"), F.col("rest"), F.col("n"), F.col("rest"), similarity))
     more = placed.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("of").alias("with"))
     rest = less.join(more, "token").where((F.col("n") <= F.col("m")) & (F.col("of") != F.col("with")) & (F.col("node") != F.col("v")) & able)
     rest = rest.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
     tidy(documents.sparkSession)
-    group = components(edges.unionByName(linked(rest)))
+    group = joined(group, linked(rest))
 
     root = texts.join(group, texts.node == group.id, "left").select("node", "low", F.coalesce("component", "node").alias("root"))
     of = root.join(root.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")

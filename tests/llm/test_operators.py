@@ -149,8 +149,8 @@ def test_near_documents(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5}
 
 
-@pytest.mark.parametrize("kind", ["hot passage", "short", "threshold"])
-def test_near_documents_by_brute_force(spark, kind):
+@pytest.mark.parametrize("kind", ["hot passage", "short", "threshold", "large group"])
+def test_near_documents_by_brute_force(spark, kind, monkeypatch):
     from ragscore.llm.near_documents import shingle_hashes
 
     r = random.Random(21)
@@ -183,6 +183,15 @@ def test_near_documents_by_brute_force(spark, kind):
             for at in range(gone):
                 text[at * 600 // gone] = "edit%d" % at
             add(text)
+    if kind == "large group":  # edits of one text, on both sides of the threshold from each other
+        text = [word() for _ in range(145)]
+        for _ in range(120):
+            edited = list(text)
+            for _ in range(r.choice([1, 1, 2, 3, 4])):
+                edited[r.randrange(145)] = word()
+            add(edited)
+    tables, write = [], near_documents_module.written
+    monkeypatch.setattr(near_documents_module, "written", lambda df, name: tables.append(name) or write(df, name))
     sets = [set(shingle_hashes(t.encode()).tolist()) for _, t in rows]
     group = list(range(len(rows)))
     for i, a in enumerate(sets):
@@ -193,6 +202,7 @@ def test_near_documents_by_brute_force(spark, kind):
                 group = [low if g == high else g for g in group]
     got = near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.component_id for x in got} == dict(enumerate(group))
+    assert kind != "large group" or tables.count("placed") > 1
 
 
 def test_top_k_and_vectors(spark):
