@@ -9,11 +9,11 @@ from a sample of the texts; results don't depend on it.  A met pair is first hel
 the sum over hash buckets of the smaller of the two texts' counts; only pairs that could reach the similarity fetch
 their shingle sets, and the exact Jaccard similarity of these decides.  Nothing is estimated.
 
-Texts that share a shingle are first compared with the one of them whose hash is least.  Where many pairs
-of such texts would still lie between components, they are compared with a further one, drawn for each shingle anew, for
-as long as that halves those pairs.  Then the pairs that are not yet in one component are compared too, so that no pair
-hangs on the choice of the ones.  A group of copies costs rows in proportion to its distinct texts; pairs are listed only
-between components, where lengths and places allow the similarity.
+Texts that share a shingle are first compared with the one of them whose hash is least.  Where many pairs of such texts
+would still lie between components, they are compared with a few further ones, drawn for each shingle anew, for as long
+as that halves those pairs.  Then the pairs that are not yet in one component are compared too, so that no pair hangs on
+the choice of the ones.  A group of copies costs rows in proportion to its distinct texts; pairs are listed only between
+components, where lengths and places allow the similarity.
 
 Defined cases: null and blank texts have no shingle, so they are copies of each other; texts of fewer words than a
 shingle have one; repeated rows and rows that repeat an id are rows of their own; a null id orders before all others and
@@ -45,7 +45,7 @@ BUCKETS = 4096
 GROUP = 1 << 20
 #: Texts that are described at once.
 ROWS = 512
-#: Pairs between components for each text of a shingle, beyond which its texts meet further ones first. Results don't depend on it.
+#: Pairs between components for each text of a shingle, beyond which its texts meet as many drawn ones first. Results don't depend on it.
 PAIRS = 8
 #: Slack for bounds that are computed in floating point.
 _LESS = 1e-9
@@ -233,8 +233,9 @@ def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         left, times = many, times + 1
         some = placed.join(large.select("token"), "token", "left_semi")
-        drawn = some.groupBy("token").agg(F.min_by(F.struct("node", "n", "rest", "of"), F.xxhash64("token", "node", F.lit(times))).alias("one"))
-        drawn = drawn.select("token", F.col("one.node").alias("v"), F.col("one.n").alias("m"), F.col("one.rest").alias("other"), F.col("one.of").alias("with"))
+        by = Window.partitionBy("token").orderBy(F.xxhash64("token", "node", F.lit(times)), "node")
+        drawn = some.withColumn("at", F.row_number().over(by)).where(F.col("at") <= PAIRS)
+        drawn = drawn.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("of").alias("with"))
         pairs = some.join(drawn, "token").where((F.col("of") != F.col("with")) & able).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
         group = joined(group, linked(pairs))
         forget(placed)
