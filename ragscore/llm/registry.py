@@ -12,6 +12,9 @@ from ragscore.llm.op7 import op7_embedding_near_dedup
 from ragscore.llm.op8 import op8_substring_dedup
 from ragscore.llm.op9 import op9_suffix_array_dedup
 from ragscore.llm.op10 import op10_language_id
+from ragscore.llm.op11 import OP11_SQL, op11_spelling_variants
+from ragscore.llm.op12 import op12_embedding_whitening
+from ragscore.llm.op13 import OP13_SQL, op13_secret_scan
 
 _ALL = (
     op1_toxicity,
@@ -24,7 +27,10 @@ _ALL = (
     op8_substring_dedup,
     op9_suffix_array_dedup,
     op10_language_id,
+    op11_spelling_variants,
+    op12_embedding_whitening,
+    op13_secret_scan,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op2_exact_top_k": OP2_SQL, "op7_embedding_near_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_exact_top_k": OP2_SQL, "op7_embedding_near_dedup": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op13_secret_scan": OP13_SQL}
