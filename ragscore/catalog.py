@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragscore import fixtures as X
-from ragscore.operators import answers, judging, retrieval, robustness, search, taskgen
+from ragscore.operators import answers, bertscore, judging, retrieval, robustness, search, taskgen
 from ragscore.plans import evaluate, systems
 from ragscore.sources import io
 from ragscore.streaming.latency import latency_window
@@ -81,6 +81,21 @@ _mean("embedding_similarity_md5", lambda s: answers.hashed_similarity(s.where("r
 _mean("embedding_similarity", lambda s: answers.hashed_similarity(s.where("reference <> ''"), "sample_id", F.col("response"), F.col("reference")))
 
 
+@query
+def bertscore_hashed(spark: SparkSession, d: str) -> DataFrame:
+    return bertscore.mean_scores(X.qa(spark, d))
+
+
+@query
+def bertscore_hashed_idf(spark: SparkSession, d: str) -> DataFrame:
+    return bertscore.mean_scores(X.qa(spark, d), "query", idf=True)
+
+
+@query
+def counterfactual_bertscore(spark: SparkSession, d: str) -> DataFrame:
+    return robustness.counterfactual_consistency(X.qa_labelled(spark, d), score=bertscore.pair_score())
+
+
 @query
 def bleu_4(spark: SparkSession, d: str) -> DataFrame:
     return answers.bleu(X.qa(spark, d))

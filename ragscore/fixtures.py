@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragscore.functions.text import term_set, words
+from ragscore.operators.blocks import sparse_top_k
+from ragscore.operators.taskgen import find_relevant
 
 RUN_DEPTH = 10
 
@@ -24,21 +27,29 @@ def passage_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.slice(words(F.col("text")), 2, F.greatest(F.lit(0), F.size(words(F.col("text"))) - 2))
     keyed = items.where("text is not null").select("item_id", F.col("text").alias("passage"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
     met = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(keyed.where("word is not null"), "word").select("doc_id", "item_id", "passage")
-    rest = keyed.where("word is null").select("item_id", "passage")
-    far = docs.join(rest, F.contains(docs.text, rest.passage)).select("item_id", "doc_id")
-    return met.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id").unionByName(far)
+    found = met.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    rest = keyed.where("word is null").select("item_id", F.col("passage").alias("span"))  # of one or two words
+    if rest.isEmpty():  # spares the index of the documents' words
+        return found
+    far = find_relevant(rest.select("span"), docs.withColumnRenamed("doc_id", "chunk_id")).join(rest, "span")
+    return found.unionByName(far.select("item_id", F.col("chunk_id").alias("doc_id")))
+
+
+def _share(shared: np.ndarray, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Shared terms per thousand of the union, rounded down."""
+    return np.floor(1000 * shared / (q[None, :] + d[:, None] - shared))
 
 
 def passage_run(spark: SparkSession, sf_dir: str, depth: int = RUN_DEPTH) -> DataFrame:
     """item_id, pos, doc_id, score: documents ranked by shared terms per thousand of the union."""
 
-    def postings(df: DataFrame, id_col: str) -> DataFrame:
-        return df.select(id_col, term_set(F.col("text")).alias("terms")).select(id_col, F.size("terms").alias(f"n_{id_col}"), F.explode("terms").alias("term"))
+    def sets(name: str, id_col: str) -> DataFrame:
+        found = term_set(F.coalesce("text", F.lit("")))
+        return table(spark, sf_dir, name).select(F.col(id_col).alias("id"), found.alias("terms")).select("id", "terms", F.transform("terms", lambda _: F.lit(1.0)).alias("weights"), F.size("terms").cast("double").alias("size"))
 
-    items, docs = postings(table(spark, sf_dir, "benchmark"), "item_id"), postings(table(spark, sf_dir, "documents"), "doc_id")
-    shared = docs.join(items, "term").groupBy("item_id", "n_item_id", "doc_id", "n_doc_id").agg(F.count("*").alias("shared"))
-    score = F.floor(1000 * F.col("shared") / (F.col("n_item_id") + F.col("n_doc_id") - F.col("shared"))).cast("long")
-    ranked = shared.select("item_id", "doc_id", score.alias("score"))
+    sizes = [table(spark, sf_dir, name).count() for name in ("benchmark", "documents")]
+    ranked = sparse_top_k(sets("benchmark", "item_id"), sets("documents", "doc_id"), depth, _share, ("item_id", "doc_id"), *sizes)
+    ranked = ranked.withColumn("score", F.col("score").cast("long"))
     pos = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     return ranked.withColumn("pos", pos).where(F.col("pos") <= depth).select("item_id", "pos", "doc_id", "score")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +31,18 @@ def negative_rejection_rate(labelled: DataFrame, patterns: Sequence[str] = REFUS
     return rows.agg(F.lit("negative_rejection_rate").alias("metric"), F.round(F.coalesce(F.avg(refused.cast("double")), F.lit(0.0)), 6).alias("value"), F.count("*").alias("num_samples"))
 
 
-def counterfactual_consistency(labelled: DataFrame, bucket: str = "murmur3", scenario: str = "counterfactual", key: str = "sample_id") -> DataFrame:
-    """Mean similarity of a variant's response to its base's; of repeated base ids the last counts, dangling variants drop."""
+PairScore = Callable[[DataFrame, str, Column, Column], DataFrame]
+
+
+def counterfactual_consistency(labelled: DataFrame, bucket: str = "murmur3", scenario: str = "counterfactual", key: str = "sample_id", score: PairScore | None = None) -> DataFrame:
+    """Mean similarity of a variant's response to its base's; of repeated base ids the last counts, dangling variants drop.
+
+    score compares pairs of texts, (pairs, key, left, right) -> key, score; without one it is the cosine of hashed words.
+    """
     base = labelled.groupBy(F.col(key).alias("variant_of")).agg(F.max_by("response", "turn").alias("base_response"))
     pairs = labelled.where((F.col("scenario") == scenario) & F.col("variant_of").isNotNull()).select(key, "variant_of", "response").join(base, "variant_of")
-    scores = hashed_similarity(pairs, key, F.col("base_response"), F.col("response"), bucket)
+    compare = score or (lambda p, k, a, b: hashed_similarity(p, k, a, b, bucket))
+    scores = compare(pairs, key, F.col("base_response"), F.col("response"))
     return scores.agg(F.lit("counterfactual_consistency").alias("metric"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("value"), F.count("*").alias("num_samples"))
 
 

@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragscore.functions.skew import joined_by_key
 from ragscore.functions.text import words
 
 EDGE = ".,!?;:()[]\"'"
 #: Capitalised words that are no entities.
 STOP_ENTITIES = ("the", "a", "an", "this", "that", "these", "those", "it", "he", "she", "they", "we", "you", "in", "on")
+#: Rows of one key that a task joins with others of it.
+BLOCK = 2048
 Llm = Callable[[Column], Column]
 
 
@@ -84,10 +87,26 @@ def entities_by_model(chunks: DataFrame, llm: Llm = mock_entities) -> DataFrame:
 
 
 def entity_graph(entities: DataFrame, least: int = 2, key: str = "chunk_id") -> DataFrame:
-    """src, dst (src < dst), shared: chunks that share at least ``least`` entities, joined on the entity, never all pairs."""
-    hashed = entities.select(F.col(key).alias("id"), F.xxhash64("entity").alias("e"))
-    a, b = hashed.toDF("src", "e"), hashed.toDF("dst", "e")
-    return a.join(b, "e").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    """src, dst (src < dst), shared: chunks that share at least ``least`` distinct entities.
+
+    Two chunks of so many common entities have one in common even without the least - 1 most frequent of each (prefix
+    filter), so chunks meet on the others only; an entity of n chunks is dealt into blocks of BLOCK, each pair of blocks
+    being a task's at most.  The pairs' whole sets then give the number.
+    """
+    rows = entities.select(F.col(key).alias("id"), "entity").distinct()
+    often = rows.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")  # others are shared by none
+    counted = joined_by_key(rows, often, "entity", "n").where("n is not null")
+    sets = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "entity"))).alias("ranked")).where(F.size("ranked") >= least)
+    prefix = sets.select("id", F.explode(F.slice("ranked", 1, F.size("ranked") - (least - 1))).alias("e")).select("id", "e.entity", "e.n")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = prefix.select("id", "entity", F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    a, b = dealt.select(F.col("id").alias("src"), "entity", F.col("own").alias("i"), F.col("other").alias("j")), dealt.select(F.col("id").alias("dst"), "entity", F.col("other").alias("i"), F.col("own").alias("j"))
+    met = a.join(b, ["entity", "i", "j"]).where("src < dst").select("src", "dst")
+    if least <= 1:
+        return met.groupBy("src", "dst").agg(F.count("*").alias("shared"))  # every common entity is among those that they met on
+    names = sets.select("id", F.transform("ranked", lambda x: x["entity"]).alias("names"))
+    both = met.distinct().join(names.toDF("src", "a"), "src").join(names.toDF("dst", "b"), "dst")
+    return both.select("src", "dst", F.size(F.array_intersect("a", "b")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def entity_degree(edges: DataFrame) -> DataFrame:
@@ -160,20 +179,61 @@ def paraphrases(samples: DataFrame, n: int = 2, llm: Llm = mock_reply, key: str
     return rows.select(F.concat_ws(":", key, F.lit("paraphrase"), "i").alias("sample_id"), F.col(key).alias("variant_of"), F.lit("paraphrase").alias("scenario"), llm(F.concat(F.lit("Paraphrase the question: the same meaning and answer in other words. Give only the question.\n"), "query")).alias("query"))
 
 
+#: Characters of a gram; a shorter part is its own gram.
+GRAM = 4
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct substrings of the sizes given."""
+    places = lambda n: F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(text)), lambda n: F.transform(places(n), lambda i: F.substring(text, i, n)))))
+
+
+def words_with(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """part, word of the distinct words (word) that contain a part (part): they meet on the part's rarest gram, then are compared.
+
+    All grams of up to GRAM characters of the vocabulary are counted.  A part with a gram that no word has is in none.
+    """
+    index = vocabulary.select("word", F.explode(_grams(F.col("word"), F.array(*[F.lit(n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = parts.where("part <> ''").select("part", F.explode(_grams(F.col("part"), F.array(F.least(F.lit(GRAM), F.length("part"))))).alias("gram"))
+    rarest = asked.join(often, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("at")).where("at.n > 0")
+    return rarest.select("part", F.col("at.gram").alias("gram")).join(index, "gram").where(F.contains("word", "part")).select("part", "word")
+
+
 def find_relevant(spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """span, chunk_id where the chunk's text contains the span, case and all.
+    """span, chunk_id where the chunk's text contains the span, case and all; a span of white space alone is found nowhere.
 
-    Spans and chunks first meet on words: a span lies in a chunk only if each of its inner words is one of the chunk's
-    and its outer words are parts of some; distinct words, far fewer than chunks, are compared with spans' longest words.
+    A span's words are parts of words of the chunk (the inner ones whole words), and parts meet words by an index of
+    grams.  A span of one word is found with that.  A longer one meets chunks on the word of it that the fewest chunks
+    have, and its text decides.
     """
-    asked = spans.select("span").where("span is not null and span <> ''").distinct()
-    key = F.array_max(F.transform(words(F.col("span")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = asked.withColumn("part", F.coalesce(key, F.col("span")))
+    asked = spans.select("span").where("span is not null and span <> ''").distinct().select("span", words(F.col("span")).alias("w"), (~F.col("span").rlike(r"(?U)\s")).alias("single"))
+    parts = asked.select("span", "single", F.explode(F.array_distinct("w")).alias("part"))
     places = chunks.select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    vocabulary, parts = places.select("word").distinct(), asked.select("part").distinct()
-    met = vocabulary.join(parts, F.contains("word", "part"))
-    pairs = asked.join(met, "part").join(places, "word").select("span", "chunk_id").distinct()
-    return pairs.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.contains("text", "span")).select("span", "chunk_id")
+    vocabulary = places.groupBy("word").agg(F.count("*").alias("n"))
+    met = words_with(parts.select("part").distinct(), vocabulary).join(vocabulary, "word")
+    weight = met.groupBy("part").agg(F.sum("n").alias("n"))
+    several = parts.where("not single").join(weight, "part", "left").groupBy("span").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("at")).where("at.n > 0")
+    keys = parts.where("single").select("span", "single", "part").unionByName(several.select("span", F.lit(False).alias("single"), F.col("at.part").alias("part")))
+    wanted = keys.join(met, "part").select("span", "single", "word", "n")
+    pairs = joined_rows(places, wanted, "word").select("span", "single", "chunk_id").distinct()
+    told = pairs.where("not single").join(chunks.select("chunk_id", "text"), "chunk_id").where(F.contains("text", "span"))
+    return pairs.where("single").select("span", "chunk_id").unionByName(told.select("span", "chunk_id"))
+
+
+def joined_rows(places: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """places with what is wanted of their key (several rows; n says how frequent a key is among places).
+
+    A key of n places is dealt over n / BLOCK parts by place, to which what is wanted of it goes, so that no task holds
+    all places of a word that most texts have.
+    """
+    split = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
+    each = wanted.select("*", F.explode(F.sequence(F.lit(0), split - 1)).alias("_part")).drop("n")
+    sizes = wanted.select(key, "n").distinct()
+    dealt = joined_by_key(places, sizes, key, "n").where("n is not null")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*places.columns), F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))).cast("int"))
+    return dealt.drop("n").join(each, [key, "_part"]).drop("_part")
 
 
 def answer_presence(samples: DataFrame, answer: str, evidence: str) -> DataFrame:

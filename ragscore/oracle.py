@@ -244,3 +244,29 @@ UNION ALL SELECT 'multi_hop', sample_id, query, answer, NULL FROM ({SQL['multi_h
     "consistency_filter_mock": f"""WITH {CHUNKS}, t AS ({SQL['multi_hop_tasks_mock']})
 SELECT sample_id, 'multi_hop' AS kind FROM t JOIN chunks x ON x.chunk_id = t.a JOIN chunks y ON y.chunk_id = t.b WHERE md5('Is the answer supported? ' || query || ' / ' || answer || ' / ' || left(x.text || chr(10) || chr(10) || y.text, 4000))[1:1] < '8'""",
 }
+
+
+def _bert(pairs: str, idf: bool = False) -> str:
+    """Common tables: bs_ with precision, recall and f1 of each pair (sample_id, a, b)."""
+    vector = "list_transform(range(0, 16), lambda i: CAST('0x' || md5(t)[2 * i + 1:2 * i + 2] AS INTEGER) - 127.5)"
+    side = lambda c: f"(SELECT sample_id, t, count(*) AS c FROM (SELECT sample_id, unnest({_terms(f"coalesce({c}, '')")}) AS t FROM pr_) GROUP BY ALL)"
+    weight = "CASE WHEN df IS NULL THEN ln((SELECT count(*) FROM pr_) + 1) ELSE ln(((SELECT count(*) FROM pr_) + 1) / (df + 1)) END" if idf else "1.0"
+    best = lambda x, y: f"(SELECT x.sample_id, x.t, any_value(x.c) AS c, max(list_inner_product(u.v, w.v)) AS best FROM {x} x JOIN {y} y ON x.sample_id = y.sample_id JOIN ve_ u ON u.t = x.t JOIN ve_ w ON w.t = y.t GROUP BY 1, 2)"
+    share = lambda x, y: f"(SELECT sample_id, CASE WHEN sum(c * w) > 0 THEN sum(c * w * best) / sum(c * w) ELSE 0 END AS s FROM (SELECT b.*, {weight} AS w FROM {best(x, y)} b LEFT JOIN df_ ON df_.t = b.t) GROUP BY 1)"
+    return f"""pr_ AS MATERIALIZED ({pairs}), ta_ AS MATERIALIZED {side('a')}, tb_ AS MATERIALIZED {side('b')}, df_ AS MATERIALIZED (SELECT t, count(*) AS df FROM tb_ GROUP BY 1),
+vr_ AS (SELECT t, {vector} AS v FROM (SELECT t FROM ta_ UNION SELECT t FROM tb_)), ve_ AS MATERIALIZED (SELECT t, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM vr_),
+p_ AS {share('ta_', 'tb_')}, r_ AS {share('tb_', 'ta_')},
+bs_ AS MATERIALIZED (SELECT sample_id, coalesce(p_.s, 0) AS precision, coalesce(r_.s, 0) AS recall, CASE WHEN p_.s + r_.s > 0 THEN 2 * p_.s * r_.s / (p_.s + r_.s) ELSE 0 END AS f1 FROM pr_ LEFT JOIN p_ USING (sample_id) LEFT JOIN r_ USING (sample_id))"""
+
+
+def _bert_means(other: str, idf: bool = False) -> str:
+    one = lambda m: f"SELECT 'bertscore_{m}_{other}{'_idf' if idf else ''}' AS metric, round(coalesce(avg({m}), 0), 6) AS value, count(*) AS num_samples FROM bs_"
+    return f"WITH {QA}, {_bert(f"SELECT sample_id, response AS a, {other} AS b FROM qa WHERE {other} <> ''", idf)} {' UNION ALL '.join(one(m) for m in ('precision', 'recall', 'f1'))}"
+
+
+SQL |= {
+    "bertscore_hashed": _bert_means("reference"),
+    "bertscore_hashed_idf": _bert_means("query", True),
+    "counterfactual_bertscore": f"""WITH {QA}, {LAB}, {_bert("SELECT v.sample_id, b.response AS a, v.response AS b FROM lab v JOIN lab b ON v.variant_of = b.sample_id WHERE v.scenario = 'counterfactual'")}
+SELECT 'counterfactual_consistency' AS metric, round(coalesce(avg(f1), 0), 6) AS value, count(*) AS num_samples FROM bs_""",
+}

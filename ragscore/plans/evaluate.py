@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragscore.operators import answers, judging, retrieval
+from ragscore.operators import answers, bertscore, judging, retrieval
 
 ColumnFunction = Callable[[Column], Column]
 
@@ -70,11 +70,12 @@ def _score(name: str, target: str, score: Callable[[DataFrame], DataFrame], requ
 RANKING_TARGETS = {"recall": "RETRIEVAL_RELEVANCE", "precision": "RETRIEVAL_RELEVANCE", "hit_rate": "RETRIEVAL_RELEVANCE", "mrr": "RETRIEVAL_ACCURACY", "map": "RETRIEVAL_ACCURACY", "ndcg": "RETRIEVAL_ACCURACY"}
 
 
-def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None = None, critic: ColumnFunction | None = None, judged: bool = False, evidence: str = "retrieved") -> EvaluationPlan:
+def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None = None, critic: ColumnFunction | None = None, judged: bool = False, evidence: str = "retrieved", token_embed: bertscore.TokenEmbedder | None = None) -> EvaluationPlan:
     """Ranking metrics (one pass), answer metrics, evidence overlap and embedding similarities, in report order.
 
     Views: samples (sample_id, query, response, reference), gold, runs, and answers (key, query, response) with evidence
-    (key, pos, text), which is read where evidence is 'retrieved', or relevant likewise, where it is 'relevant'. embed adds similarities of whole texts; judged adds a critic's scores, and then needs one.
+    (key, pos, text), which is read where evidence is 'retrieved', or relevant likewise, where it is 'relevant'. embed adds similarities of whole texts, token_embed
+    precision, recall and F of aligned tokens; judged adds a critic's scores, and then needs one.
     """
     if judged and critic is None:
         raise ValueError("a judged plan needs a critic")
@@ -97,7 +98,10 @@ def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None
     ]
     if embed is not None:
         for other, target in (("reference", right), ("query", apt)):
-            metrics.append(_score(f"bertscore_f1_{other}", target, lambda d, o=other: answers.embedded_similarity(d.where(f"{o} <> ''"), "sample_id", F.col("response"), F.col(o), embed), ("response", other)))
+            metrics.append(_score(f"openai_bertscore_f1_{other}", target, lambda d, o=other: answers.embedded_similarity(d.where(f"{o} <> ''"), "sample_id", F.col("response"), F.col(o), embed), ("response", other)))
+    if token_embed is not None:
+        for other, target in (("reference", right), ("query", apt)):
+            metrics.append(Metric(target, lambda v, o=other: bertscore.mean_scores(v["samples"], o, token_embed), ("response", other)))
     if judged:
         metrics.append(Metric(true, lambda v: answers.mean(judging.faithfulness(v["answers"], evidence_of(shown(v), key), critic, key), "llm_faithfulness")))
         metrics.append(_score("llm_answer_quality", apt, lambda d: judging.answer_quality(d, critic), ("query",)))
