@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragscore import fixtures as X
-from ragscore.operators import answers, bertscore, judging, retrieval, robustness, search, taskgen
+from ragscore.operators import answers, bertscore, judging, mergeable, retrieval, robustness, search, taskgen
 from ragscore.plans import evaluate, systems
 from ragscore.sources import io
-from ragscore.streaming.latency import latency_window
+from ragscore.streaming.latency import latency_sessions, latency_window
 
 K = 5
 REFUSALS = ["tion", "eine"]
@@ -153,6 +153,12 @@ def intra_list_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.tfidf_topk(X.table(spark, d, "benchmark"), X.table(spark, d, "documents"), K, stop_words=())
+
+
+@query
+def tfidf_topk_english(spark: SparkSession, d: str) -> DataFrame:
+    """With the default stop list."""
     return search.tfidf_topk(X.table(spark, d, "benchmark"), X.table(spark, d, "documents"), K)
 
 
@@ -162,6 +168,29 @@ def noise_robustness_token_f1(spark: SparkSession, d: str) -> DataFrame:
     return robustness.noise_robustness(rows, answers.token_f1(rows), "token_f1")
 
 
+@query
+def noise_robustness_bleu(spark: SparkSession, d: str) -> DataFrame:
+    """A metric of the whole corpus under noise; white-space tokens, which SQL can make too."""
+    return mergeable.noise_robustness(mergeable.bleu(tokens="words"), X.qa_labelled(spark, d))
+
+
+@query
+def noise_robustness_distinct_2(spark: SparkSession, d: str) -> DataFrame:
+    return mergeable.noise_robustness(mergeable.distinct(2), X.qa_labelled(spark, d))
+
+
+@query
+def sliced_bleu(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.qa_labelled(spark, d).withColumn("scenario", F.coalesce("scenario", F.lit("plain")))
+    return mergeable.sliced(mergeable.bleu(tokens="words"), rows, "scenario")
+
+
+@query
+def sliced_distinct_2(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.qa_labelled(spark, d).withColumn("scenario", F.coalesce("scenario", F.lit("plain")))
+    return mergeable.sliced(mergeable.distinct(2), rows, "scenario")
+
+
 @query
 def negative_rejection_rate(spark: SparkSession, d: str) -> DataFrame:
     return robustness.negative_rejection_rate(X.qa_labelled(spark, d), REFUSALS)
@@ -189,6 +218,18 @@ def latency_by_window(spark: SparkSession, d: str) -> DataFrame:
     return latency_window(X.table(spark, d, "events"))
 
 
+@query
+def session_latency(spark: SparkSession, d: str) -> DataFrame:
+    return latency_sessions(X.table(spark, d, "events"))
+
+
+@query
+def numbered_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without an id column: ids count rows."""
+    rows = X.table(spark, d, "documents").withColumn("at", F.md5(F.col("doc_id").cast("string")))
+    return io.load_corpus(rows, None, "text", ["source"], order="at").select("doc_id", F.md5("text").alias("text_md5"), F.col("metadata")["source"].alias("source"))
+
+
 @query
 def plan_results(spark: SparkSession, d: str) -> DataFrame:
     runs, items = X.passage_run(spark, d), X.table(spark, d, "benchmark")
@@ -351,7 +392,7 @@ def llm_answer_quality_mock(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def simple_rag_answers(spark: SparkSession, d: str) -> DataFrame:
-    system = systems.simple_rag(X.table(spark, d, "documents").select("doc_id", "text"), 256, 32)
+    system = systems.simple_rag(X.table(spark, d, "documents").select("doc_id", "text"), 256, 32, stop_words=())
     out = system(X.table(spark, d, "benchmark").select("item_id", "text"), K)
     return out.select("item_id", F.array_join("retrieved", " ").alias("retrieved"), "response")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -13,28 +14,46 @@ from pyspark.sql import functions as F
 
 from ragscore.sources.settings import Settings
 
+_REPLY = pa.struct([("reply", pa.string()), ("error", pa.string())])
 OUTPUT_SCHEMA = "sample_id string, response string, retrieved array<struct<doc_id:string,text:string>>, timings map<string,double>, error string"
 
 
-def language_model(make: Callable[[], Callable[[str], str]]) -> Callable[[Column], Column]:
-    """prompt -> reply by a client that each task makes once; a call that fails gives null, so that it can be counted."""
+def asked(make: Callable[[], Callable[[str], str]], workers: int = 5, attempts: int = 3, wait: float = 1.0) -> Callable[[Column], Column]:
+    """prompt -> struct of reply and error, by a client that each task makes once.
+
+    So many calls of a batch run side by side; replies keep the order of their prompts. A call that fails is tried again
+    after ``wait`` seconds, then twice that, and so on; after the last attempt reply is null and error says why. How long
+    one call may take is the client's matter. A null prompt is not asked: both are null.
+    """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ask = make()
 
-        def one(prompt: str | None) -> str | None:
-            try:
-                return None if prompt is None else ask(prompt)
-            except Exception:  # a lost reply must not lose the job
-                return None
+        def one(prompt: str | None) -> dict[str, str | None]:
+            error = None
+            for i in range(attempts if prompt is not None else 0):
+                try:
+                    return {"reply": ask(prompt), "error": None}
+                except Exception as e:  # a lost reply must not lose the job
+                    error = f"{type(e).__name__}: {e}"
+                    if i + 1 < attempts:
+                        time.sleep(wait * 2**i)
+            return {"reply": None, "error": error}
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                yield pa.array(list(pool.map(one, batch.to_pylist())), _REPLY)
 
-        for batch in batches:
-            yield pa.array([one(p) for p in batch.to_pylist()], pa.string())
+    return F.arrow_udf(run, "struct<reply:string,error:string>")
 
-    return F.arrow_udf(run, "string")
 
+def language_model(make: Callable[[], Callable[[str], str]], workers: int = 5, attempts: int = 3, wait: float = 1.0) -> Callable[[Column], Column]:
+    """prompt -> reply, null where no attempt gave one; scores that need it are left out and counted."""
+    ask = asked(make, workers, attempts, wait)
+    return lambda prompt: ask(prompt)["reply"]
 
-def chat_client(settings: Settings, system: str = "You write questions for an evaluation set.", url: str = "https://api.openai.com/v1/chat/completions", temperature: float | None = None) -> Callable[[], Callable[[str], str]]:
+
+def chat_client(settings: Settings, system: str = "You write questions for an evaluation set.", url: str = "https://api.openai.com/v1/chat/completions", temperature: float | None = None, timeout: float = 120) -> Callable[[], Callable[[str], str]]:
     """Makes a client of a chat-completions service: prompt -> reply, over plain HTTP."""
 
     def make() -> Callable[[str], str]:
@@ -49,7 +68,7 @@ def chat_client(settings: Settings, system: str = "You write questions for an ev
                 "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}],
             }
             headers = {"Content-Type": "application/json", "Authorization": f"Bearer {settings.api_key}"}
-            with urlopen(Request(url, json.dumps(body).encode(), headers), timeout=120) as reply:
+            with urlopen(Request(url, json.dumps(body).encode(), headers), timeout=timeout) as reply:
                 return json.load(reply)["choices"][0]["message"]["content"] or ""
 
         return ask
@@ -57,15 +76,19 @@ def chat_client(settings: Settings, system: str = "You write questions for an ev
     return make
 
 
+def has_service(settings: Settings) -> bool:
+    return settings.backend == "openai" and bool(settings.api_key)
+
+
 def model_for(settings: Settings, mock: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """The language model that the settings name, or the mock where they name no service or no key."""
-    return language_model(chat_client(settings)) if settings.backend == "openai" and settings.api_key else mock
+    return language_model(chat_client(settings)) if has_service(settings) else mock
 
 
 def critic_for(settings: Settings, mock: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """Likewise a critic: temperature 0, replies with a number that judging.critic_score reads."""
     system = "You grade with care. Reply with a number between 0 and 1 and nothing else."
-    return language_model(chat_client(settings, system, temperature=0.0)) if settings.backend == "openai" and settings.api_key else mock
+    return language_model(chat_client(settings, system, temperature=0.0)) if has_service(settings) else mock
 
 
 def embedder(make: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 1000) -> Callable[[Column], Column]:

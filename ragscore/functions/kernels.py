@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -118,10 +119,11 @@ def tokens_13a(text: str) -> list[str]:
 
 
 def bleu_statistics(prediction: str, reference: str, order: int = 4) -> list[int]:
-    """Lengths of both sides, then clipped matches and totals of each order."""
-    from collections import Counter
+    return ngram_statistics(tokens_13a(prediction), tokens_13a(reference), order)
+
 
-    p, r = tokens_13a(prediction), tokens_13a(reference)
+def ngram_statistics(p: list[str], r: list[str], order: int = 4) -> list[int]:
+    """Lengths of both sides, then clipped matches and totals of each order."""
     out = [len(p), len(r)]
     for n in range(1, order + 1):
         a, b = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (p, r))

@@ -15,11 +15,15 @@ from ragscore.functions import kernels
 from ragscore.functions import text as T
 
 
-def mean(scores: DataFrame, metric: str, samples: DataFrame | None = None) -> DataFrame:
-    """metric, value, num_samples over rows with a score; with samples (one row each) also num_skipped, those without one."""
+def mean(scores: DataFrame, metric: str, samples: DataFrame | None = None, errors: bool = False) -> DataFrame:
+    """metric, value, num_samples over rows with a score; with samples (one row each) also num_skipped, those without one.
+
+    With errors also num_errors, the rows whose score is null, as where a model gave no reply.
+    """
     if samples is not None:
         return mean(scores, metric).join(samples.agg(F.count("*").alias("_n"))).select("metric", "value", "num_samples", (F.col("_n") - F.col("num_samples")).alias("num_skipped"))
-    return scores.agg(F.lit(metric).alias("metric"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("value"), F.count("score").alias("num_samples"))
+    lost = [(F.count("*") - F.count("score")).alias("num_errors")] if errors else []
+    return scores.agg(F.lit(metric).alias("metric"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("value"), F.count("score").alias("num_samples"), *lost)
 
 
 def _with_reference(samples: DataFrame, target: str = "reference") -> DataFrame:
@@ -72,6 +76,11 @@ def rouge(samples: DataFrame, kind: str, compare_to: str = "reference", use_stem
     return c.select(key, T.f_measure(F.col("shared"), F.col("n_l"), F.col("n_r")).alias("score"))
 
 
+def rouge_l_legacy(samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """ROUGE-L of the older answer metric: stems, and an empty reference scores 0 rather than being skipped."""
+    return rouge(samples, "L", skip_blank=False, key=key)
+
+
 def bleu(samples: DataFrame, order: int = 4, key: str = "sample_id") -> DataFrame:
     """Corpus BLEU / 100 with exponential smoothing and effective order; only a null reference is skipped."""
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragscore.functions.skew import joined_by_key
 from ragscore.operators.answers import hashed_similarity
 
 NOISE = ("paraphrase", "typo")
@@ -46,11 +47,34 @@ def counterfactual_consistency(labelled: DataFrame, bucket: str = "murmur3", sce
     return scores.agg(F.lit("counterfactual_consistency").alias("metric"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("value"), F.count("*").alias("num_samples"))
 
 
+#: Ranks of a sketch are off by one in so many at most.
+ACCURACY = 10_000
+
+
+def exact_quantile(rows: DataFrame, quantile: float, key: str = "key", value: str = "value") -> DataFrame:
+    """key, value, n: the smallest value that at least the share ``quantile`` of a key's values do not exceed.
+
+    A sketch of bounded size encloses it between two values; values below are only counted, and of those between, about
+    four in ACCURACY, each distinct one is counted. No buffer grows with a key's values, and no key gathers them in a task.
+    """
+    there = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).alias("value"))
+    around = [min(1.0, max(0.0, quantile + d * 2 / ACCURACY)) for d in (-1, 1)]
+    bounds = there.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("value", around, ACCURACY).alias("at"))
+    bounds = bounds.select("key", "n", F.col("at")[0].alias("low"), F.col("at")[1].alias("high"))
+    near = joined_by_key(there, bounds, "key", "n").where("value <= high")
+    counted = near.groupBy("key", "n", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).agg(F.count("*").alias("c"))  # null: all below
+    upto = F.sum("c").over(Window.partitionBy("key").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.greatest(F.lit(1.0), F.ceil(F.lit(quantile) * F.col("n")))
+    return counted.withColumn("upto", upto).where((F.col("upto") >= rank) & F.col("value").isNotNull()).groupBy("key").agg(F.min("value").alias("value"), F.max("n").alias("n"))
+
+
 def latency(timings: DataFrame, quantile: float | None = None) -> DataFrame:
     """timings (key, value): mean, or discrete quantile, for each key."""
-    stat = F.avg("value") if quantile is None else F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY value)")
-    name = "mean_latency" if quantile is None else f"latency_q{quantile}"
-    return timings.where("value is not null").groupBy("key").agg(F.round(stat, 6).alias("value"), F.count("*").alias("num_samples")).select(F.concat(F.lit(f"{name}["), "key", F.lit("]")).alias("metric"), "value", "num_samples")
+    if quantile is None:
+        got, name = timings.where("value is not null").groupBy("key").agg(F.avg("value").alias("value"), F.count("*").alias("n")), "mean_latency"
+    else:
+        got, name = exact_quantile(timings, quantile), f"latency_q{quantile}"
+    return got.select(F.concat(F.lit(f"{name}["), "key", F.lit("]")).alias("metric"), F.round("value", 6).alias("value"), F.col("n").alias("num_samples"))
 
 
 def intra_list_diversity(lists: DataFrame, k: int, key: str = "query_id", vector: str = "embedding") -> DataFrame:

@@ -245,10 +245,15 @@ def question_length(samples: DataFrame, least: int = 5, most: int = 50) -> DataF
     return samples.where(F.size(words(F.col("query"))).between(least, most))
 
 
+CONSISTENT = """Check an item of an evaluation set.
+Do the passages together say that the answer is right for the question, and is at least one of them needed for that?
+Begin the reply with yes or no."""
+
+
 def consistent(samples: DataFrame, llm: Llm, kinds: tuple[str, ...] = ("multi_hop",), most_chars: int = 4000) -> DataFrame:
     """Rows that a judge answers with yes, and all of other kinds; evidence is an array, of which three texts are shown."""
     shown = F.substring(F.array_join(F.slice("evidence", 1, 3), "\n\n"), 1, most_chars)
-    prompt = F.concat(F.lit("Is the answer supported? "), F.col("query"), F.lit(" / "), F.col("answer"), F.lit(" / "), shown)  # the judge begins with yes or no
+    prompt = F.concat(F.lit(CONSISTENT), F.lit("\n\nQuestion: "), F.col("query"), F.lit("\nAnswer: "), F.col("answer"), F.lit("\n\nPassages:\n"), shown, F.lit("\n\nYes or no:"))
     yes = F.startswith(F.lower(F.trim(llm(prompt))), F.lit("yes"))
     return samples.where(~F.col("kind").isin(*kinds) | F.coalesce(yes, F.lit(False)))
 

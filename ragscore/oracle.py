@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ragscore.operators.search import ENGLISH
+
 _W = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\s\\x{{85}}\\x{{A0}}]+'), lambda w: w <> '')"
 _TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 
@@ -224,8 +226,26 @@ _HUNDREDTHS = "CAST('0x' || md5({0})[1:4] AS INTEGER) % 100 / 100"
 _FOUND = f"""{RUN}, ev AS MATERIALIZED (SELECT item_id, list(d.text ORDER BY pos) AS evidence FROM run JOIN documents d USING (doc_id) WHERE pos <= 3 GROUP BY 1),
 an AS MATERIALIZED (SELECT item_id, text AS query, CASE WHEN evidence IS NULL THEN 'No context available.' ELSE split_part(evidence[1], '.', 1) || '.' END AS response FROM benchmark LEFT JOIN ev USING (item_id))"""
 _NUMBERED = f"array_to_string(list_transform(evidence, lambda t, i: '[Doc ' || i || '] ' || {_STRIP.format('t')}), chr(10) || chr(10))"
-_FAITH = f"'Is the answer supported by the evidence, from 0 to 1?' || chr(10) || query || chr(10) || response || chr(10) || {_NUMBERED}"
-_QUALITY = "'Does the answer meet the question, from 0 to 1?' || chr(10) || coalesce(query, '') || chr(10) || coalesce(response, '')"
+_FAITH_HEAD = """Grade how well the evidence bears out the answer.
+Every statement of the answer counts; what the evidence does not say counts against it, however likely it is.
+1 means that all of it is borne out, 0 that nothing is. Reply with one number from 0 to 1.
+
+Question:
+"""
+_QUALITY_HEAD = """Grade how well the answer meets the question.
+It should be about what is asked, complete, clear and of use; whether it is true is not asked here.
+1 means that it fully does, 0 that it does not at all. Reply with one number from 0 to 1.
+
+Question:
+"""
+_CONSISTENT_HEAD = """Check an item of an evaluation set.
+Do the passages together say that the answer is right for the question, and is at least one of them needed for that?
+Begin the reply with yes or no.
+
+Question: """
+_NL = "chr(10) || chr(10)"
+_FAITH = f"'{_FAITH_HEAD}' || query || {_NL} || 'Answer:' || chr(10) || response || {_NL} || 'Evidence:' || chr(10) || {_NUMBERED} || {_NL} || 'Score:'"
+_QUALITY = f"'{_QUALITY_HEAD}' || coalesce(query, '') || {_NL} || 'Answer:' || chr(10) || coalesce(response, '') || {_NL} || 'Score:'"
 SQL |= {
     "offline_answers": f"WITH {_FOUND} SELECT item_id, response FROM an",
     "llm_faithfulness_mock": f"WITH {_FOUND}, sc_ AS (SELECT {_HUNDREDTHS.format(_FAITH)} AS score FROM an JOIN ev USING (item_id)) {_mean('llm_faithfulness', '')}",
@@ -242,7 +262,7 @@ SELECT item_id, string_agg(chunk_id, ' ' ORDER BY pos) AS retrieved, split_part(
     "all_tasks_mock": f"""SELECT 'single_hop' AS kind, CAST(sample_id AS VARCHAR) AS sample_id, query, answer, CAST(NULL AS VARCHAR) AS variant_of FROM ({SQL['single_hop_tasks_mock']})
 UNION ALL SELECT 'multi_hop', sample_id, query, answer, NULL FROM ({SQL['multi_hop_tasks_mock']}) UNION ALL SELECT 'paraphrase', sample_id, query, NULL, CAST(variant_of AS VARCHAR) FROM ({SQL['paraphrase_fanout_mock']})""",
     "consistency_filter_mock": f"""WITH {CHUNKS}, t AS ({SQL['multi_hop_tasks_mock']})
-SELECT sample_id, 'multi_hop' AS kind FROM t JOIN chunks x ON x.chunk_id = t.a JOIN chunks y ON y.chunk_id = t.b WHERE md5('Is the answer supported? ' || query || ' / ' || answer || ' / ' || left(x.text || chr(10) || chr(10) || y.text, 4000))[1:1] < '8'""",
+SELECT sample_id, 'multi_hop' AS kind FROM t JOIN chunks x ON x.chunk_id = t.a JOIN chunks y ON y.chunk_id = t.b WHERE md5('{_CONSISTENT_HEAD}' || query || chr(10) || 'Answer: ' || answer || {_NL} || 'Passages:' || chr(10) || left(x.text || chr(10) || chr(10) || y.text, 4000) || {_NL} || 'Yes or no:')[1:1] < '8'""",
 }
 
 
@@ -270,3 +290,55 @@ SQL |= {
     "counterfactual_bertscore": f"""WITH {QA}, {LAB}, {_bert("SELECT v.sample_id, b.response AS a, v.response AS b FROM lab v JOIN lab b ON v.variant_of = b.sample_id WHERE v.scenario = 'counterfactual'")}
 SELECT 'counterfactual_consistency' AS metric, round(coalesce(avg(f1), 0), 6) AS value, count(*) AS num_samples FROM bs_""",
 }
+
+
+def _bleu_rows(order: int = 4) -> str:
+    """Common tables: bl_ with the white-space BLEU statistics of each row of lab that has a reference."""
+    rows = "(SELECT * FROM lab WHERE reference IS NOT NULL)"
+    parts = [f"o{n} AS MATERIALIZED (WITH {_overlap(_grams(_words('response'), n), _grams(_words('reference'), n), rows)} SELECT sample_id, nl, nr, shared FROM ov_)" for n in range(1, order + 1)]
+    told = ", ".join(f"o{n}.shared AS m{n}, o{n}.nl AS t{n}" for n in range(1, order + 1))
+    joins = " ".join(f"JOIN o{n} USING (sample_id)" for n in range(2, order + 1))
+    return f"{', '.join(parts)}, bl_ AS MATERIALIZED (SELECT o1.sample_id, o1.nl AS pl, o1.nr AS rl, {told} FROM o1 {joins})"
+
+
+def _bleu_formula(order: int = 4) -> str:
+    """The value from sums pl, rl, m1.., t1..; orders from the first without n-grams on don't count."""
+    logs, used, alive, zeros = [], [], "true", "0"
+    for n in range(1, order + 1):
+        alive = f"{alive} AND t{n} > 0"
+        zeros = f"{zeros} + CASE WHEN m{n} = 0 THEN 1 ELSE 0 END"
+        logs.append(f"CASE WHEN {alive} THEN ln(CASE WHEN m{n} = 0 THEN 1 / (pow(2, {zeros}) * t{n}) ELSE m{n} / t{n} END) ELSE 0 END")
+        used.append(f"CASE WHEN {alive} THEN 1 ELSE 0 END")
+    some = " + ".join(f"m{n}" for n in range(1, order + 1))
+    return f"CASE WHEN {some} > 0 AND {' + '.join(used)} > 0 THEN (CASE WHEN pl >= rl THEN 1 ELSE exp(1 - rl / pl) END) * exp(({' + '.join(logs)}) / ({' + '.join(used)})) ELSE 0 END"
+
+
+_SUMS = "sum(pl) AS pl, sum(rl) AS rl, " + ", ".join(f"CAST(sum(m{n}) AS DOUBLE) AS m{n}, CAST(sum(t{n}) AS DOUBLE) AS t{n}" for n in range(1, 5)) + ", count(*) AS n"
+_SUBSETS = "su_ AS (SELECT sample_id, 'base' AS subset FROM lab WHERE variant_of IS NULL UNION ALL SELECT sample_id, 'noise' FROM lab WHERE scenario IN ('paraphrase', 'typo'))"
+
+
+def _noise(name: str) -> str:
+    """From va_ (subset, value, n)."""
+    of = lambda s, c: f"coalesce((SELECT {c} FROM va_ WHERE subset = '{s}'), 0)"
+    return f"""SELECT 'noise_robustness[{name}]' AS metric, round(CASE WHEN {of('base', 'value')} > 1e-8 THEN {of('noise', 'value')} / {of('base', 'value')} ELSE 0 END, 6) AS value, round({of('base', 'value')}, 6) AS base_score,
+round({of('noise', 'value')}, 6) AS noise_score, CAST({of('base', 'n')} AS BIGINT) AS base_samples, CAST({of('noise', 'n')} AS BIGINT) AS noise_samples"""
+
+
+_KIND = "coalesce(scenario, 'plain')"
+_GRAMS2 = f"g_ AS MATERIALIZED (SELECT sample_id, unnest({_grams(_words('response'), 2)}) AS g FROM lab)"
+SQL |= {
+    "noise_robustness_bleu": f"WITH {QA}, {LAB}, {_bleu_rows()}, {_SUBSETS}, va_ AS (SELECT subset, {_bleu_formula()} AS value, n FROM (SELECT subset, {_SUMS} FROM bl_ JOIN su_ USING (sample_id) GROUP BY 1)) {_noise('bleu_4')}",
+    "noise_robustness_distinct_2": f"""WITH {QA}, {LAB}, {_GRAMS2}, {_SUBSETS}, nn_ AS (SELECT subset, count(*) AS n FROM su_ GROUP BY 1),
+va_ AS (SELECT nn_.subset, coalesce(v, 0) AS value, n FROM nn_ LEFT JOIN (SELECT subset, count(DISTINCT g) / count(*) AS v FROM g_ JOIN su_ USING (sample_id) GROUP BY 1) x ON x.subset = nn_.subset) {_noise('distinct_2')}""",
+    "sliced_bleu": f"""WITH {QA}, {LAB}, {_bleu_rows()}, k_ AS (SELECT {_KIND} AS scenario, bl_.* FROM bl_ JOIN lab USING (sample_id))
+SELECT scenario, 'scenario' AS level, round({_bleu_formula()}, 6) AS value, n AS num_samples FROM (SELECT scenario, {_SUMS} FROM k_ GROUP BY 1) UNION ALL SELECT NULL, 'total', round({_bleu_formula()}, 6), n FROM (SELECT {_SUMS} FROM k_)""",
+    "sliced_distinct_2": f"""WITH {QA}, {LAB}, {_GRAMS2}, k_ AS (SELECT {_KIND} AS scenario, g FROM g_ JOIN lab USING (sample_id)), n_ AS (SELECT {_KIND} AS scenario, count(*) AS n FROM lab GROUP BY 1)
+SELECT n_.scenario, 'scenario' AS level, round(coalesce(v, 0), 6) AS value, n AS num_samples FROM n_ LEFT JOIN (SELECT scenario, count(DISTINCT g) / count(*) AS v FROM k_ GROUP BY 1) x ON x.scenario = n_.scenario
+UNION ALL SELECT NULL, 'total', round(count(DISTINCT g) / count(*), 6), (SELECT count(*) FROM lab) FROM g_""",
+    "session_latency": """WITH o AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM o)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, user_id AS key, count(*) AS n, round(avg(value), 6) AS mean_value, quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.95) AS q95 FROM s GROUP BY user_id, session""",
+    "numbered_corpus": "SELECT 'hf_doc_' || (row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1) AS doc_id, md5(coalesce(text, '')) AS text_md5, source FROM documents",
+}
+_STOPPED = f"WHERE term NOT IN ({', '.join(repr(w) for w in ENGLISH)}) GROUP BY ALL"
+SQL["tfidf_topk_english"] = SQL["tfidf_topk"].replace("FROM documents) GROUP BY ALL", f"FROM documents) {_STOPPED}").replace("FROM benchmark) GROUP BY ALL", f"FROM benchmark) {_STOPPED}")

@@ -52,8 +52,12 @@ class EvaluationPlan:
             raise ValueError(f"no sample has {', '.join(missing)}")
 
     def run(self, views: dict[str, DataFrame]) -> DataFrame:
-        """ordinal, target, metric, value, num_samples."""
-        parts = [m.compute(views).select(F.lit(i).alias("ordinal"), m.target_column().alias("target"), "metric", "value", "num_samples") for i, m in enumerate(self.metrics)]
+        """ordinal, target, metric, value, num_samples, num_errors (samples whose score failed, which the value leaves out)."""
+        parts = []
+        for i, m in enumerate(self.metrics):
+            got = m.compute(views)
+            lost = F.col("num_errors") if "num_errors" in got.columns else F.lit(0).cast("long").alias("num_errors")
+            parts.append(got.select(F.lit(i).alias("ordinal"), m.target_column().alias("target"), "metric", "value", "num_samples", lost))
         return reduce(DataFrame.unionByName, parts)
 
 
@@ -70,12 +74,13 @@ def _score(name: str, target: str, score: Callable[[DataFrame], DataFrame], requ
 RANKING_TARGETS = {"recall": "RETRIEVAL_RELEVANCE", "precision": "RETRIEVAL_RELEVANCE", "hit_rate": "RETRIEVAL_RELEVANCE", "mrr": "RETRIEVAL_ACCURACY", "map": "RETRIEVAL_ACCURACY", "ndcg": "RETRIEVAL_ACCURACY"}
 
 
-def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None = None, critic: ColumnFunction | None = None, judged: bool = False, evidence: str = "retrieved", token_embed: bertscore.TokenEmbedder | None = None) -> EvaluationPlan:
+def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None = None, critic: ColumnFunction | None = None, judged: bool = False, evidence: str = "retrieved", token_embed: bertscore.TokenEmbedder | None = None, judged_prefix: str = "") -> EvaluationPlan:
     """Ranking metrics (one pass), answer metrics, evidence overlap and embedding similarities, in report order.
 
     Views: samples (sample_id, query, response, reference), gold, runs, and answers (key, query, response) with evidence
     (key, pos, text), which is read where evidence is 'retrieved', or relevant likewise, where it is 'relevant'. embed adds similarities of whole texts, token_embed
-    precision, recall and F of aligned tokens; judged adds a critic's scores, and then needs one.
+    precision, recall and F of aligned tokens; judged adds a critic's scores, named after
+    judged_prefix, and then needs one.
     """
     if judged and critic is None:
         raise ValueError("a judged plan needs a critic")
@@ -103,8 +108,8 @@ def default_plan(k: int = 5, key: str = "item_id", embed: ColumnFunction | None
         for other, target in (("reference", right), ("query", apt)):
             metrics.append(Metric(target, lambda v, o=other: bertscore.mean_scores(v["samples"], o, token_embed), ("response", other)))
     if judged:
-        metrics.append(Metric(true, lambda v: answers.mean(judging.faithfulness(v["answers"], evidence_of(shown(v), key), critic, key), "llm_faithfulness")))
-        metrics.append(_score("llm_answer_quality", apt, lambda d: judging.answer_quality(d, critic), ("query",)))
+        metrics.append(Metric(true, lambda v: answers.mean(judging.faithfulness(v["answers"], evidence_of(shown(v), key), critic, key), f"{judged_prefix}llm_faithfulness", errors=True)))
+        metrics.append(Metric(apt, lambda v: answers.mean(judging.answer_quality(v["samples"], critic), f"{judged_prefix}llm_answer_quality", errors=True), ("query",)))
     return EvaluationPlan(metrics)
 
 
@@ -125,7 +130,7 @@ def evaluate(system: Callable[[DataFrame, int], DataFrame], samples: DataFrame,
         results = plan.run({"samples": outputs, **(views or {})}).collect()  # a row per metric
     finally:
         outputs.unpersist()
-    return samples.sparkSession.createDataFrame(results, "ordinal int, target string, metric string, value double, num_samples long")
+    return samples.sparkSession.createDataFrame(results, "ordinal int, target string, metric string, value double, num_samples long, num_errors long")
 
 
 def views_of(samples: DataFrame, outputs: DataFrame, key: str = "sample_id") -> dict[str, DataFrame]:

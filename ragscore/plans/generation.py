@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragscore.operators import judging, taskgen
+from ragscore.functions.maps import known, merged
+from ragscore.operators import judging, search, taskgen
 
 #: Fixed value: the reference answer of questions that the corpus does not answer.
 NEGATIVE_ANSWER = "There is not enough information in the provided corpus to answer this question."
@@ -41,12 +42,13 @@ class TaskConfig:
         return cls(single_hop=single, multi_hop=multi, paraphrases=1 if test else cls.paraphrases, unanswerable=2 if test else cls.unanswerable)
 
 
-def generate(corpus: DataFrame, config: TaskConfig | None = None, llm: taskgen.Llm = taskgen.mock_reply, judge: taskgen.Llm | None = None, folder: str | None = None, filters: list[taskgen.SampleFilter] | None = None, entities_llm: taskgen.Llm | None = None, neighbours: DataFrame | None = None) -> DataFrame:
+def generate(corpus: DataFrame, config: TaskConfig | None = None, llm: taskgen.Llm = taskgen.mock_reply, judge: taskgen.Llm | None = None, folder: str | None = None, filters: list[taskgen.SampleFilter] | None = None, entities_llm: taskgen.Llm | None = None, neighbours: DataFrame | None = None, distractors: int = 0) -> DataFrame:
     """sample_id, query, relevant_docs, reference_answer, labels, metadata from corpus (doc_id, text).
 
     With a folder each stage that calls a model is written there as Parquet and read again, so that no reply is asked
     for twice.  filters take the place of default_filters(judge); entities_llm lists entities; neighbours (chunk_id, pos,
-    neighbour) name the chunks that unanswerable questions borrow their sentences from.
+    neighbour) name the chunks that unanswerable questions borrow their sentences from; with distractors the so many
+    chunks that TF-IDF finds for an unanswerable question stand as its documents in the place of its source.
     """
     c = config or TaskConfig()
 
@@ -70,14 +72,15 @@ def generate(corpus: DataFrame, config: TaskConfig | None = None, llm: taskgen.L
     pairs = taskgen.sample_pairs(taskgen.entity_graph(entities, c.least_shared))
     pairs = drawn(pairs.withColumn("_at", F.concat_ws(":", "a", "b")), more(c.multi_hop, c.oversample), "_at").drop("_at")
     multi = drawn(kept(taskgen.multi_hop_tasks(pairs, anchors, llm), "multi_hop"), c.multi_hop).withColumn("chunks", F.array("a", "b"))
-    base = taskgen.all_tasks(single_hop=single, multi_hop=multi).select("sample_id", "kind", "query", "answer", "chunks")
+    base = taskgen.all_tasks(single_hop=single, multi_hop=multi).select("sample_id", "kind", "query", "answer", "chunks", known(kind=F.col("kind")).alias("labels"))
     told = taskgen.paraphrases(base, c.paraphrases, llm)
     told = kept(told.withColumn("query", taskgen.with_typos(F.col("sample_id"), F.col("query"), c.typo_rate)), "paraphrases")
-    told = told.join(base.select(F.col("sample_id").alias("variant_of"), "kind", "answer", "chunks"), "variant_of")
+    told = told.join(base.select(F.col("sample_id").alias("variant_of"), "kind", "answer", "chunks", "labels"), "variant_of")
     absent = drawn(taskgen.unanswerable_candidates(entities, chunks), more(c.unanswerable, c.attempts), "chunk_id")
     absent = absent if neighbours is None else judging.with_distractor(absent, neighbours)
     absent = drawn(kept(taskgen.unanswerable_tasks(absent, chunks, llm), "unanswerable"), c.unanswerable)
     absent = absent.select("sample_id", F.lit("unanswerable").alias("kind"), F.lit("unanswerable").alias("scenario"), "source_entity", "query", F.lit(NEGATIVE_ANSWER).alias("answer"), F.array("chunk_id").alias("chunks"))
+    absent = misleading(absent, chunks, distractors) if distractors else absent
     rows = base.unionByName(told, allowMissingColumns=True).unionByName(absent, allowMissingColumns=True)
     rows = _with_docs(rows, chunks).withColumn("evidence", F.transform("relevant_docs", lambda d: d["text"]))
     return as_samples(taskgen.apply_filters(rows, default_filters(llm if judge is None else judge) if filters is None else filters))
@@ -90,6 +93,13 @@ def _with_docs(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.join(docs, "sample_id")
 
 
+def misleading(asked: DataFrame, chunks: DataFrame, k: int = 2) -> DataFrame:
+    """asked (sample_id, query, chunks) with the k chunks nearest to the question by TF-IDF, best first; where none is found the chunks stay."""
+    found = search.tfidf_topk(asked.select("sample_id", F.col("query").alias("text")), chunks, k, query_id="sample_id", doc_id="chunk_id")
+    lists = found.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("_near"))
+    return asked.join(lists, "sample_id", "left").withColumn("chunks", F.coalesce("_near", "chunks")).drop("_near")
+
+
 def answers_occur(kinds: tuple[str, ...] = ("multi_hop", "unanswerable")) -> taskgen.SampleFilter:
     """Keeps rows whose answer occurs in a document, case ignored, and all of these kinds."""
     found = F.exists("relevant_docs", lambda d: F.contains(F.lower(d["text"]), F.lower("answer"))) & (F.col("answer") != "")
@@ -102,9 +112,9 @@ def default_filters(judge: Callable[[Column], Column]) -> list[taskgen.SampleFil
 
 
 def as_samples(rows: DataFrame) -> DataFrame:
-    """The columns of an evaluation set; labels hold what is known of kind, scenario, variant_of and source_entity."""
-    pairs = F.create_map(*[x for name in _LABELS for x in (F.lit(name), F.col(name).cast("string"))])
+    """The columns of an evaluation set; labels are those of the rows, over which goes what is known of kind, scenario, variant_of and source_entity."""
     empty = F.create_map().cast("map<string,string>")
+    labels = merged(F.col("labels") if "labels" in rows.columns else empty, known(**{n: F.col(n) for n in _LABELS}))
     docs = F.transform("relevant_docs", lambda d: F.struct(d["doc_id"], d["text"], empty.alias("metadata")))
     answer = F.struct(F.col("answer").alias("text"), empty.alias("metadata"))
-    return rows.select("sample_id", "query", docs.alias("relevant_docs"), answer.alias("reference_answer"), F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("labels"), empty.alias("metadata"))
+    return rows.select("sample_id", "query", docs.alias("relevant_docs"), answer.alias("reference_answer"), labels.alias("labels"), empty.alias("metadata"))

@@ -159,7 +159,7 @@ def test_adapters(spark):
         return lambda p: {"a": "A"}[p]
 
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, p string")
-    assert [r.r for r in rows.orderBy("i").select(adapters.language_model(client)("p").alias("r")).collect()] == ["A", None, None]
+    assert [r.r for r in rows.orderBy("i").select(adapters.language_model(client, wait=0)("p").alias("r")).collect()] == ["A", None, None]
     vectors = rows.orderBy("i").select(adapters.embedder(lambda: lambda ts: [[float(len(t))] for t in ts], 1)("p").alias("v")).collect()
     assert [r.v for r in vectors] == [[1.0], [1.0], None]
     pairs = spark.createDataFrame([(1, "ab", "b"), (2, "", "x"), (3, None, "x")], "k int, l string, r string")
@@ -176,8 +176,9 @@ class EchoSystem:
 def test_evaluate_and_leaderboard_commands(spark, tmp_path):
     rows = [{"sample_id": "1", "query": "red apples", "relevant_docs": [{"doc_id": "d1", "text": "red apples grow"}], "reference_answer": {"text": "red apples"}}, {"sample_id": "2", "query": "boom", "reference_answer": {"text": "x"}}]
     (tmp_path / "set.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
-    path = commands.main(["evaluate", "--dataset", str(tmp_path / "set.jsonl"), "--rag", "tests.test_queries:EchoSystem", "--judged", "--output-dir", str(tmp_path / "out"), "--system-name", "my echo"], spark)
+    path = commands.main(["evaluate", "--dataset", str(tmp_path / "set.jsonl"), "--rag", "tests.test_queries:EchoSystem", "--offline-critic", "--output-dir", str(tmp_path / "out"), "--system-name", "my echo"], spark)
     body = json.loads(Path(path).read_text())
+    assert "offline_llm_answer_quality" in body["metrics"] and "llm_answer_quality" not in body["metrics"] and body["config"]["llm_metrics"] is False
     assert body["metrics"]["recall@5"]["value"] == 1.0 and body["metrics"]["exact_match"]["value"] == 0.5 and body["metrics"]["evidence_overlap_n1"]["value"] == 1.0
     (tmp_path / "out" / "bad.json").write_text("{")
     index = json.loads(Path(commands.main(["leaderboard", "--folder", str(tmp_path / "out")], spark)).read_text())
