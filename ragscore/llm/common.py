@@ -89,11 +89,13 @@ def forget(df: DataFrame) -> None:
 def lowest(rows: DataFrame, at: str, n: int, also: Column, *ties: str) -> DataFrame:
     """At most n rows of the lowest hashes in the column ``at`` for which ``also`` holds, a sample that is alike each time.
 
-    Rows are counted first, without ``also``, and only hashes up to about 1.5 n of them go on, so that no partition sends n rows.
+    The rows for which it holds are counted first, and only hashes up to about 1.5 n of them go on, so that no partition
+    sends n rows.
     """
+    rows = rows.where(also)
     total = rows.select(at).count()
     upto = -(1 << 63) + min((1 << 64) - 1, int((1.5 * n + 500) / max(1, total) * (1 << 64)))
-    return rows.where((F.col(at) <= upto) & also).orderBy(at, *ties).limit(n)
+    return rows.where(F.col(at) <= upto).orderBy(at, *ties).limit(n)
 
 
 def order_id(name: str) -> Column:

@@ -433,3 +433,27 @@ def test_pipeline_keeps_replacement_characters(spark):
     assert got[1] == "a � stays" and got[2] == "é" + base and got[3].startswith("� ") and base not in got[3]
     docs = spark.createDataFrame([(1, "é" + base, "en", "s", 9), (2, "� \u0229" + base, "en", "s", 9)], docs.schema)  # share the second byte
     assert pipeline.cut_repeats(spark, docs, SF).where("doc_id = 2").first().text == "� "
+
+
+def test_few_rows_that_qualify_are_all_sampled(spark):
+    rows = spark.range(100_000).select("id", F.xxhash64("id").alias("at"))
+    assert common.lowest(rows, "at", 2000, F.col("id") % 3000 == 7).count() == 34
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1500 == 1, F.lit("some words of one tongue")).otherwise(F.lit("12 34")).alias("text"), F.lit("en").alias("lang"))
+    assert op10.train(docs).classes == ["en"]
+
+
+@pytest.mark.parametrize("inner", [2, 3, 4, 6])
+def test_links_of_vectors_that_keep_to_few_directions(spark, inner):
+    r = np.random.default_rng(inner)
+    x = r.normal(size=(3000, inner)) @ r.normal(size=(inner, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum((unit[s : s + 500] @ unit.T >= 0.95).sum() for s in range(0, len(x), 500)) - len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = op7.embedding_near_dedup(df).agg(F.sum("n_links")).first()[0]
+    assert 0.99 * want <= got <= want
+
+
+def test_links_of_vectors_beyond_the_range_of_squares(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [2e200, 2e200]), (4, [3.0, 3.0]), (5, [1e-200, 1e-200]), (6, [5e-324, 5e-324]), (7, [1e200, -1e200]), (8, None), (9, [0.0, 0.0]), (None, None)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in op7.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == (5, 1) for i in range(1, 7)) and got[7] == (0, 7) and got[8] == (0, 8) and got[9] == (0, 9) and got[None] == (0, None)
