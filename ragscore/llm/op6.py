@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ragscore.llm.shipping import shipped
 
-TRAINING_PAGES = 400
+TRAINING_PAGES = 600
 #: Element names by their part in the parse.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("script style template noscript title iframe object svg math canvas audio video head textarea select option datalist".split())
@@ -67,12 +67,13 @@ _AGAINST = {
 }
 _WORD = {w: k for k, words in _AGAINST.items() for w in words.split()} | {w: "for" for w in _FOR}
 WORDS = ["for", *_AGAINST]
-_ATTRS = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""", re.I)
+#: One attribute after another, so that neither a part of a name nor a value counts as a name.
+_ATTRS = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _TOKEN = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 _SPLIT = re.compile(r"[^a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|(?=[\s/>]))", re.I) for t in _RAW}
 
-FEATURES = ["bias", *[f"kind {k}" for k in KINDS], *[f"word {w}" for w in WORDS], "hidden", "text", "length", "long", "short", "links", "sentence", "deep links", "items", "inside", "free article"]
+FEATURES = ["bias", *[f"kind {k}" for k in KINDS], *[f"word {w}" for w in WORDS], "hidden", "text", "length", "long", "short", "links", "sentence", "deep links", "items", "inside", "free article", "most text", "most text inside", "long box", "linked box"]
 _AT = {n: i for i, n in enumerate(FEATURES)}
 _OUTER = frozenset(("nav", "footer", "aside", "form", "dialog"))
 _SPEAKS = frozenset(_AT["word " + w] for w in _AGAINST)
@@ -218,6 +219,7 @@ class Page:
         for i in range(n - 1, 0, -1):
             total[self.parent[i]] += total[i]
             linked[self.parent[i]] += linked[i]
+        most = [2 * (total[i] - linked[i]) > total[0] - linked[0] > 0 for i in range(n)]  # of the page's unlinked text
         self.kind = [KINDS.index(b.kind) for b in self.blocks]
         self.active: list[list[tuple[int, float]]] = []
         against = [False] * n  # the block or one around it speaks against content
@@ -227,6 +229,10 @@ class Page:
                 f += [(k, 1.0) for k in _attribute_features(b.attrs)]
             inside = i > 0 and against[self.parent[i]]
             against[i] = inside or b.kind in _OUTER or bool(b.attrs) and any(k in _SPEAKS for k in _attribute_features(b.attrs))
+            if i and most[i] and b.kind != "nav":
+                f.append((_AT["most text"], 1.0))
+            if i and most[self.parent[i]]:
+                f.append((_AT["most text inside"], 1.0))
             if inside:
                 f.append((_AT["inside"], 1.0))
             elif b.kind == "article" and not against[i]:
@@ -236,6 +242,8 @@ class Page:
                 size = len(text)
                 f += [(_AT["text"], 1.0), (_AT["length"], min(1.0, math.log1p(size) / 7))]
                 f.append((_AT["long"], 1.0) if size > 120 else (_AT["short"], 1.0 if size < 40 else 0.0))
+                if b.kind == "box":
+                    f.append((_AT["linked box"], 1.0) if b.links * 2 > size else (_AT["long box"], 1.0 if size > 120 else 0.0))
                 if b.links * 2 > size:
                     f.append((_AT["links"], 1.0))
                 if text[-1] in ".!?…»”\"":

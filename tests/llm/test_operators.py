@@ -457,3 +457,43 @@ def test_links_of_vectors_beyond_the_range_of_squares(spark):
     rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [2e200, 2e200]), (4, [3.0, 3.0]), (5, [1e-200, 1e-200]), (6, [5e-324, 5e-324]), (7, [1e200, -1e200]), (8, None), (9, [0.0, 0.0]), (None, None)]
     got = {x.vec_id: (x.n_links, x.component_id) for x in op7.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert all(got[i] == (5, 1) for i in range(1, 7)) and got[7] == (0, 7) and got[8] == (0, 8) and got[9] == (0, 9) and got[None] == (0, None)
+
+
+_SENTENCE = " ".join(["The quick brown fox jumps over the lazy dog near the river bank while the sun goes down slowly"] * 2)
+
+
+@pytest.mark.parametrize(
+    ("opening", "closing", "tag", "ends"),
+    [
+        ("<article data-class='sidebar ad'><h1>Title</h1>", "</article>", "p", "."),
+        ("<article data-id='comment-12'><h1>Title</h1>", "</article>", "p", "."),
+        ("<div data-role='footer-content'><h1>Title</h1>", "</div>", "p", "."),
+        ("<article class='story more'><h1>Title</h1>", "</article>", "p", "."),
+        ("<article class='post tags-politics archive'><h1>Title</h1>", "</article>", "p", "."),
+        ("<div>", "</div>", "div", "."),
+        ("<div>", "</div>", "p", ""),
+        ("<div>", "</div>", "p", ". [1]"),
+        ("<article><h1>Title</h1>", "<aside class='related'><a href='/x'>See also</a></aside></article>", "p", ""),
+        ("<article><h1>Title</h1>", "<form><input name=q><button>Go</button></form></article>", "p", ""),
+    ],
+)
+def test_articles_in_unusual_containers(opening, closing, tag, ends):
+    texts = [f"{_SENTENCE} number {i}{ends}" for i in range(4)]
+    inner = "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+    before = "<header><a href='/'>Home</a></header><nav class='menu'><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></nav>"
+    page = f"<html><head><title>t</title></head><body>{before}{opening}{inner}{closing}<footer class='footer'>&copy; Example 2020</footer></body></html>"
+    assert _trained().extract(page) == ["Title"] * ("<h1>" in opening) + texts
+
+
+def _trained():
+    if not _held:
+        _held.append(op6.trained().prepared())
+    return _held[0]
+
+
+_held: list = []
+
+
+def test_names_within_names_and_values_are_no_attributes():
+    names = {op6.FEATURES[i] for i in op6._attribute_features(" data-class='ad' title=\"class=sidebar\" aria-hidden=true Class=comment id='x main'")}
+    assert names == {"hidden", "word comment", "word for"}
