@@ -29,3 +29,15 @@ def substring_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# windows are told apart by their MD5
+OP8_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+marked AS MATERIALIZED (SELECT r, doc_id, i, w[i] AS word, CASE WHEN i + {WIDTH - 1} <= len(w) THEN md5(array_to_string(w[i:i + {WIDTH - 1}], ' ')) END AS win FROM places),
+firsts AS MATERIALIZED (SELECT win, min({{'d': doc_id, 'i': i}}) AS f FROM marked WHERE win IS NOT NULL GROUP BY 1),
+told AS (SELECT r, i, word, max(CASE WHEN {{'d': doc_id, 'i': i}} > f THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {WIDTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked LEFT JOIN firsts USING (win)),
+kept AS (SELECT r, sum(gone) AS n_removed, string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i) AS kept FROM told GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+"""

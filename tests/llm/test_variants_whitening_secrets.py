@@ -205,7 +205,7 @@ def test_weak_parts_need_their_complements(spark):
     assert op13.secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op11_spelling_variants", "op13_secret_scan"])
+@pytest.mark.parametrize("name", ["op8_substring_dedup", "op9_suffix_array_dedup", "op11_spelling_variants", "op13_secret_scan"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
