@@ -37,7 +37,8 @@ def _cvc(w: str) -> bool:
 _STEP2 = "ational ate,tional tion,enci ence,anci ance,izer ize,abli able,alli al,entli ent,eli e,ousli ous,ization ize,ation ate,ator ate,alism al,iveness ive,fulness ful,ousness ous,aliti al,iviti ive,biliti ble"
 _STEP3 = "icate ic,ative ,alize al,iciti ic,ical ic,ful ,ness "
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-_RULES2, _RULES3 = ([tuple(r.split(" ")) for r in s.split(",")] for s in (_STEP2, _STEP3))
+PORTER_STEP2, PORTER_STEP3 = ([tuple(r.split(" ")) for r in s.split(",")] for s in (_STEP2, _STEP3))
+PORTER_STEP4 = _STEP4.split()
 
 
 def _replace(w: str, rules: list[tuple[str, str]]) -> str:
@@ -70,8 +71,8 @@ def porter_stem(w: str) -> str:
                 break
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    w = _replace(_replace(w, _RULES2), _RULES3)
-    for suffix in sorted(_STEP4.split(), key=len, reverse=True):
+    w = _replace(_replace(w, PORTER_STEP2), PORTER_STEP3)
+    for suffix in sorted(PORTER_STEP4, key=len, reverse=True):
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ragscore.operators.search import ENGLISH
+from ragscore.oracle_text import common_subsequence, murmur3, stemmed, tokens_13a
 
 _W = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\s\\x{{85}}\\x{{A0}}]+'), lambda w: w <> '')"
 _TERMS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -82,10 +83,13 @@ _REF = "(SELECT * FROM qa WHERE reference IS NOT NULL AND reference <> '')"
 _F1 = f"sc_ AS (SELECT sample_id, CASE WHEN nl = 0 AND nr = 0 THEN 1.0 ELSE {_F} END AS score FROM ov_)"
 
 
-def _hashed(pairs: str) -> str:
-    bucket = "CAST(('0x' || md5(t)[1:8]) AS BIGINT) % 4096"
-    side = lambda c: f"(SELECT sample_id, {bucket} AS b, count(*) AS c FROM (SELECT sample_id, unnest({_terms(f"coalesce({c}, '')")}) AS t FROM pr_) GROUP BY ALL)"
-    return f"""pr_ AS MATERIALIZED ({pairs}), va AS {side('a')}, vb AS {side('b')},
+def _hashed(pairs: str, murmur: bool = False) -> str:
+    """sc_: cosine of hashed bags of words of the columns a and b of the pairs."""
+    bucket = "b" if murmur else "CAST(('0x' || md5(t)[1:8]) AS BIGINT) % 4096"
+    terms = lambda c: f"SELECT sample_id, unnest({_terms(f"coalesce({c}, '')")}) AS t FROM pr_"
+    side = lambda c: f"(SELECT sample_id, {bucket} AS b, count(*) AS c FROM ({terms(c)}){' JOIN mm_ USING (t)' if murmur else ''} GROUP BY ALL)"
+    told = f"{murmur3(f'{terms("a")} UNION ALL {terms("b")}')}," if murmur else ""
+    return f"""pr_ AS MATERIALIZED ({pairs}), {told} va AS {side('a')}, vb AS {side('b')},
 na AS (SELECT sample_id, sum(c * c) AS n FROM va GROUP BY 1), nb AS (SELECT sample_id, sum(c * c) AS n FROM vb GROUP BY 1),
 dot AS (SELECT sample_id, sum(va.c * vb.c) AS d FROM va JOIN vb USING (sample_id, b) GROUP BY 1),
 sc_ AS (SELECT sample_id, coalesce(d / sqrt(CAST(na.n AS DOUBLE) * nb.n), 0) AS score FROM pr_ LEFT JOIN na USING (sample_id) LEFT JOIN nb USING (sample_id) LEFT JOIN dot USING (sample_id))"""
@@ -343,3 +347,52 @@ SELECT min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, user_
 }
 _STOPPED = f"WHERE term NOT IN ({', '.join(repr(w) for w in ENGLISH)}) GROUP BY ALL"
 SQL["tfidf_topk_english"] = SQL["tfidf_topk"].replace("FROM documents) GROUP BY ALL", f"FROM documents) {_STOPPED}").replace("FROM benchmark) GROUP BY ALL", f"FROM benchmark) {_STOPPED}")
+
+
+def _stemmed_rouge(name: str, kind: str, other: str = "reference") -> str:
+    rows = f"(SELECT * FROM qa WHERE {other} IS NOT NULL AND {other} <> '')"
+    both = stemmed(_rouge("coalesce(response, '')"), _rouge(other), rows)
+    told = common_subsequence("tk_") if kind == "L" else _overlap(_grams("l", int(kind)), _grams("r", int(kind)), "tk_")
+    return _mean(name, f"WITH RECURSIVE {QA}, {both}, {told}, sc_ AS (SELECT {_F} AS score FROM ov_)")
+
+
+def _similar(name: str, other: str = "reference") -> str:
+    return _mean(name, f"WITH {QA}, {_hashed(f"SELECT sample_id, response AS a, {other} AS b FROM qa WHERE {other} <> ''", murmur=True)}")
+
+
+def _bleu_13a(n: int) -> str:
+    gram = lambda c: _grams(c, n)
+    return f"(WITH {_overlap(gram('p'), gram('r'), 'bt_')} SELECT {n} AS n, sum(shared) AS m, CAST(sum(nl) AS BIGINT) AS t FROM ov_)"
+
+
+_BLEU = f"""WITH {QA}, bt_ AS MATERIALIZED (SELECT sample_id, {_words(tokens_13a("coalesce(response, '')"))} AS p, {_words(tokens_13a('reference'))} AS r FROM qa WHERE reference IS NOT NULL),
+bs AS MATERIALIZED ({' UNION ALL '.join(_bleu_13a(n) for n in range(1, 5))}),
+be AS (SELECT *, bool_and(t > 0) OVER (ORDER BY n) AS alive, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS zeros FROM bs),
+bl AS (SELECT avg(ln(CASE WHEN m = 0 THEN 1 / (pow(2, zeros) * t) ELSE m / t END)) AS mean_log FROM be WHERE alive),
+bn AS (SELECT sum(len(p)) AS np, sum(len(r)) AS nr, count(*) AS num_samples FROM bt_)
+SELECT 'bleu_4' AS metric, round(CASE WHEN (SELECT sum(m) FROM bs) > 0 THEN CASE WHEN np >= nr THEN 1 ELSE exp(1 - nr / np) END * exp(mean_log) ELSE 0 END, 6) AS value, num_samples FROM bn, bl"""
+
+SQL |= {
+    "rouge_l_nostem": _mean("rouge_l_nostem", f"WITH RECURSIVE {QA}, tk_ AS (SELECT sample_id, {_rouge("coalesce(response, '')")} AS l, {_rouge('reference')} AS r FROM {_REF}), {common_subsequence('tk_')}, sc_ AS (SELECT {_F} AS score FROM ov_)"),
+    "rouge1_answer": _stemmed_rouge("rouge1_answer", "1"),
+    "rouge2_answer": _stemmed_rouge("rouge2_answer", "2"),
+    "rouge_l_answer": _stemmed_rouge("rouge_l_answer", "L"),
+    "rouge_l_query": _stemmed_rouge("rouge_l_query", "L", "query"),
+    "embedding_similarity": _similar("embedding_similarity"),
+    "bleu_4": _BLEU,
+}
+
+# the default plan: the ordinal, target and SQL of each metric
+_PLAN = [(0, "RETRIEVAL_RELEVANCE" if m in ("recall", "precision", "hit_rate") else "RETRIEVAL_ACCURACY", f"SELECT * FROM ({SQL[f'{m}_at_k']}) WHERE metric = '{m}@5'") for m in ("recall", "precision", "hit_rate", "mrr", "map", "ndcg")]
+_PLAN += [
+    (1, "GENERATION_CORRECTNESS", SQL["exact_match"]),
+    (2, "GENERATION_CORRECTNESS", SQL["token_f1"]),
+    (3, "GENERATION_CORRECTNESS", SQL["rouge1_answer"]),
+    (4, "GENERATION_CORRECTNESS", SQL["rouge2_answer"]),
+    (5, "GENERATION_CORRECTNESS", _stemmed_rouge("rougeL_answer", "L")),
+    (6, "GENERATION_CORRECTNESS", SQL["bleu_4"]),
+    (7, "GENERATION_FAITHFULNESS", SQL["evidence_overlap_n1"]),
+    (8, "GENERATION_CORRECTNESS", _similar("embedding_similarity_reference")),
+    (9, "GENERATION_RELEVANCE", _similar("embedding_similarity_query", "query")),
+]
+SQL["plan_results"] = " UNION ALL ".join(f"SELECT CAST({at} AS INTEGER) AS ordinal, '{target}' AS target, metric, value, num_samples, CAST(0 AS BIGINT) AS num_errors FROM ({one})" for at, target, one in _PLAN)

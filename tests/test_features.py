@@ -310,3 +310,22 @@ def test_legacy_rouge_keeps_blank_references(spark):
     df = spark.createDataFrame([(1, "a b", "a b"), (2, "a", ""), (3, "a", None)], "sample_id int, response string, reference string")
     assert {x.sample_id: x.score for x in answers.rouge_l_legacy(df).collect()} == {1: 1.0, 2: 0.0}
     assert answers.rouge(df, "L").count() == 1
+
+
+def test_sql_of_stems_and_hashes_equals_the_kernels():
+    import duckdb
+    import pandas as pd
+
+    from ragscore import oracle_text
+    from ragscore.functions import kernels
+
+    heads = ["", "b", "tr", "oa", "hop", "plast", "yy", "sky", "toy", "fizz", "controll", "agr", "syllabl", "2n", "xyz"]
+    tails = [*kernels.PORTER_STEP4, *[old for old, _ in kernels.PORTER_STEP2 + kernels.PORTER_STEP3], "", "s", "sses", "ies", "eed", "ed", "ing", "ping", "lled", "y", "e", "ll", "yyed"]
+    w = pd.DataFrame({"t": sorted({h + t + more for h in heads for t in tails for more in ("", "s", "e", "é")} - {""})})
+    con = duckdb.connect()
+    con.register("w", w)
+    plain = "SELECT t FROM w WHERE NOT contains(t, 'é')"
+    stems = con.execute(f"WITH {oracle_text.stems(plain)} SELECT * FROM st_").fetchall()
+    assert len(stems) > 1000 and all(kernels.porter_stem(t) == stem for t, stem in stems)
+    buckets = con.execute(f"WITH {oracle_text.murmur3('SELECT t FROM w')} SELECT * FROM mm_").fetchall()
+    assert len(buckets) == len(w) and all(abs(kernels.murmur3(t)) % 4096 == b for t, b in buckets)
