@@ -13,7 +13,9 @@ Texts that share a shingle are first compared with the one of them whose hash is
 would still lie between components, they are compared with a few further ones, drawn for each shingle anew, for as long
 as that halves those pairs.  Then the pairs that are not yet in one component are compared too, so that no pair hangs on
 the choice of the ones.  A group of copies costs rows in proportion to its distinct texts; pairs are listed only between
-components, where lengths and places allow the similarity.
+components, where lengths and places allow the similarity.  Texts of such large shingle groups carry the parities of
+their counts in PARITIES buckets: every bucket in which two parities differ holds a shingle that only one of the texts
+has, so a pair is listed only where these are few enough for the similarity.
 
 Defined cases: null and blank texts have no shingle, so they are copies of each other; texts of fewer words than a
 shingle have one; repeated rows and rows that repeat an id are rows of their own; a null id orders before all others and
@@ -41,6 +43,8 @@ SIMILARITY = 0.8
 SAMPLE, COMMON = 16, 50_000
 #: Buckets of a text's counts, a power of two near its number of shingles. Results don't depend on it.
 BUCKETS = 4096
+#: Longs whose bits are the parities of a text's counts in as many buckets. Results don't depend on it.
+PARITIES = 8
 #: Shingles that a worker holds before it sends them on.
 GROUP = 1 << 20
 #: Texts that are described at once.
@@ -90,6 +94,12 @@ def buckets(distinct: np.ndarray) -> bytes | None:
     return None if len(counts) and counts.max() > 255 else counts.astype(np.uint8).tobytes()
 
 
+def parities(distinct: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITIES buckets: whether an odd number of shingles falls into it."""
+    counts = np.bincount((distinct % _U(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
 def most_shared(a: bytes | None, b: bytes | None, n: int, m: int) -> int:
     """An upper bound of the shingles that texts of n and m shingles share, from their bucket counts."""
     if a is None or b is None:
@@ -106,7 +116,7 @@ def _describe(shingle: int, similarity: float, common: np.ndarray, place: np.nda
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = get()
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, max(1, len(b)), ROWS)):
-            fp, node, size, first, marks = [], [], [], [], []
+            fp, node, size, first, marks, odd = [], [], [], [], [], []
             for t in batch.cast(pa.binary()):
                 hashes = shingle_hashes(t.as_py() or b"", shingle)
                 distinct = np.unique(hashes)
@@ -115,11 +125,12 @@ def _describe(shingle: int, similarity: float, common: np.ndarray, place: np.nda
                 size.append(len(distinct))
                 first.append(prefix(distinct, *known, similarity).view(np.int64))
                 marks.append(buckets(distinct))
+                odd.append(parities(distinct))
             longs = [pa.array(np.array(x, _U).view(np.int64)) for x in (fp, node)]
-            yield pa.StructArray.from_arrays([*longs, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["fp", "node", "n", "prefix", "marks"])
+            yield pa.StructArray.from_arrays([*longs, pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["fp", "node", "n", "prefix", "marks", "odd"])
         give_back()
 
-    return F.arrow_udf(run, "fp long, node long, n int, prefix array<long>, marks binary")
+    return F.arrow_udf(run, "fp long, node long, n int, prefix array<long>, marks binary, odd array<long>")
 
 
 def _can_reach(similarity: float):
@@ -174,13 +185,19 @@ def _may_reach(n: Column, rest: Column, m: Column, other: Column, similarity: fl
     return F.least(rest, other) >= (n + m) * (similarity / (1 + similarity)) - _LESS
 
 
+def _few_differ(n: Column, m: Column, similarity: float) -> Column:
+    """Whether texts of n and m shingles and of parities odd0, odd1, ... and by0, by1, ... can reach the similarity."""
+    differ = sum((F.bit_count(F.col(f"odd{i}").bitwiseXOR(F.col(f"by{i}"))) for i in range(1, PARITIES)), F.bit_count(F.col("odd0").bitwiseXOR(F.col("by0"))))
+    return differ <= (n + m) * ((1 - similarity) / (1 + similarity)) + _LESS
+
+
 def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: the id, component_id (smallest id of its group), kept (whether it is that row)."""
     source = documents.select(F.col(id_col), order_id(id_col).alias("_order"), F.col(text_col).cast("string").alias("text"))
     told = _describe(shingle, similarity, *_common(source, shingle))(F.col("text")).alias("told")
     rows = written(source.select(F.col(id_col).alias("_id"), "_order", F.monotonically_increasing_id().alias("_row"), told).select("_id", "_order", "_row", "told.*"), "described")
     first = rows.groupBy("node").agg(F.min(F.struct("_order", "_row")).alias("first")).select(F.col("first._order").alias("low"), F.col("first._row").alias("_row"))
-    texts = written(rows.select("_row", "node", "fp", "n", "prefix", "marks").join(first, "_row").drop("_row"), "texts")
+    texts = written(rows.select("_row", "node", "fp", "n", "prefix", "marks", "odd").join(first, "_row").drop("_row"), "texts")
     rows = rows.select("_id", "_order", "node")
 
     part = texts.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
@@ -222,6 +239,16 @@ def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     def joined(group: DataFrame, pairs: DataFrame) -> DataFrame:
         return components(group.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(pairs))
 
+    odds = [F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(PARITIES)]
+    by_parities = [F.col(f"odd{i}").alias(f"by{i}") for i in range(PARITIES)]
+    few = _few_differ(F.col("n"), F.col("m"), similarity)
+
+    def with_parities(part: DataFrame) -> DataFrame:
+        return part.join(texts.select("node", *odds), "node")
+
+    def others(part: DataFrame, also: list[Column] = ()) -> DataFrame:
+        return part.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("of").alias("with"), *also)
+
     group = components(edges)
     placed = parted(group)
     left, times = math.inf, 0
@@ -232,19 +259,21 @@ def near_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         if not many or many > left / 2:
             break
         left, times = many, times + 1
-        some = placed.join(large.select("token"), "token", "left_semi")
+        some = with_parities(placed.join(large.select("token"), "token", "left_semi"))
         by = Window.partitionBy("token").orderBy(F.xxhash64("token", "node", F.lit(times)), "node")
         drawn = some.withColumn("at", F.row_number().over(by)).where(F.col("at") <= PAIRS)
-        drawn = drawn.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("of").alias("with"))
-        pairs = some.join(drawn, "token").where((F.col("of") != F.col("with")) & able).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+        pairs = some.join(others(drawn, by_parities), "token").where((F.col("of") != F.col("with")) & able & few).select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
         group = joined(group, linked(pairs))
         forget(placed)
         placed = parted(group)
     # the smaller of a pair has the shingle early enough for a text of its own size
-    less = placed.where(_may_reach(F.col("n"), F.col("rest"), F.col("n"), F.col("rest"), similarity))
-    more = placed.select("token", F.col("node").alias("v"), F.col("n").alias("m"), F.col("rest").alias("other"), F.col("of").alias("with"))
-    rest = less.join(more, "token").where((F.col("n") <= F.col("m")) & (F.col("of") != F.col("with")) & (F.col("node") != F.col("v")) & able)
-    rest = rest.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
+    early = _may_reach(F.col("n"), F.col("rest"), F.col("n"), F.col("rest"), similarity)
+    apart = (F.col("n") <= F.col("m")) & (F.col("of") != F.col("with")) & (F.col("node") != F.col("v")) & able
+    pair = [F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")]
+    small = placed.join(large.select("token"), "token", "left_anti")
+    rest = small.where(early).join(others(small), "token").where(apart).select(*pair)
+    some = with_parities(placed.join(large.select("token"), "token", "left_semi"))
+    rest = rest.unionByName(some.where(early).join(others(some, by_parities), "token").where(apart & few).select(*pair)).distinct()
     tidy(documents.sparkSession)
     group = joined(group, linked(rest))
 
