@@ -385,6 +385,8 @@ def test_bounds_of_shared_shingles():
         a, b = pool[:n], pool[max(0, n - k) : max(0, n - k) + m]
         shared = len(np.intersect1d(a, b))
         assert shared <= near_documents_module.most_shared(near_documents_module.buckets(a), near_documents_module.buckets(b), len(a), len(b)) <= min(len(a), len(b))
+        differ = int(np.unpackbits((near_documents_module.parities(a) ^ near_documents_module.parities(b)).view(np.uint8)).sum())
+        assert differ <= len(a) + len(b) - 2 * shared and differ % 2 == (len(a) + len(b)) % 2
 
 
 def test_empty_tables(spark):
