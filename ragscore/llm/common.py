@@ -103,6 +103,14 @@ def order_id(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+def met(left: DataFrame, right: DataFrame, *by: Column | str, how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input: shuffled and sorted whatever their sizes on disk seem to be.
+
+    A small file or shuffle of sorted longs unpacks to many times its size, and a broadcast would build it in the driver.
+    """
+    return left.hint("merge").join(right.hint("merge"), list(by) if isinstance(by[0], str) else by[0], how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each id in edges (u, v): component is the smallest id reachable.
 
@@ -115,9 +123,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = met(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        up = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = met(large, low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(up.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         sign = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         forget(now)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscore.llm.common import NULL_ID, components, order_id, written
+from ragscore.llm.common import NULL_ID, components, met, order_id, written
 
 #: Shingles whose hashes are held at once.
 BLOCK = 1 << 16
@@ -77,10 +77,10 @@ def near_fingerprints(prints: DataFrame) -> DataFrame:
     """(u, v): links that join distinct fingerprints fp within 2 bits into their components."""
     cells = _cells(prints)
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    met = cells.join(shared, "cell", "left_semi").select("fp").distinct()
-    balls = met.select("fp", F.explode(F.array("fp", *[F.col("fp").bitwiseXOR(F.lit((1 << i) if i < 63 else -(1 << 63))) for i in range(64)])).alias("ball"))
+    near = met(cells, shared, "cell", how="left_semi").select("fp").distinct()
+    balls = near.select("fp", F.explode(F.array("fp", *[F.col("fp").bitwiseXOR(F.lit((1 << i) if i < 63 else -(1 << 63))) for i in range(64)])).alias("ball"))
     low = balls.groupBy("ball").agg(F.min("fp").alias("v"), F.max("fp").alias("hi")).where("v <> hi").select("ball", "v")
-    return balls.join(low, "ball").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    return met(balls, low, "ball").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def simhash_near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: list[str] = ()) -> DataFrame:
@@ -92,10 +92,10 @@ def simhash_near_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: s
     rows = written(rows, "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("_order").alias("low")), "prints")
     group = components(near_fingerprints(prints.select("fp")))
-    root = prints.join(group, prints.fp == group.id, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
+    root = met(prints, group, prints.fp == group.id, how="left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     lows = root.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = root.join(lows, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(
+    of = met(root, lows, "root").select("fp", "component_id")
+    return met(rows, of, "fp").select(
         F.col("_id").alias(id_col),
         F.col("fp").alias("fingerprint"),
         F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"),

@@ -499,3 +499,13 @@ _held: list = []
 def test_names_within_names_and_values_are_no_attributes():
     names = {op6.FEATURES[i] for i in op6._attribute_features(" data-class='ad' title=\"class=sidebar\" aria-hidden=true Class=comment id='x main'")}
     assert names == {"hidden", "word comment", "word for"}
+
+
+def test_links_of_fingerprints_are_never_broadcast(spark, docs):
+    """The driver builds broadcasts, so no join of op4 may make one of what grows with the input, however small it looks."""
+    from ragscore.llm import op4
+
+    plan = op4.simhash_near_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    prints = spark.createDataFrame([(1,), (3,), (64,)], "fp long")
+    assert "Broadcast" not in op4.near_fingerprints(prints)._jdf.queryExecution().executedPlan().toString()
