@@ -69,7 +69,7 @@ def generate(corpus: DataFrame, config: TaskConfig | None = None, llm: taskgen.L
     chosen = drawn(spans.withColumn("_at", F.concat_ws(":", "chunk_id", "pos")), more(c.single_hop, c.oversample), "_at").drop("_at", "span")
     single = taskgen.single_hop_tasks(chosen, llm, c.least_answer, c.most_answer).where("trim(query) <> ''")
     single = drawn(kept(single, "single_hop"), c.single_hop).withColumn("chunks", F.array("chunk_id"))
-    pairs = taskgen.sample_pairs(taskgen.entity_graph(entities, c.least_shared))
+    pairs = taskgen.graph_pairs(entities, least=c.least_shared)
     pairs = drawn(pairs.withColumn("_at", F.concat_ws(":", "a", "b")), more(c.multi_hop, c.oversample), "_at").drop("_at")
     multi = drawn(kept(taskgen.multi_hop_tasks(pairs, anchors, llm), "multi_hop"), c.multi_hop).withColumn("chunks", F.array("a", "b"))
     base = taskgen.all_tasks(single_hop=single, multi_hop=multi).select("sample_id", "kind", "query", "answer", "chunks", known(kind=F.col("kind")).alias("labels"))

@@ -329,3 +329,31 @@ def test_sql_of_stems_and_hashes_equals_the_kernels():
     assert len(stems) > 1000 and all(kernels.porter_stem(t) == stem for t, stem in stems)
     buckets = con.execute(f"WITH {oracle_text.murmur3('SELECT t FROM w')} SELECT * FROM mm_").fetchall()
     assert len(buckets) == len(w) and all(abs(kernels.murmur3(t)) % 4096 == b for t, b in buckets)
+
+
+def test_sentences_are_scored_once(spark):
+    """Each text is split into words once, and no filter repeats the patterns of a sentence's score."""
+    odd = [(1, "  A b. . ..x Yes  \u00c9\u0085 one. 3 v\u0661. " + "w " * 9 + "q.\u3000" + "w " * 10 + "." + "w " * 51 + ". Zed\n"), (2, "....."), (3, None), (4, " "), (5, "xA yB. x\U00010400 \U00010400a.")]
+    anchors = taskgen.extract_anchors(taskgen.chunk_documents(spark.createDataFrame(odd, "doc_id long, text string"), 100, 10))
+    plan = _plan(anchors)
+    assert plan.count("(?U)\\s+") == 1 and plan.count("{Lu}") == 1
+    got = [(x.chunk_id, x.pos, x.sentence, x.score) for x in anchors.orderBy("chunk_id", "pos").collect()]
+    assert got == [("1_chunk_0", 1, "w " * 9 + "q", 1.0), ("1_chunk_0", 2, "w " * 9 + "w", 1.0), ("1_chunk_0", 3, "A b", 0.5), ("5_chunk_0", 1, "x\U00010400 \U00010400a", 0.5)]
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_the_graph_is_summed_up_where_it_is_found(spark, monkeypatch, least):
+    """Degrees and drawn neighbours equal those of the edges, in several blocks, and no edge goes through a shuffle."""
+    monkeypatch.setattr(taskgen, "EDGES", 7)
+    r = random.Random(least)
+    rows = [(f"c{i}", f"E{int(r.expovariate(0.15))}") for i in range(1100) for _ in range(r.randrange(4))] + [("c1", None), (None, "E1"), ("lone", "Zed")]
+    entities = spark.createDataFrame(rows, "chunk_id string, entity string")
+    edges = taskgen.entity_graph(entities, least).persist()
+    flat = lambda df: sorted(map(tuple, df.collect()))
+    assert edges.count() > 1000 and edges.distinct().count() == edges.count() == edges.where("src < dst").count()
+    assert flat(taskgen.graph_degree(entities, least)) == flat(taskgen.entity_degree(edges))
+    assert flat(taskgen.graph_pairs(entities, least=least)) == flat(taskgen.sample_pairs(edges))
+    edges.unpersist()
+    for df in (taskgen.entity_graph(entities, least), taskgen.graph_degree(entities, least)):
+        product = _plan(df).split("CartesianProduct")
+        assert len(product) == 2 and "Join" not in product[0]  # edges meet nothing after they are found
