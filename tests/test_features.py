@@ -357,3 +357,15 @@ def test_the_graph_is_summed_up_where_it_is_found(spark, monkeypatch, least):
     for df in (taskgen.entity_graph(entities, least), taskgen.graph_degree(entities, least)):
         product = _plan(df).split("CartesianProduct")
         assert len(product) == 2 and "Join" not in product[0]  # edges meet nothing after they are found
+
+
+def test_spans_are_counted_where_they_are_found(spark, monkeypatch):
+    """A shuffle before the last one carries words of groups of chunks, the last one a row for each span and group: no pairs of span and chunk."""
+    monkeypatch.setattr(taskgen, "BLOCK", 50)
+    chunks = spark.createDataFrame([(f"c{i}", f"the same words {i % 7} x") for i in range(400)], "chunk_id string, text string")
+    spans = spark.createDataFrame([(s,) for s in ("a", "same", "the same", "6", "7 x", "zz", None, "5 x")], "span string")
+    found = taskgen.relevant_counts(spans, chunks)
+    assert {x.span: x.n_chunks for x in found.collect()} == {"a": 400, "same": 400, "the same": 400, "6": 57, "5 x": 57}
+    above = _plan(found).split("CoGroup")[0]
+    assert above.count("Exchange") == 1 and "Join" not in above
+    assert "Join" not in _plan(taskgen.find_relevant(spans, chunks)).split("CoGroup")[0]
