@@ -111,6 +111,23 @@ def test_facts_of_hot_and_rare_keys(spark, monkeypatch):
         assert len(got) == 202 and all((x.n, x.m) == want.get(x.key, (None, None)) for x in got)
 
 
+def test_rows_of_hot_keys_are_dealt_to_all_tasks(spark):
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        rows = spark.range(2000).select("id", F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise("hot").alias("key"))
+        facts = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+        tasks = skew.joined_by_key(rows, facts, "key", "n").groupBy("key", F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for key, n in (("hot", 1600), (None, 400)):
+        counts = [x["count"] for x in tasks if x.key == key]
+        assert sum(counts) == n and len(counts) == 4 and max(counts) < n / 2
+
+
 def test_sparse_top_k_equals_brute_force(spark, monkeypatch):
     for name, value in (("QUERY_BLOCK", 4), ("DOCUMENT_BLOCK", 7), ("POSTINGS", 11)):
         monkeypatch.setattr(blocks, name, value)
