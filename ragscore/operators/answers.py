@@ -36,9 +36,11 @@ def exact_match(samples: DataFrame, key: str = "sample_id", **flags: bool) -> Da
     return rows.select(key, F.coalesce(same, F.lit(False)).cast("double").alias("score"))
 
 
-def _overlap(rows: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
+def _overlap(rows: DataFrame, key: str, left: Column, right: Column, like: tuple[Column, Column] | None = None) -> DataFrame:
+    """key, n_l, n_r, shared. like: arrays of the same sizes as left and right that cost less, to be counted in their place."""
     sized = rows.select(key, left.alias("l"), right.alias("r"))
-    return sized.select(key, F.size("l").alias("n_l"), F.size("r").alias("n_r")).join(T.shared_counts(sized, key, F.col("l"), F.col("r")), key, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    counted = rows.select(key, like[0].alias("l"), like[1].alias("r")) if like else sized
+    return counted.select(key, F.size("l").alias("n_l"), F.size("r").alias("n_r")).join(T.shared_counts(sized, key, F.col("l"), F.col("r")), key, "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
 
 
 def token_f1(samples: DataFrame, key: str = "sample_id", **flags: bool) -> DataFrame:
@@ -48,18 +50,29 @@ def token_f1(samples: DataFrame, key: str = "sample_id", **flags: bool) -> DataF
     return c.select(key, F.when(both_empty, 1.0).otherwise(T.f_measure(F.col("shared"), F.col("n_l"), F.col("n_r"))).alias("score"))
 
 
-def _stems(tokens: Column) -> Column:
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([kernels.rouge_stems(t) for t in batch.to_pylist()], pa.list_(pa.string()))
+def _stems(left: Column, right: Column) -> Column:
+    """p and t: both arrays of tokens as stems, by one worker; each distinct token of a batch is stemmed once."""
+    kind = pa.struct([("p", pa.list_(pa.string())), ("t", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for both in batches:
+            ends, codes, known = kernels.token_codes(*both)
+            stems = pa.array(kernels.rouge_stems(known.to_pylist()), pa.string())
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(e, pa.int32()), stems.take(pa.array(x))) for e, x in zip(ends, codes, strict=True)], fields=list(kind))
+
+    return F.arrow_udf(run, "struct<p:array<string>,t:array<string>>")(left, right)
 
-    return F.arrow_udf(run, "array<string>")(tokens)
 
+def _lcs(left: Column, right: Column, stemmed: bool) -> Column:
+    """Length of the longest common subsequence of two arrays of tokens, or of their stems, compared by number."""
 
-def _lcs(left: Column, right: Column) -> Column:
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
-            yield pa.array([kernels.lcs_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+            (ends_a, ends_b), (x, y), known = kernels.token_codes(a, b)
+            if stemmed:
+                of = pa.array(kernels.rouge_stems(known.to_pylist()), pa.string()).dictionary_encode().indices.to_numpy()
+                x, y = of[x], of[y]
+            yield pa.array([kernels.lcs_length(x[ends_a[i] : ends_a[i + 1]], y[ends_b[i] : ends_b[i + 1]]) for i in range(len(a))], pa.int32())
 
     return F.arrow_udf(run, "int")(left, right)
 
@@ -68,11 +81,15 @@ def rouge(samples: DataFrame, kind: str, compare_to: str = "reference", use_stem
     """kind: '1', '2' or 'L'. skip_blank=False keeps an empty reference, as the legacy answer metric does."""
     rows = _with_reference(samples, compare_to) if skip_blank else samples.where(F.col(compare_to).isNotNull())
     rows = rows.select(key, T.rouge_tokens(F.coalesce("response", F.lit(""))).alias("p"), T.rouge_tokens(F.col(compare_to)).alias("t"))
-    if use_stemmer:
-        rows = rows.select(key, _stems(F.col("p")).alias("p"), _stems(F.col("t")).alias("t"))
     if kind == "L":
-        return rows.select(key, T.f_measure(_lcs(F.col("p"), F.col("t")), F.size("p"), F.size("t")).alias("score"))
-    c = _overlap(rows, key, T.ngrams(F.col("p"), int(kind)), T.ngrams(F.col("t"), int(kind)))
+        return rows.select(key, T.f_measure(_lcs(F.col("p"), F.col("t"), use_stemmer), F.size("p"), F.size("t")).alias("score"))
+    n = int(kind)
+    plain = T.ngrams(F.col("p"), n), T.ngrams(F.col("t"), n)
+    if not use_stemmer:
+        c = _overlap(rows, key, *plain)
+    else:  # a text has as many stems as tokens
+        stems = rows.select("*", _stems(F.col("p"), F.col("t")).alias("s")).select(key, "p", "t", "s.p", "s.t").toDF(key, "p", "t", "sp", "st")
+        c = _overlap(stems, key, T.ngrams(F.col("sp"), n), T.ngrams(F.col("st"), n), plain)
     return c.select(key, T.f_measure(F.col("shared"), F.col("n_l"), F.col("n_r")).alias("score"))
 
 

@@ -4,7 +4,8 @@ Precision is the mean of the best cosines of the response's tokens, recall that
 mean.  With IDF weights a token counts ln((n + 1) / (df + 1)), over the n texts that are compared with.
 
 A token embedder is a column function array of tokens -> array of vectors, one for each token (it sees the sequence, so
-vectors may depend on context).  hashed_vectors() is one that needs no model.  Alignment is a blocked matrix product in
+vectors may depend on context); if it has of_tokens (list of tokens -> matrix), that is used in its place, once for each
+distinct token of a batch.  hashed_vectors() is one that needs no model.  Alignment is a blocked matrix product in
 Arrow batches that holds at most CELLS similarities; weights meet tokens in Spark, and no sample's matrix leaves a task.
 """
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragscore.functions import kernels
 from ragscore.functions import text as T
 from ragscore.functions.skew import joined_by_key
 
@@ -67,6 +69,32 @@ def best_matches(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.n
     return left, right
 
 
+def _digest_vectors(tokens: list[str]) -> np.ndarray:
+    return np.array([_digest_vector(t) for t in tokens], np.float64).reshape(len(tokens), 16)
+
+
+#: The vectors of distinct tokens, for embedders that do not look at the sequence: alignment then needs no array of vectors.
+hashed_vectors.of_tokens = _digest_vectors
+
+
+def _aligned_tokens(of_tokens: Callable[[list[str]], np.ndarray]) -> Callable:
+    """_aligned over arrays of tokens: each distinct token of a batch has its vector once."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for both in batches:
+            ends, codes, known = kernels.token_codes(*both)
+            m = of_tokens(known.to_pylist())
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            units = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            out = [np.empty(len(x)) for x in codes]
+            for i in range(len(both[0])):
+                cut = [slice(e[i], e[i + 1]) for e in ends]
+                out[0][cut[0]], out[1][cut[1]] = best_matches(*(units[x[c]] for x, c in zip(codes, cut, strict=True)))
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x)) for e, x in zip(ends, out, strict=True)], fields=list(_BEST))
+
+    return run
+
+
 def _aligned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in batches:
         found = [best_matches(_units(a), _units(b)) for a, b in zip(left, right, strict=True)]
@@ -76,7 +104,9 @@ def _aligned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
 def alignments(pairs: DataFrame, key: str, left: Column, right: Column, embed: TokenEmbedder = hashed_vectors, tokens: Callable[[Column], Column] = T.terms) -> DataFrame:
     """key, side (0: left), token, best: the best cosine of each token; a pair without tokens gives no row."""
     rows = pairs.select(key, tokens(F.coalesce(left, F.lit(""))).alias("l"), tokens(F.coalesce(right, F.lit(""))).alias("r"))
-    rows = rows.withColumn("best", F.arrow_udf(_aligned, "struct<left:array<double>,right:array<double>>")(embed(F.col("l")), embed(F.col("r"))))
+    of_tokens = getattr(embed, "of_tokens", None)
+    run, sides = (_aligned, [embed(F.col(c)) for c in ("l", "r")]) if of_tokens is None else (_aligned_tokens(of_tokens), ["l", "r"])
+    rows = rows.withColumn("best", F.arrow_udf(run, "struct<left:array<double>,right:array<double>>")(*sides))
     side = lambda t, b, n: F.transform(F.arrays_zip(F.col(t).alias("token"), F.col(b).alias("best")), lambda x: F.struct(F.lit(n).alias("side"), x["token"].alias("token"), x["best"].alias("best")))
     return rows.select(key, F.explode(F.concat(side("l", "best.left", 0), side("r", "best.right", 1))).alias("x")).select(key, "x.*")
 

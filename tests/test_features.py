@@ -101,6 +101,33 @@ def test_entity_graph_equals_all_pairs(spark, monkeypatch, least):
     assert got == want
 
 
+def test_one_python_worker_for_a_task_of_rouge_and_bertscore(spark):
+    rows = [(1, "Running runs caresses", "run caressing ran"), (2, "", "abc"), (3, None, "x y"), (4, "the the cat", "the cats the"), (5, "x", None)]
+    df = spark.createDataFrame(rows, "sample_id long, response string, reference string").withColumn("query", F.col("reference"))
+    nodes = {}
+    for kind in ("1", "2", "L"):
+        scores = answers.rouge(df, kind)
+        nodes[kind] = _plan(scores).count("ArrowEvalPython")
+        got = {x.sample_id: x.score for x in scores.collect()}
+        for key, p, t in rows[:4]:
+            a, b = (kernels.rouge_stems((x or "").lower().split()) for x in (p, t))
+            if kind == "L":
+                shared, n = kernels.lcs_length(a, b), len(a) + len(b)
+            else:
+                k = int(kind)
+                a, b = (Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) for x in (a, b))
+                shared, n = sum((a & b).values()), sum(a.values()) + sum(b.values())
+            assert got.pop(key) == pytest.approx(2 * shared / n if shared else 0.0)
+        assert not got
+    pairs = df.where("reference is not null")
+    slow = bertscore.bert_score(pairs, "sample_id", F.col("response"), F.col("reference"), lambda t: bertscore.hashed_vectors(t))
+    fast = bertscore.bert_score(pairs, "sample_id", F.col("response"), F.col("reference"))
+    nodes["bertscore"] = _plan(fast).count("ArrowEvalPython")
+    values = [{x.sample_id: (x.precision, x.recall, x.f1) for x in df.collect()} for df in (slow, fast)]
+    assert values[0].keys() == values[1].keys() and all(values[0][k] == pytest.approx(values[1][k]) for k in values[0])
+    assert nodes == {"1": 1, "2": 1, "L": 1, "bertscore": 1}
+
+
 def test_facts_of_hot_and_rare_keys(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "h" if i % 2 else f"k{i % 40}") for i in range(200)] + [(999, "none"), (1000, None)], "id long, key string")
     facts = rows.where("key <> 'none'").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("m"))
