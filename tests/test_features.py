@@ -6,6 +6,7 @@ import json
 import math
 import random
 import time
+import unicodedata
 from collections import Counter
 from itertools import combinations
 
@@ -90,6 +91,42 @@ def test_frequent_words_are_dealt(spark, monkeypatch):
     assert {x.span: x["count"] for x in got} == {"same": 26, "e": 40, "the same": 26}
 
 
+def _odd_sentences():
+    r = random.Random(5)
+    parts = ["The", "A", "Al", "Anna", "(Bern)", "\"Élan", "it", "x.", "...", "[Z]", "Zoë!", "IT", "'", "straße", "Ωmega,", "3rd", "Of", "\U00010400b", "Q:"]
+    gaps = [" ", " ", " ", "  ", "\u2003", "\n"]
+    return [(f"c{i}", "".join(r.choice(["", " "]) + r.choice(parts) + r.choice(gaps) for _ in range(r.randrange(12)))) for i in range(300)] + [("n", None), ("b", " \u2003 ")]
+
+
+def test_entities_without_a_shuffle_of_words(spark):
+    rows = _odd_sentences()
+    found = taskgen.extract_entities(spark.createDataFrame(rows, "chunk_id string, text string"))
+    want = set()
+    for key, text in rows:
+        run = []
+        for w in [x.strip(taskgen.EDGE) for x in (text or "").split()] + [""]:
+            if w and unicodedata.category(w[0]) == "Lu":
+                run += [w] if run or len(w) > 2 else []
+            else:
+                want |= {(key, " ".join(run))} if run and " ".join(run).lower() not in taskgen.STOP_ENTITIES else set()
+                run = []
+    assert "Window" not in _plan(found)
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_answer_spans_split_no_sentence_twice(spark):
+    rows = _odd_sentences()
+    found = taskgen.choose_answer_span(spark.createDataFrame(rows, "chunk_id string, sentence string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 1
+    for x in found.collect():
+        w = (x.sentence or "").split()
+        big = [unicodedata.category(t[0]) == "Lu" for t in w]
+        at = next((i for i in range(1, len(w)) if big[i]), None)
+        end = at and next((i for i in range(at, len(w)) if not big[i]), len(w))
+        assert x.span == ((" ".join(w[at:end]) if at else w[-1]).strip(".,!?;:") if w else None)
+
+
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_entity_graph_equals_all_pairs(spark, monkeypatch, least):
     monkeypatch.setattr(taskgen, "BLOCK", 5)
