@@ -11,7 +11,13 @@ _WORD = r"[\p{L}\p{N}_]{2,}"
 
 def words(text: Column) -> Column:
     """White-space tokens; none for blank or null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), F.lit(""))
+
+
+def number_of_words(text: Column, least: int, most: int) -> Column:
+    """Whether a text has least to most white-space tokens, by one pattern that makes no array of them."""
+    some = rf"\S++(?:\s++\S++){{{max(least, 1) - 1},{most - 1}}}+\s*+"
+    return F.coalesce(text, F.lit("")).rlike(rf"(?U)^\s*+{some if least > 0 else f'(?:{some})?+'}\z") if most >= max(least, 1) else F.size(words(text)).between(least, most)
 
 
 def term_set(text: Column) -> Column:
