@@ -45,7 +45,7 @@ def passage_run(spark: SparkSession, sf_dir: str, depth: int = RUN_DEPTH) -> Dat
 
     def sets(name: str, id_col: str) -> DataFrame:
         found = term_set(F.coalesce("text", F.lit("")))
-        return table(spark, sf_dir, name).select(F.col(id_col).alias("id"), found.alias("terms")).select("id", "terms", F.transform("terms", lambda _: F.lit(1.0)).alias("weights"), F.size("terms").cast("double").alias("size"))
+        return table(spark, sf_dir, name).select(F.col(id_col).alias("id"), found.alias("terms")).select("id", "terms", F.array_repeat(F.lit(1.0), F.size("terms")).alias("weights"), F.size("terms").cast("double").alias("size"))
 
     sizes = [table(spark, sf_dir, name).count() for name in ("benchmark", "documents")]
     ranked = sparse_top_k(sets("benchmark", "item_id"), sets("documents", "doc_id"), depth, _share, ("item_id", "doc_id"), *sizes)

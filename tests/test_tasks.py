@@ -62,3 +62,24 @@ def test_filtered_tasks_shuffle_no_text_and_ask_once(spark, tmp_path):
 def test_words_are_numbered_as_they_are_split(spark, least, most):
     rows = spark.createDataFrame([(t,) for t in (None, "", " ", "a", " a ", "a b", "a\u3000b\x85", "a  b c\n", "a b c d", "\t")], "t string")
     assert all(x.got == x.want for x in rows.select(text.number_of_words(F.col("t"), least, most).alias("got"), F.size(text.words(F.col("t"))).between(least, most).alias("want")).collect())
+
+
+def test_a_plan_makes_each_view_once(spark, monkeypatch):
+    """Ranked runs and samples are read by several metrics of the default plan; their rows are made once."""
+    made, sf = {}, "/root/testdata/sf0.001"
+    for name in ("passage_run", "passage_gold", "qa"):
+        made[name] = spark.sparkContext.accumulator(0)
+
+        def counted(s, d, plain=getattr(catalog.X, name), rows_made=made[name]):
+            def count(batches):
+                for batch in batches:
+                    rows_made.add(batch.num_rows)
+                    yield batch
+
+            rows = plain(s, d)
+            return rows.mapInArrow(count, rows.schema)
+
+        made[name] = made[name], getattr(catalog.X, name)(spark, sf).count()
+        monkeypatch.setattr(catalog.X, name, counted)
+    assert len(catalog.QUERIES["plan_results"](spark, sf).collect()) == 15
+    assert {name: seen.value for name, (seen, _) in made.items()} == {name: n for name, (_, n) in made.items()}
