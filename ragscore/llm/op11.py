@@ -9,7 +9,8 @@ A key is the 64-bit sum of its code points' random numbers, each times a power o
 word come from two running sums: a word of n code points sends n + 1 rows of two longs, however long it is.  Different
 keys that share a number only make a candidate more; the distance that decides is of the words themselves.  Words that
 share a deletion differ from it by one of the alphabet's code points at one of its places: a key's group is bounded by
-word length times alphabet, not by the corpus, and no group of documents or occurrences is ever gathered.
+word length times alphabet, not by the corpus, and no group of documents or occurrences is ever gathered.  All joins are
+shuffled and sorted: a table of words that is small on disk sends some ten keys for each, which no driver need hold.
 
 Defined cases: a null text holds no word; a null doc_id is written as nothing before the colon; repeated rows count
 each time; no word gives no row; other columns are not read.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragscore.llm.common import forget, written
+from ragscore.llm.common import forget, met, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = "[A-Za-zÀ-ÿ]"
@@ -92,9 +93,9 @@ def near_words(words: DataFrame) -> DataFrame:
     """id, other: both ways, the words (id, word) at an edit distance of exactly one."""
     keys = words.select("id", "word").mapInArrow(_keys, "key long, id long")
     a, b = keys.toDF("key", "a"), keys.toDF("key", "b")
-    met = a.join(b, "key").where("a < b").select("a", "b").distinct()
+    pairs = met(a, b, "key").where("a < b").select("a", "b").distinct()
     text = words.select("id", "word")
-    both = met.join(text.toDF("a", "wa"), "a").join(text.toDF("b", "wb"), "b").where(F.levenshtein("wa", "wb", 1) == 1)
+    both = met(met(pairs, text.toDF("a", "wa"), "a"), text.toDF("b", "wb"), "b").where(F.levenshtein("wa", "wb", 1) == 1)
     return both.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("p")).select("p.*")
 
 
@@ -103,14 +104,14 @@ def variant_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counted = written(counted_words(docs, doc_id, text, least, occurs), "words")
     words = written(counted.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "numbered")
     forget(counted)
-    pairs = near_words(words).join(words.select(F.col("id").alias("other"), "word", "n"), "other")
+    pairs = met(near_words(words), words.select(F.col("id").alias("other"), "word", "n"), "other")
     best = pairs.groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "word", "other")).alias("best"))
     chosen = -F.col("best.less") >= ratio * F.col("n")
-    formed = words.join(best, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.struct(F.col("best.other").alias("id"), F.col("best.word").alias("word"), (-F.col("best.less")).alias("n"))).alias("form"))
+    formed = met(words, best, "id", how="left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(chosen, F.struct(F.col("best.other").alias("id"), F.col("best.word").alias("word"), (-F.col("best.less")).alias("n"))).alias("form"))
     formed = written(formed, "forms")
     roots = _roots(formed.where("form is not null").select("id", F.col("form.id").alias("root")))
     text_of = words.select(F.col("id").alias("root"), F.col("word").alias("root_word"))
-    out = formed.join(roots.join(text_of, "root").select("id", "root_word"), "id", "left")
+    out = met(formed, met(roots, text_of, "root").select("id", "root_word"), "id", how="left")
     return out.select("word", F.col("form.word").alias("form"), F.coalesce("root_word", "word").alias("root"), "n", "n_near", F.col("form.n").alias("form_n"))
 
 
@@ -119,7 +120,7 @@ def _roots(links: DataFrame) -> DataFrame:
     now = written(links, "roots")
     while True:
         further = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        after = written(now.join(further, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = written(met(now, further, "root", how="left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = after.where("moved").limit(1).count()
         forget(now)
         now = after.select("id", "root")

@@ -87,6 +87,17 @@ def test_very_long_words(spark):
     assert _told(op11.variant_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == _variants(rows)
 
 
+def test_words_and_their_keys_are_never_broadcast(spark, monkeypatch):
+    """The driver builds broadcasts, so no join may make one of words or keys, however small their files look."""
+    plans = []
+    monkeypatch.setattr(op11, "written", lambda df, name, keep=op11.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    rows = [(i, "letters lettera letterab letters letters letters lettera lettera other") for i in range(9)]
+    out = op11.variant_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 4
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 3 and not any("Broadcast" in plan for plan in plans)
+
+
 def test_delete_keys_are_those_of_the_deletions():
     words = ["abc", "aab", "ab", "aaaa", "éa", "abcd", "bcd"]
     row, key = op11.delete_keys(words)
