@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import unicodedata
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ragscore import catalog, oracle
 from ragscore.functions import text
+from ragscore.functions.md5 import joined_md5
 from ragscore.operators import taskgen
 
 
@@ -83,3 +86,35 @@ def test_a_plan_makes_each_view_once(spark, monkeypatch):
         monkeypatch.setattr(catalog.X, name, counted)
     assert len(catalog.QUERIES["plan_results"](spark, sf).collect()) == 15
     assert {name: seen.value for name, (seen, _) in made.items()} == {name: n for name, (_, n) in made.items()}
+
+
+def test_md5_of_joined_texts_is_that_of_hashlib():
+    heads, tails = [b"", b"a:", b"pairs:12_chunk_3:", b"x" * 54, b"y" * 55, b"z" * 200, "é:".encode()], [b"", b"7", b"123456_chunk_10", b"\xff" * 33, b"q" * 55, b"w" * 90]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(heads)), np.arange(len(tails))))
+    want = [int.from_bytes(hashlib.md5(heads[x] + tails[y]).digest()[:8]) for x, y in zip(i, j, strict=True)]
+    assert joined_md5(heads, tails)(i, j).tolist() == want and not len(joined_md5(heads, tails)(i[:0], j[:0]))
+
+
+@pytest.mark.parametrize(("least", "postings"), [(1, 1 << 18), (2, 1 << 18), (2, 3), (3, 40)])
+def test_edges_of_two_blocks_are_those_by_hand(monkeypatch, least, postings):
+    monkeypatch.setattr(taskgen, "POSTINGS", postings)
+    r = random.Random(8)
+    names, other = ([sorted({str(r.randrange(12)) for _ in range(r.randrange(6))}) for _ in range(n)] for n in (90, 70))
+    one, two = (taskgen._Block(pa.array(range(len(x))), pa.array(x, pa.list_(pa.string()))) for x in (names, other))
+    for right, sets, same in ((two, other, False), (one, names, True)):
+        got = [e for found in taskgen._edges_of(one, right, least, same) for e in zip(*(x.tolist() for x in found), strict=True)]
+        want = [(a, b, len(set(x) & set(y))) for a, x in enumerate(names) for b, y in enumerate(sets) if len(set(x) & set(y)) >= least and (a < b or not same)]
+        assert sorted(got) == want and len(want) > 20
+
+
+def test_drawn_neighbours_are_those_of_the_least_whole_digest():
+    """Whatever the order of the edges, and where the first bytes of digests are equal."""
+    r, held = np.random.default_rng(3), {n: taskgen._Drawn(n, pa.array([f"{n}_{i}" for i in range(20)]), "pairs") for n in range(3)}
+    one, best = held[0], {}
+    for _ in range(40):
+        number, mine, far = int(r.integers(3)), r.integers(0, 20, 30), r.integers(0, 20, 30)
+        at = joined_md5(one.heads, held[number].tails)(mine, far) >> np.uint64(60)
+        one.draw(mine, far, at, number, held)
+        for x, y in zip(mine.tolist(), far.tolist(), strict=True):
+            best[x] = min(best.get(x, (b"\xff" * 17,)), (one.digest(x, held[number].tails[y]), number, y))
+    assert {x: (int(one.far_block[x]), int(one.far[x])) for x in best} == {x: b[1:] for x, b in best.items()}
