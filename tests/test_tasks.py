@@ -118,3 +118,17 @@ def test_drawn_neighbours_are_those_of_the_least_whole_digest():
         for x, y in zip(mine.tolist(), far.tolist(), strict=True):
             best[x] = min(best.get(x, (b"\xff" * 17,)), (one.digest(x, held[number].tails[y]), number, y))
     assert {x: (int(one.far_block[x]), int(one.far[x])) for x in best} == {x: b[1:] for x, b in best.items()}
+
+
+def test_spans_are_found_in_slices_and_sent_once_a_group(spark, monkeypatch):
+    """Against plain Python, over odd blanks; a span goes to a group as itself, not with each word that holds it."""
+    monkeypatch.setattr(taskgen, "SPANS", 37)
+    r = random.Random(4)
+    some = lambda n: "".join(r.choice(["ab", "a", "B", "cé", " ", "  ", "\t", "　", "abcab", "\U00010400"]) for _ in range(r.randrange(n)))
+    texts, spans = [some(30) for _ in range(120)] + [None, ""], sorted({some(6) for _ in range(400)} | {"", " ", "　", "abcabab"})
+    left, right = pa.table({"text": pa.array([t or "" for t in texts], pa.string())}), pa.table({"span": pa.array([s for s in spans if s], pa.string())})
+    got = sorted((i, s) for i, found in taskgen._searched(left, right) for s in found)
+    assert got == sorted((i, s) for i, t in enumerate(texts) for s in spans if t and s.strip(taskgen.BLANKS) and s in t) and len(got) > 500
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    _, asked = taskgen._dealt(spark.createDataFrame([(s,) for s in [*spans, *spans, None]], "span string"), chunks)
+    assert asked.count() == len(spans) - 1 and asked.columns == ["h", "span"]
