@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ragscore import catalog, oracle
 from ragscore.functions import text
 from ragscore.functions.md5 import joined_md5
-from ragscore.operators import taskgen
+from ragscore.operators import search, taskgen
 
 
 def _plan(df) -> str:
@@ -132,3 +133,20 @@ def test_spans_are_found_in_slices_and_sent_once_a_group(spark, monkeypatch):
     chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
     _, asked = taskgen._dealt(spark.createDataFrame([(s,) for s in [*spans, *spans, None]], "span string"), chunks)
     assert asked.count() == len(spans) - 1 and asked.columns == ["h", "span"]
+
+
+def test_frequent_terms_are_weighed_where_their_text_is(spark, monkeypatch):
+    """Vectors of documents of distinct ids, with frequent and rare terms, those asked for and others, by hand."""
+    monkeypatch.setattr(search, "SHARE", 100)
+    r = random.Random(6)
+    texts = [(i, " ".join(r.choice(["alpha", "beta", "gamma", f"w{r.randrange(900)}"]) for _ in range(r.randrange(40)))) for i in range(500)] + [(500, None), (501, ""), (502, "x y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found, idf = search._unique_vectors(docs.select(F.col("doc_id").alias("id"), text.terms(F.col("text")).alias("terms")), lambda df: df.select("term", "df", F.col("term").isin("alpha", "w3", "w7").alias("asked"), (1.0 / F.col("df")).alias("idf")))
+    n = Counter(w for _, t in texts for w in {x for x in (t or "").split() if len(x) > 1})
+    assert {x.term: x.df for x in idf.collect()} == n
+    want = {i: Counter(x for x in (t or "").split() if len(x) > 1) for i, t in texts}
+    got = {x.id: x for x in found.collect()}
+    assert set(got) == {i for i, w in want.items() if w}
+    for i, x in got.items():
+        assert dict(zip(x.terms, x.weights, strict=True)) == pytest.approx({w: c / n[w] for w, c in want[i].items() if w in ("alpha", "w3", "w7")})
+        assert x["size"] == pytest.approx(sum((c / n[w]) ** 2 for w, c in want[i].items()) ** 0.5)
